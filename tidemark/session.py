@@ -48,3 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     again, and the loss of an executor loses nothing of it."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (cut before, for it is counted) marked for a broadcast if it has at most ``rows`` rows;
+    beyond that the join shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
