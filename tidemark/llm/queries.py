@@ -9,11 +9,34 @@ from tidemark.functions.times import micros
 from tidemark.llm.names import Reference, map_names, spellings
 from tidemark.llm.pairs import pairs_together
 from tidemark.llm.percentiles import from_histogram, histogram, merge, percentiles
+from tidemark.llm.splits import linked_groups, number_written, split_groups, split_rows
 from tidemark.sources.tables import table
 
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QS = (0.25, 0.5, 0.75, 0.9, 0.99)
 
 
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "custid_links").select(number_written(F.col("id_a")).alias("a"), number_written(F.col("id_b")).alias("b"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The custids linked to another, with the smallest of their group."""
+    groups = linked_groups(table(spark, folder, "train_transactions"), "custid", _links(spark, folder), "a", "b")
+    return groups.where("n_entities > 1").select("custid", F.col("group_id").alias("group_custid"))
+
+
+def _splits(spark: SparkSession, folder: str) -> DataFrame:
+    sales, labels = table(spark, folder, "train_transactions"), table(spark, folder, "y_train")
+    return split_groups(sales, "custid", _links(spark, folder), "a", "b", labels, "gender", SHARES)
+
+
+def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of train_transactions with its split."""
+    sales = table(spark, folder, "train_transactions").select("line_id", "custid")
+    return split_rows(sales, "custid", _splits(spark, folder), SHARES, ["line_id"])
+
+
 def _fields(spark: SparkSession, folder: str) -> dict[str, Reference]:
     return {
         "part_nm": Reference(table(spark, folder, "part_ref"), "part_id", ("part_nm", "part_nm_en")),
@@ -75,6 +98,8 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_splits": p1_splits,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p3_percentiles": p3_percentiles,
@@ -97,7 +122,15 @@ x AS (SELECT p.*, a.n AS n_a, b.n AS n_b, n_baskets, n_ab * n_baskets / (a.n::DO
   FROM p JOIN t USING (item_level) JOIN s a ON a.item_level = p.item_level AND a.item = item_a JOIN s b ON b.item_level = p.item_level AND b.item = item_b)
 """
 
+_NUMBER = r"try_cast(nullif(regexp_replace(regexp_replace(translate(trim({0}), '０１２３４５６７８９．', '0123456789.'), '([0-9])\.0{{1,2}}($|[^0-9])', '\1\2'), '[^0-9]', '', 'g'), '') AS BIGINT)"
+
 SQL = {
+    "p1_found": f"""
+WITH RECURSIVE l AS (SELECT {_NUMBER.format("id_a")} AS a, {_NUMBER.format("id_b")} AS b FROM custid_links),
+e AS (SELECT a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+t AS (SELECT DISTINCT custid FROM train_transactions WHERE custid IS NOT NULL)
+SELECT r.a AS custid, least(r.a, min(r.b)) AS group_custid FROM reach r JOIN t x ON x.custid = r.a JOIN t y ON y.custid = r.b WHERE r.a <> r.b GROUP BY r.a""",
     "p3_percentiles": "SELECT custid, unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q, unnest(quantile_disc(net_amt, [0.25, 0.5, 0.75, 0.9, 0.99]))::DOUBLE AS value, count(net_amt) AS n "
     "FROM train_transactions WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY custid",
     "p4_found": _PAIRS + "SELECT item_level, item_a, item_b FROM x WHERE n_ab * n_baskets >= 5 * n_a * n_b",
