@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import micros
 from tidemark.llm.names import Reference, map_names, spellings
+from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.pairs import pairs_together
 from tidemark.llm.percentiles import from_histogram, histogram, merge, percentiles
 from tidemark.llm.splits import linked_groups, number_written, split_groups, split_rows
@@ -97,7 +98,14 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _together(spark, folder, 0).withColumns({"lift": F.round("lift", 6), "npmi": F.round("npmi", 6)})
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of documents in containers of 2,048 tokens."""
+    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", 2048)
+
+
 QUERIES = {
+    "p7_packed": p7_packed,
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p2_found": p2_found,
