@@ -17,18 +17,9 @@ SHIFTS = (48, 32, 16, 0)
 def ordered(x: Column) -> Column:
     """The double ``x`` as a whole number in the same order: the bits of |x|, negated below 0. -0.0 is 0;
     null and NaN give null."""
-    a = F.abs(x.cast("double"))
-    top = a > F.lit(1.7976931348623157e308)
-    small = a < F.lit(2.2250738585072014e-308)
-    e0 = F.floor(F.log2(F.when(top | small, F.lit(1.0)).otherwise(a))).cast("int")
-    m0 = a / F.pow(F.lit(2.0), e0)
-    # the logarithm may be one off beside a power of two
-    e = F.when(m0 >= 2, e0 + 1).when(m0 < 1, e0 - 1).otherwise(e0)
-    m = F.when(m0 >= 2, m0 / 2).when(m0 < 1, m0 * 2).otherwise(m0)
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((m - 1) * F.lit(4503599627370496.0)).cast("long")
-    tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = F.when(top, F.lit(2047 << 52)).when(small, tiny).otherwise(normal)
-    return F.when(F.isnan(x.cast("double")), None).when(x < 0, -bits).otherwise(bits)
+    d = x.cast("double")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.abs(d)).cast("long")
+    return F.when(d.isNull() | F.isnan(d), None).when(d < 0, -bits).otherwise(bits)
 
 
 def value_of(key: Column) -> Column:
