@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import micros
+from tidemark.llm.leaks import leaks
 from tidemark.llm.names import Reference, map_names, spellings
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.pairs import pairs_together
@@ -104,7 +105,13 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that carry a good part of a test item."""
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
 QUERIES = {
+    "p8_found": p8_found,
     "p7_packed": p7_packed,
     "p1_found": p1_found,
     "p1_splits": p1_splits,
