@@ -12,6 +12,7 @@ from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.pairs import pairs_together
 from tidemark.llm.percentiles import from_histogram, histogram, merge, percentiles
 from tidemark.llm.splits import linked_groups, number_written, split_groups, split_rows
+from tidemark.llm.stuffing import keyword_pages
 from tidemark.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -110,7 +111,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents made of keywords, links or tags."""
+    return keyword_pages(table(spark, folder, "documents"), "doc_id", "text").where("is_stuffed").select("doc_id")
+
+
 QUERIES = {
+    "p9_found": p9_found,
     "p8_found": p8_found,
     "p7_packed": p7_packed,
     "p1_found": p1_found,
