@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,10 +138,10 @@ def _run(doc: str, d: int, item: str, i: int, starts: list[int], word: int) -> l
         d, i, word = found
 
 
-def stretch(doc: str, item: Item, hits: list[tuple[int, int]], back: Item) -> int:
+def stretch(doc: str, item: Item, hits: list[tuple[int, int]], back: Item, least: float = 0) -> int:
     """The most words of ``item`` that one connected stretch of ``doc`` carries in order, of which at most
     one in eight is replaced. ``hits`` are places (doc, item) of common fingerprints; ``back`` is the item
-    backwards."""
+    backwards. Stretches of under ``least`` words need not be measured."""
     best, n = 0, len(item)
     done: list[tuple[int, int, int]] = []
     rev = None
@@ -150,14 +150,17 @@ def stretch(doc: str, item: Item, hits: list[tuple[int, int]], back: Item) -> in
             continue
         if doc[d : d + GRAM] != item.text[i : i + GRAM]:
             continue
-        word = int(np.searchsorted(item.starts, i, side="right")) - 1
+        word = bisect_right(item.starts, i) - 1
         spans = _run(doc, d, item.text, i, item.starts, word)
         if rev is None:
             rev = doc[::-1]
         ri = len(item.text) - i - GRAM
-        rword = int(np.searchsorted(back.starts, ri, side="right")) - 1
+        rword = bisect_right(back.starts, ri) - 1
         spans += [(len(item.text) - b, len(item.text) - a) for a, b in _run(rev, len(doc) - d - GRAM, back.text, ri, back.starts, rword)]
-        done.append((min(a for a, _ in spans), max(b for _, b in spans), d - i))
+        lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
+        done.append((lo, hi, d - i))
+        if bisect_right(item.starts, hi) - bisect_right(item.starts, lo) + 1 < least:
+            continue
         have = np.zeros(len(item.text) + 1, dtype=np.int32)
         for a, b in spans:
             have[a] += 1
@@ -167,21 +170,19 @@ def stretch(doc: str, item: Item, hits: list[tuple[int, int]], back: Item) -> in
         whole = got[s[1:]] - got[s[:-1]] == s[1:] - s[:-1]
         # the longest window of words with at most one missing in eight: 7 * missing <= found
         step = np.concatenate([[0], np.cumsum(np.where(whole, 1, -7))])
-        low, a = [], np.inf
-        for x in step:
-            a = min(a, x)
-            low.append(a)
-        low = np.array(low)  # falls; the first place at or below step[j] starts the window to j
-        for j in range(n, best, -1):
-            k = int(np.searchsorted(-low, -step[j], side="left"))
-            if k < j and j - k > best:
-                # a window begins and ends with a word that is there
-                x, y = k, j
-                while x < y and not whole[x]:
-                    x += 1
-                while y > x and not whole[y - 1]:
-                    y -= 1
-                best = max(best, y - x)
+        low = np.minimum.accumulate(step)  # falls; the first place at or below step[j] starts the window to j
+        start = np.searchsorted(-low, -step, side="left")
+        wide = np.arange(n + 1) - start
+        for j in np.argsort(-wide, kind="stable"):
+            if wide[j] <= best:
+                break
+            # a window begins and ends with a word that is there
+            x, y = int(start[j]), int(j)
+            while x < y and not whole[x]:
+                x += 1
+            while y > x and not whole[y - 1]:
+                y -= 1
+            best = max(best, y - x)
     return best
 
 
@@ -236,8 +237,8 @@ class ItemIndex:
         return which[row], self.which[k], place[row], self.place[k]
 
 
-def _share(doc: str, item: Item, back: Item, hits: list[tuple[int, int]]) -> tuple[int, int]:
-    return stretch(doc, item, hits, back), len(item)
+def _share(doc: str, item: Item, back: Item, hits: list[tuple[int, int]], share: float) -> tuple[int, int]:
+    return stretch(doc, item, hits, back, share * len(item)), len(item)
 
 
 def _blocks(pdf: pd.DataFrame, signs_held: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -294,8 +295,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                     code = doc * len(ix.ids) + item
                     for a, b in _worth(doc, item, d, i, ix.length[item]):
                         x, y = np.searchsorted(code, a * len(ix.ids) + b, "left"), np.searchsorted(code, a * len(ix.ids) + b, "right")
-                        n, words = _share(texts[a], ix.items[b], ix.back[b], list(zip(d[x:y].tolist(), i[x:y].tolist(), strict=True)))
-                        if n >= share * words:
+                        n, words = _share(texts[a], ix.items[b], ix.back[b], list(zip(d[x:y].tolist(), i[x:y].tolist(), strict=True)), share)
+                        if n and n >= share * words:
                             rows.append((keys[a], ix.ids[b], n, n / words))
                 yield pd.DataFrame(rows, columns=["k", "item", "n_words", "share"])
 
@@ -338,8 +339,8 @@ def leaks_shuffled(docs: DataFrame, key: str, text: str, items: DataFrame, item_
                     continue
                 ix, s = ItemIndex([(item, it)]), signs(t)
                 _, _, d, i = ix.hits(*fingerprints([s]))
-                n, words = _share(s, ix.items[0], ix.back[0], sorted(zip(d.tolist(), i.tolist(), strict=True)))
-                if n >= share * words:
+                n, words = _share(s, ix.items[0], ix.back[0], sorted(zip(d.tolist(), i.tolist(), strict=True)), share)
+                if n and n >= share * words:
                     rows.append((k, item, n, n / words))
             yield pd.DataFrame(rows, columns=["k", "item", "n_words", "share"])
 
