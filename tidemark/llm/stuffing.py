@@ -175,7 +175,7 @@ def keyword_pages(df: DataFrame, key: str, text: str) -> DataFrame:
                 held += len(t)
                 if held > 2_000_000 or k == len(texts) - 1:
                     part = measure(texts[at : k + 1])
-                    plain = (part["n_terms"] < FEW) & [not ("#" in t or "://" in t or "www." in t) for t in texts[at : k + 1]]
+                    plain = (part["n_terms"] < FEW) & np.array([not ("#" in t or "://" in t or "www." in t) for t in texts[at : k + 1]])
                     part["is_stuffed"] = (part["sentence_share"] < SENTENCES) & (part["n_terms"] > 0) & ~plain
                     part.insert(0, "k", pdf["k"].iloc[at : k + 1].to_numpy())
                     yield part
