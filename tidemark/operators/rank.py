@@ -29,3 +29,49 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], weight: str |
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return salted.withColumn("__before", before).join(starts, same).select(*df.columns, (F.col("__before") + F.col("__start")).alias(name))
+
+
+def digest_rank(df: DataFrame, keys: list[str], key: str, seed: int, name: str = "rank") -> DataFrame:
+    """Adds ``name``: the 0-based place of the row in the order of md5(seed-key), key within ``keys``. The
+    same in every engine, and spread over the digests' first two signs instead of one group a key."""
+    rows = df.withColumn("__d", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))
+    rows = rows.withColumn("__salt", F.substring("__d", 1, 2))
+    sizes = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__salt").alias("__ks")).agg(F.count("*").alias("__c"))
+    by = [f"__k{i}" for i in range(len(keys))]
+    sizes = sizes.withColumn("__b", F.sum("__c").over(W.partitionBy(*by).orderBy("__ks").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__c"))
+    same: Column = F.col("__salt") == F.col("__ks")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    place = F.row_number().over(W.partitionBy(*keys, "__salt").orderBy("__d", key)) - 1
+    return rows.withColumn("__r", place).join(sizes, same).select(*df.columns, (F.col("__b") + F.col("__r")).alias(name))
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank", pieces: int = 64) -> DataFrame:
+    """Adds ``name``, the 1-based rank of ``value`` within ``keys``, ties at their average, and
+    ``name_n``, the number of values. Null values are left out.
+
+    Each key is cut into ``pieces`` ranges of values at approximate quantiles; values are counted, so that
+    equal ones are one row, and numbered within (key, range) with the ranges' totals for their start.
+    Where the cuts lie doesn't change the result.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    by = [f"__k{i}" for i in range(len(keys))]
+    renamed = [F.col(k).alias(b) for k, b in zip(keys, by, strict=True)]
+    counts = rows.groupBy(*renamed, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    cuts = counts.groupBy(*[F.col(b).alias(f"{b}c") for b in by]).agg(F.percentile_approx("__v", [i / pieces for i in range(1, pieces)], 1000).alias("__cuts"))
+
+    def same(a: list[str], b: list[str]) -> Column:
+        c: Column = F.lit(True)
+        for x, y in zip(a, b, strict=True):
+            c = c & F.col(x).eqNullSafe(F.col(y))
+        return c
+
+    placed = counts.join(F.broadcast(cuts) if not keys else cuts, same(by, [f"{b}c" for b in by])).withColumn("__p", F.size(F.filter("__cuts", lambda x: x < F.col("__v"))))
+    placed = placed.select(*by, "__v", "__c", "__p")
+    totals = placed.groupBy(*[F.col(b).alias(f"{b}t") for b in by], F.col("__p").alias("__pt")).agg(F.sum("__c").alias("__t"))
+    w = W.partitionBy(*[f"{b}t" for b in by])
+    totals = totals.withColumns({"__b": F.sum("__t").over(w.orderBy("__pt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__t"), "__n": F.sum("__t").over(w)})
+    inner = W.partitionBy(*by, "__p").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = placed.withColumn("__u", F.sum("__c").over(inner)).join(totals, same(by, [f"{b}t" for b in by]) & (F.col("__p") == F.col("__pt")))
+    ranked = ranked.select(*by, "__v", (F.col("__b") + F.col("__u") - (F.col("__c") - 1) / 2).alias(name), F.col("__n").alias(f"{name}_n"))
+    return rows.join(ranked, same(keys, by) & (F.col(value) == F.col("__v"))).select(*df.columns, name, f"{name}_n")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import events
+from tidemark.plans import blocks, events
 
-_MODULES = (events,)
+_MODULES = (blocks, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
