@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import blocks, events
+from tidemark.plans import blending, blocks, encoders, events
 
-_MODULES = (blocks, events)
+_MODULES = (blocks, encoders, blending, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
