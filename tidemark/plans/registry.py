@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import blending, blocks, encoders, events
+from tidemark.plans import blending, blocks, encoders, events, representing
 
-_MODULES = (blocks, encoders, blending, events)
+_MODULES = (blocks, encoders, blending, representing, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
