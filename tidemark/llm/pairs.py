@@ -2,80 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.gram import gram_sums
 from tidemark.operators.rank import spread_rank
 from tidemark.session import cut, if_small
 
-#: Entries of products held by a task before they are summed and handed on.
-HELD = 2_000_000
-
-
-def _products(levels: list[str], size: dict[str, int]):
-    """Sums X'X over record blocks. Each Arrow batch is a record block: its list column is the binary
-    sparse matrix X, baskets by items, as offsets and item numbers. The upper triangle of X'X, diagonal
-    included, comes out as (level, a, b, n); the number of filled baskets as (level, -1, -1, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {x: [] for x in levels}
-        counts: dict[str, list[np.ndarray]] = {x: [] for x in levels}
-        filled = dict.fromkeys(levels, 0)
-
-        def add_up(x: str) -> None:
-            if held[x]:
-                key, n = np.concatenate(held[x]), np.concatenate(counts[x])
-                key, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
-                held[x], counts[x] = [key], [n]
-
-        def given(x: str) -> Iterator[pa.RecordBatch]:
-            add_up(x)
-            if held[x]:
-                key, n = held[x][0], counts[x][0]
-                held[x], counts[x] = [], []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([levels.index(x)] * len(key), pa.int32()), pa.array(key // size[x]), pa.array(key % size[x]), pa.array(n)], names=["level", "a", "b", "n"]
-                )
-
-        for batch in batches:
-            for x in levels:
-                col = batch.column(batch.schema.get_field_index(x))
-                filled[x] += int(np.asarray(batch.column(batch.schema.get_field_index(f"any_{x}"))).sum())
-                items, lengths = np.asarray(col.flatten()).astype(np.int64), np.diff(np.asarray(col.offsets))
-                if not len(items):
-                    continue
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                order = np.lexsort((items, row))
-                items = items[order]  # rows stay in place: they were sorted
-                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(items)) - 1
-                at, step = np.arange(len(items)), 0
-                total = sum(map(len, held[x]))
-                while len(at):
-                    key, n = np.unique(items[at] * size[x] + items[at + step], return_counts=True)
-                    held[x].append(key)
-                    counts[x].append(n)
-                    total += len(key)
-                    if total > HELD:
-                        add_up(x)
-                        total = len(held[x][0])
-                        if total > HELD // 2:
-                            yield from given(x)
-                            total = 0
-                    step += 1
-                    at = at[left[at] >= step]
-        for x in levels:
-            yield from given(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([levels.index(x)], pa.int32()), pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([filled[x]], pa.int64())], names=["level", "a", "b", "n"]
-            )
-
-    return run
-
 
 def item_numbers(df: DataFrame, items: dict[str, Column], least: int) -> DataFrame:
     """``level, item, no`` for the items with at least ``least`` rows, numbered from 0 by level. An item
@@ -110,9 +43,8 @@ def pairs_together(df: DataFrame, basket: dict[str, Column], items: dict[str, Co
         side = numbers.where(F.col("level") == x).select(F.col("item").alias(f"k_{x}"), F.col("no").cast("int").alias(f"no_{x}"))
         rows = rows.join(if_small(side), F.col(f"i_{x}") == F.col(f"k_{x}"), "left")
     aggs = [a for x in levels for a in (F.collect_set(f"no_{x}").alias(x), F.max(F.col(f"i_{x}").isNotNull()).alias(f"any_{x}"))]
-    baskets = rows.groupBy(*keys).agg(*aggs).select(*levels, *[F.col(f"any_{x}") for x in levels])
-    sums = baskets.mapInArrow(_products(levels, size), "level int, a long, b long, n long")
-    sums = cut(sums.groupBy("level", "a", "b").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pairs) | (F.col("a") == F.col("b"))))
+    baskets = rows.groupBy(*keys).agg(*aggs)
+    sums = cut(gram_sums(baskets, size).where((F.col("n") >= min_pairs) | (F.col("a") == F.col("b"))))
     n_of = {r["level"]: r["n"] for r in sums.where("a = -1").collect()}
     total = F.element_at(F.create_map(*[F.lit(v) for i in range(len(levels)) for v in (i, n_of.get(i, 0))]), F.col("level"))
     name = F.element_at(F.create_map(*[F.lit(v) for i, x in enumerate(levels) for v in (i, x)]), F.col("level"))
