@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +69,24 @@ def write_report(df: DataFrame, path: str) -> None:
     df.withColumnRenamed(first, "﻿" + first).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Encodings that the CSV reader takes by itself.
+READABLE = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
+
+
 def read_log(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
-    """A transaction log in CSV with a header and a stated schema; nothing is inferred."""
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", False).csv(path)
+    """A transaction log in CSV with a header and a stated schema; nothing is inferred. Encodings that the
+    reader doesn't know are read as single bytes and the strings decoded in batches; this holds for all
+    in which separators, quotes and line ends stand for themselves alone, as in cp949."""
+    plain = encoding.lower() in READABLE
+    df = spark.read.schema(schema).option("header", True).option("encoding", encoding if plain else "iso-8859-1").csv(path)
+    if plain:
+        return df
+
+    @F.pandas_udf("string")
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x.encode("latin-1").decode(encoding, "replace") if x is not None else None)
+
+    return df.select(*[decoded(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def union_tagged(parts: dict[str, DataFrame], tag: str = "dataset") -> DataFrame:
