@@ -42,8 +42,8 @@ def signs(text: str) -> str:
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, hash) of the fingerprints of ``texts``, which are signs already."""
-    lengths = np.array([len(t) + GRAM for t in texts], dtype=np.int64)  # apart by signs that no text has
-    whole = ("\0" * GRAM).join(texts) + "\0" * GRAM
+    lengths = np.array([len(t) + GRAM for t in texts], dtype=np.int64)  # each after signs that no text has
+    whole = "".join("\0" * GRAM + t for t in texts) + "\0" * GRAM
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(codes) - GRAM + 1
     if n <= 0:
@@ -66,7 +66,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.nonzero((top == h) & (h != _NONE))[0]
     ends = np.cumsum(lengths)
     which = np.searchsorted(ends, at, side="right")
-    return which, at - (ends - lengths)[which], h[at]
+    return which, at - (ends - lengths)[which] - GRAM, h[at]
 
 
 @dataclass

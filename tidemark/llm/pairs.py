@@ -55,8 +55,9 @@ def pairs_together(df: DataFrame, basket: dict[str, Column], items: dict[str, Co
     pairs = pairs.join(one("a"), ["item_level", "a"]).join(one("b"), ["item_level", "b"])
     swap = F.col("item_a") > F.col("item_b")
     lift = F.col("n_ab") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))
-    # whole numbers up to 2**53 compare without rounding
-    enough = (F.col("n_ab").cast("decimal(38,0)") * F.col("n_baskets")) >= F.lit(min_lift).cast("decimal(10,4)") * (F.col("n_a").cast("decimal(20,0)") * F.col("n_b"))
+    # whole numbers compare without rounding; the least lift counts to four digits
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    enough = big("n_ab") * big("n_baskets") * F.lit(10_000) >= F.lit(round(min_lift * 10_000)) * (big("n_a") * big("n_b"))
     return pairs.where(enough).select(
         "item_level",
         F.when(swap, F.col("item_b")).otherwise(F.col("item_a")).alias("item_a"),

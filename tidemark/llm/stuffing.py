@@ -27,13 +27,15 @@ TOKEN = re.compile(r"https?://\S+|www\.\S+|#[^\s#]+|[^\W_]+(?:[.,:][0-9]+)*|[^\w
 LINK = re.compile(r"https?://|www\.")
 HANGUL = re.compile("[가-힣]")
 #: Where sentences are glued together, these stand in every one of them; bare nouns seldom hold them.
-INSIDE = re.compile("[을를는]|에서|으로|니다|었다|았다|했다|렸다|졌다|이다|한다|된다|까지|부터|지만|하고|라고|다고|면서|십시오|어요|아요|네요|습니|에게|보다")
+INSIDE = re.compile("[을를는었았했겠]|에서|으로|니다|렸다|졌다|이다|한다|된다|까지|부터|지만|하고|하며|라고|다고|면서|십시오|어요|아요|네요|세요|습니|에게|께서|보다|처럼|이고|이며|어서|아서|해서|줘서|라서|려고|에는|에도")
 
 #: Pieces into which longer words are cut for windows, so that a page glued into one word has terms too.
 PIECE = 8
 
 #: Terms on each side of a term that make its window, and the greatest lag at which a term recurs.
 AROUND, LAGS = 8, 24
+#: The gap of a term's first occurrence.
+FIRST = 1 << 40
 #: A window with a lower share of binding words is a list; with regular repetition, one below BOUND.
 LISTED, BOUND, REPEATED = 0.2, 0.35, 0.6
 
@@ -113,9 +115,9 @@ def measure(texts: list[str]) -> pd.DataFrame:
     # gap to the term's last occurrence in the text
     order = np.lexsort((pos, ids, doc))
     same = (doc[order][1:] == doc[order][:-1]) & (ids[order][1:] == ids[order][:-1])
-    gap = np.full(n, n + 1, dtype=np.int64)
+    gap = np.full(n, FIRST, dtype=np.int64)
     gap[order[1:][same]] = (pos[order][1:] - pos[order][:-1])[same]
-    fresh = np.add.reduceat(np.append((gap > n).astype(np.int64), 0), np.minimum(starts, n))
+    fresh = np.add.reduceat(np.append((gap == FIRST).astype(np.int64), 0), np.minimum(starts, n))
     # autocorrelation of the term sequence at each lag
     best, at = np.zeros(len(counts)), np.zeros(len(counts), dtype=np.int64)
     for lag in range(1, LAGS + 1):
@@ -137,7 +139,7 @@ def measure(texts: list[str]) -> pd.DataFrame:
 
     signs = np.maximum(total(sizes), 1)
     return out.assign(
-        sentence_share=1 - total(np.where(keyword, sizes, 0)) / signs,
+        sentence_share=np.where(counts > 0, 1 - total(np.where(keyword, sizes, 0)) / signs, 0.0),
         repeated_share=total((again >= REPEATED).astype(np.int64)) / np.maximum(counts, 1),
         best_lag=at,
         autocorrelation=np.where(counts > 0, best, 0.0),
