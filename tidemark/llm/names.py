@@ -232,6 +232,8 @@ def spellings(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ..
     lists = {f: [(int(r[0]), [n for n in r[1:] if n]) for r in ref.table.where(F.col(ref.ref_id).isNotNull()).select(ref.ref_id, *ref.names).collect()] for f, ref in fields.items()}
     own = {f: {e[1][0] for e in es if e[1]} for f, es in lists.items()}
     schema = "field string, value string, ref_id long, distance double, n_as_close long"
+    # a search is dear and its row is small: without a number of its own it would be put into one task
+    values = values.repartition(df.sparkSession.sparkContext.defaultParallelism, "value")
     found = None
     for start in range(0, max(1, *(len(v) for v in lists.values())), block):
         part = {f: v[start : start + block] for f, v in lists.items()}
