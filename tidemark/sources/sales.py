@@ -32,9 +32,9 @@ def sales(spark: SparkSession, folder: str, name: str = "train_transactions") ->
     meet there, day-level sums and windows need no other, and a hot custid is spread over its days.
     """
     rows = table(spark, folder, name).where("custid is not null and sales_datetime is not null")
-    rows = rows.select(*RAW, F.col("sales_datetime").alias("ts"), F.to_date("sales_datetime").alias("__day"))
-    once = rows.repartition("custid", "__day").dropDuplicates(["custid", "__day", "line_id"]).drop("__day")
-    return once.selectExpr("*", "weekday(ts) as dow", *[f"{e} as {c}" for c, e in DERIVED.items()])
+    rows = rows.select(*RAW, F.col("sales_datetime").alias("ts"), F.to_date("sales_datetime").alias("d"))
+    once = rows.repartition("custid", "d").dropDuplicates(["custid", "d", "line_id"])
+    return once.selectExpr("*", "weekday(ts) as dow", *[f"{e} as {c}" for c, e in DERIVED.items() if c != "d"])
 
 
 def sales_sql(name: str = "train_transactions", alias: str = "s") -> str:
