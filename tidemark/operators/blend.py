@@ -132,3 +132,16 @@ def drop_one(ranks: DataFrame, entity: str, label: str) -> DataFrame:
     without = auc(rows.withColumn("score", F.round((F.col("__s") - F.col("r")) / (F.col("__k") - 1), 9)), ["model"], "score", label)
     whole = auc(sums.join(ranks.select(F.col(entity).alias("__e2"), label).distinct(), F.col("__e") == F.col("__e2")).withColumn("score", F.round(F.col("__s") / F.col("__k"), 9)), [], "score", label)
     return without.crossJoin(F.broadcast(whole.select(F.col("auc").alias("all_auc")))).select("model", (F.col("all_auc") - F.col("auc")).alias("loss"))
+
+
+def shrink(weights: dict[str, float], share: float = 0.75) -> dict[str, float]:
+    """Weights drawn towards equal ones: ``share`` of each and the rest in equal parts."""
+    return {m: share * w + (1 - share) / len(weights) for m, w in weights.items()}
+
+
+def reproduces(a: DataFrame, b: DataFrame, entity: str, score: str = "score", least: float = 0.9999) -> tuple[bool, float]:
+    """Whether two score sets of the same entities rank them alike: their ranks' correlation."""
+    x = rank_normalise(a.select(entity, score), [], score, "ra").select(entity, "ra")
+    y = rank_normalise(b.select(entity, score), [], score, "rb").select(entity, "rb")
+    r = x.join(y, entity).agg(F.corr("ra", "rb")).first()[0]
+    return r is not None and r >= least, float(r) if r is not None else float("nan")

@@ -75,3 +75,22 @@ def gauss_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 
     ranked = average_rank(df, [], column, "__g")
     return ranked.withColumn(name, inverse((F.col("__g") - 0.5) / F.col("__g_n"))).drop("__g", "__g_n")
+
+
+def values_of(df: DataFrame, column: str, most: int = 2000) -> list[str]:
+    """The distinct values of a category, sorted: the columns of a pivot. Over ``most`` is an error."""
+    got = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{column} has over {most} values")
+    return sorted(got)
+
+
+def fixed_pivot(df: DataFrame, key: str, column: str, values: Sequence[str], prefix: str) -> DataFrame:
+    """``key`` and a count for each of ``values``, which are stated, so that every table has one schema."""
+    names = safe_names([f"{prefix}{v}" for v in values])
+    return df.groupBy(key).agg(*[F.sum(F.when(F.col(column) == v, 1).otherwise(0)).alias(n) for v, n in zip(values, names, strict=True)])
+
+
+def per_visit(df: DataFrame, columns: Sequence[str], visits: str) -> DataFrame:
+    """Adds ``<column>_per_visit`` for counts."""
+    return df.withColumns({f"{c}_per_visit": F.col(c) / (F.col(visits) + 1e-5) for c in columns})

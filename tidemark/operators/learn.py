@@ -10,6 +10,7 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str], to: str
 
 
 def learner(kind: str, features: str = "features", label: str = "label", weight: str | None = None, seed: int = 42, **args) -> Estimator:
-    """A pipeline by name: 'logistic', 'gbt', 'forest', 'mlp' (``layers``)."""
+    """A pipeline by name: 'logistic', 'gbt', 'forest', 'mlp' (``layers``), 'ridge'."""
     w = {"weightCol": weight} if weight and kind != "mlp" else {}
     if kind == "logistic":
         last = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=args.pop("maxIter", 50), **w, **args)
@@ -38,11 +39,15 @@ def learner(kind: str, features: str = "features", label: str = "label", weight:
     if kind == "mlp":
         last = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol=label, maxIter=args.pop("maxIter", 40), seed=seed, **args)
         return Pipeline(stages=[StandardScaler(inputCol=features, outputCol="scaled", withMean=True), last])
+    if kind == "ridge":
+        last = LinearRegression(featuresCol="scaled", labelCol=label, elasticNetParam=0.0, regParam=args.pop("regParam", 0.01), **w, **args)
+        return Pipeline(stages=[StandardScaler(inputCol=features, outputCol="scaled", withMean=True), last])
     raise ValueError(f"no learner {kind}")
 
 
 def _scores(model, df: DataFrame, keep: list[str]) -> DataFrame:
-    return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("score"))
+    out = model.transform(df)
+    return out.select(*keep, (vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")).alias("score"))
 
 
 def oof_predict(
@@ -97,6 +102,17 @@ def search(makers: dict[str, Callable[[], Estimator]], train: DataFrame, entity:
     return sorted(found, key=lambda x: -x[1])
 
 
+def group_gain(df: DataFrame, base: Sequence[str], groups: dict[str, Sequence[str]], make: Callable[[], Estimator], entity: str = "custid") -> list[tuple[str, float, float]]:
+    """What each group of columns adds to the base: (group, out-of-fold AUC with it, difference)."""
+    keep = [entity, "label", "fold"]
+    start = oof_auc(oof_predict(make, assemble(df, base, keep), entity=entity), df, entity)
+    out = []
+    for name, cols in groups.items():
+        a = oof_auc(oof_predict(make, assemble(df, [*base, *cols], keep), entity=entity), df, entity)
+        out.append((name, a, a - start))
+    return out
+
+
 def importances(df: DataFrame, columns: Sequence[str], seed: int = 42) -> dict[str, float]:
     """Gain importances of a forest."""
     model = learner("forest", seed=seed).fit(df)

@@ -12,6 +12,8 @@ from tidemark.sources.sales import sales, sales_sql
 from tidemark.sources.tables import table
 
 ENCODED = {"brand": "brand", "corner": "corner_nm", "part": "part_nm", "pc": "pc_nm"}
+#: Cross tokens: two categories in one, encoded as the others.
+CROSSED = {"pc_zone": "pc_nm || '|' || case when h <= 11 then 'a' when h <= 14 then 'b' when h <= 17 then 'c' else 'd' end", "store_month": "str_nm || '|' || cast(mon as string)"}
 PAIRS = {"brand_pc": ("brand", "pc_nm"), "corner_part": ("corner_nm", "part_nm"), "good_brand": ("good", "brand")}
 # Lines that name nothing.
 JUNK = "(good = '2700000000000' or pc_nm = '미확인pc' or corner_nm = '용기보증')"
@@ -43,6 +45,16 @@ def label_fold(spark: SparkSession, folder: str) -> DataFrame:
     return folds_of(spark, folder)
 
 
+def oof_cross(token: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        made = [sales(spark, folder, t).withColumn("token", F.expr(token)) for t in ("train_transactions", "test_transactions")]
+        train, test = (category_counts(x, "custid", ["token"]) for x in made)
+        out = target_encode(cut(train.join(folds_of(spark, folder), "custid")), test, "custid", "token", _prior(spark, folder))
+        return out.select("custid", *[tidy(c) for c in out.columns if c != "custid"])
+
+    return run
+
+
 def oof_te(column: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         test = category_counts(sales(spark, folder, "test_transactions"), "custid", [column])
@@ -199,6 +211,7 @@ def rate_deviation(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "label_fold": label_fold,
     **{f"oof_te_{n}": oof_te(c) for n, c in ENCODED.items()},
+    **{f"oof_te_{n}": oof_cross(e) for n, e in CROSSED.items()},
     **{f"hier_te_{n}": hier_te(*p) for n, p in PAIRS.items()},
     "minsupport_te": minsupport_te,
     "bayes_te": bayes_te,
@@ -230,8 +243,9 @@ _AGGS = ["sum(n * r) / sum(n)", "max(r)", "min(r)", "coalesce(stddev_samp(r), 0)
 _NAMES = ["wmean", "max", "min", "std", "extreme_hi", "extreme_lo", "conf"]
 
 
-def _oof_sql(c: str) -> str:
-    return f"""{HEAD}, {sales_sql("test_transactions", "st")},
+def _oof_sql(c: str, token: str | None = None) -> str:
+    head, test = (HEAD, sales_sql("test_transactions", "st")) if token is None else (HEAD.replace("l AS (SELECT s.*,", f"l AS (SELECT s.*, {token} AS token,"), sales_sql("test_transactions", "st0") + f", st AS (SELECT *, {token} AS token FROM st0)")
+    return f"""{head}, {test},
 {_fit(c, "r", "(sum(label) + 20 * g.g) / (count(*) + 20)")},
 c AS (SELECT custid, fold, {c}, count(*) AS n FROM l WHERE {c} IS NOT NULL GROUP BY ALL UNION ALL SELECT custid, fold, {c}, count(*) FROM st, f WHERE {c} IS NOT NULL GROUP BY ALL),
 x AS (SELECT c.custid, c.fold, n, coalesce(r, g.g) AS r FROM c LEFT JOIN r USING (fold, {c}), g),
@@ -261,6 +275,7 @@ x AS (SELECT l.*, CASE WHEN coalesce(m, 0) < 10 THEN p ELSE s / m END AS te FROM
 SQL = {
     "label_fold": f"WITH {FOLDS} SELECT custid, label, fold FROM e",
     **{f"oof_te_{n}": _oof_sql(c) for n, c in ENCODED.items()},
+    **{f"oof_te_{n}": _oof_sql("token", e) for n, e in CROSSED.items()},
     **{f"hier_te_{n}": _hier_sql(*p) for n, p in PAIRS.items()},
     "minsupport_te": f"{HEAD}, {_mean_sql('corner_nm', 'CASE WHEN m < 10 THEN p.p ELSE s / m END', 'te')} SELECT * FROM t_corner_nm",
     "bayes_te": f"{HEAD}, j AS (SELECT * FROM l WHERE coalesce(NOT {JUNK}, true)), "

@@ -132,12 +132,32 @@ def line_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return scores.join(lines.select("line_id", "custid"), "line_id").groupBy("custid").agg(F.avg("score").alias("score"), F.count("*").alias("n_lines"))
 
 
+def ridge_stack(spark: SparkSession, folder: str) -> DataFrame:
+    """Ridge regressions over subsets of the models' ranks, ranked and averaged."""
+    ranks = blending.ranks(spark, folder)
+    wide = cut(blend.wide(ranks.where("split = 'train'"), blending.MODELS, ["custid", "label"]))
+    rows = digest_rank(wide, ["label"], "custid", 42).withColumn("fold", (F.col("rank") % 5).cast("int"))
+    runs = []
+    for some in (["m1", "m4", "m6"], ["m2", "m5", "m6"]):
+        scores = learn.oof_predict(lambda: learn.learner("ridge", regParam=0.1), learn.assemble(rows, some, ["custid", "label", "fold"]))
+        runs.append(blend.rank_normalise(scores, ["split"], "score").select("custid", "split", F.col("r").alias("score")))
+    return learn.mean_over(runs)
+
+
+def group_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """What groups of columns add to counts, by out-of-fold AUC."""
+    rows = cut(_base(spark, folder).join(folds_of(spark, folder), "custid"))
+    groups = {"time": ["weekend_share", "evening_share", "hour_mean"], "amount": ["net_mean", "net_std", "discount_rate"]}
+    found = learn.group_gain(rows, ["n_lines", "n_brands", "visit_days"], groups, lambda: learn.learner("logistic", regParam=0.01, maxIter=20))
+    return spark.createDataFrame(found, "column_group string, auc double, gain double")
+
+
 QUERIES = {
     "gbt_oof": _oof("gbt", maxIter=8, maxDepth=3),
     "forest_oof": _oof("forest", numTrees=15, maxDepth=5),
     "logistic_oof": _oof("logistic", regParam=0.01),
     "mlp_oof": _oof("mlp", layers=[len(COLUMNS), 8, 2], maxIter=20),
-    **{f.__name__: f for f in (leaf_logistic, seed_bagging, knn, adversarial, logistic_stack, pseudo_augmented, cotrain, parameter_search, feature_selection, class_direction, line_rollup)},
+    **{f.__name__: f for f in (leaf_logistic, seed_bagging, knn, adversarial, logistic_stack, pseudo_augmented, cotrain, parameter_search, feature_selection, class_direction, line_rollup, ridge_stack, group_gain)},
 }
 
 SQL: dict[str, str] = {}

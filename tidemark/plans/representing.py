@@ -167,11 +167,44 @@ def nmf_factors(spark: SparkSession, folder: str) -> DataFrame:
     return represent.als_factors(counts, "custid", "pc_nm", 12, implicit=False, nonnegative=True)
 
 
+def store_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every customer by store, zeros included: a pivot over the stores of both tables, turned back."""
+    both = sales(spark, folder).select("custid", "str_nm").unionByName(sales(spark, folder, "test_transactions").select("custid", "str_nm"))
+    stores = clean.values_of(both, "str_nm")
+    wide = clean.fixed_pivot(both, "custid", "str_nm", stores, "at_")
+    names = dict(zip(wide.columns[1:], stores, strict=True))
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("c"))
+    return wide.unpivot("custid", list(names), "c", "n").select("custid", name.alias("str_nm"), "n")
+
+
+def category_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 part names with most lines (a report)."""
+    per = sales(spark, folder).where("part_nm is not null").groupBy("part_nm").agg(F.count("*").alias("n_lines"), F.avg("net_amt").alias("net_mean"))
+    return per.orderBy(F.desc("n_lines"), "part_nm").limit(20).select("part_nm", "n_lines", _r("net_mean", 4))
+
+
+def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of customers and brands by skip-gram over random walks."""
+    walks = random_walks(spark, folder).groupBy("start", "walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("x"))
+    docs = walks.select(F.transform("x", lambda s: s["node"]).alias("tokens"))
+    from pyspark.ml.functions import vector_to_array
+
+    return represent.word_vectors(docs, 16, least=1).select("word", vector_to_array("vector").alias("vector"))
+
+
+def community_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a customer's amount by brand community, of the communities found by label propagation."""
+    com = cut(label_propagation(spark, folder))
+    counts = _counts(spark, folder, "brand").join(if_small(com), F.col("brand") == F.col("node"))
+    per = counts.groupBy("custid", "community").agg(F.sum("a").alias("a"))
+    return per.select("custid", "community", (F.col("a") / (F.sum("a").over(W.partitionBy("custid")) + 1e-9)).alias("share"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dim_weighted_mean, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
-        gauss_rank, feature_matrix, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors,
+        gauss_rank, feature_matrix, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share,
     )
 }
 
@@ -191,6 +224,9 @@ SELECT custid, {token}, {_q(f"x / sqrt(sum(x * x) OVER (PARTITION BY custid))",
 _BASE = BLOCKS["base_agg"].sql()
 _COLS = ("n_lines", "net_sum", "net_max", "visit_days")
 SQL = {
+    "store_counts": f"""{_S}, {sales_sql("test_transactions", "st")}, b AS (SELECT custid, str_nm FROM s UNION ALL SELECT custid, str_nm FROM st), v AS (SELECT DISTINCT str_nm FROM b WHERE str_nm IS NOT NULL), c AS (SELECT DISTINCT custid FROM b)
+SELECT c.custid, v.str_nm, count(b.custid) AS n FROM c CROSS JOIN v LEFT JOIN b ON b.custid = c.custid AND b.str_nm = v.str_nm GROUP BY ALL""",
+    "category_top": f"{_S} SELECT part_nm, count(*) AS n_lines, {_q('avg(net_amt)', 'net_mean', 4)} FROM s WHERE part_nm IS NOT NULL GROUP BY part_nm ORDER BY n_lines DESC, part_nm LIMIT 20",
     "dim_weighted_mean": f"""{_S}, m AS (SELECT upper(trim(brd_nm)) AS brand, avg(target_age) AS target_age, avg(price_tier) AS price_tier, avg(open_year) AS open_year FROM brand_meta WHERE trim(brd_nm) <> '' GROUP BY 1),
 g AS (SELECT avg(target_age) AS ga, avg(price_tier) AS gp, avg(open_year) AS go FROM m)
 SELECT custid, {_q("sum(coalesce(target_age, ga) * (w + 1)) / sum(w + 1)", "target_age", 4)}, {_q("sum(coalesce(price_tier, gp) * (w + 1)) / sum(w + 1)", "price_tier", 4)}, {_q("sum(coalesce(open_year, go) * (w + 1)) / sum(w + 1)", "open_year", 4)}
