@@ -10,7 +10,7 @@ TRIE = NameTrie(ENTRIES)
     "typed, ref",
     [
         ("신사양말", 2), ("  신사 양말　", 2), ("★신사양말", 2), ("[신사양말](본관)", 2), ("2F 신사양말 -신관", 2), ("신사양말코너", 2), ("신/사양말", 2), ("신사﻿양말", 2), ("신양말", 2), ("신사사양말", 2), ("사신양말", 2), ("싄사양말", 2), ("신사양먈(행)", 2),
-        ("tlstkdidakf", 2), ("TLSTK didakf", 2), ("GENTS HOSIERY", 2), ("ｇｅｎｔｓ ｈｏｓｉｅｒｙ", 2), ("Hosiery Gents", 2), ("GentsHosiery", 2), ("Gents-Hosiery", 2), ("Gents Hoseiry", 2), ("Gents Hosiry", 2), ("침장 리빙", 3), ("리빙침장", 3), ("리빙침장", 3), ("뷰티향.", 4), ("풍드호반찬", 5), ("임싼부양말 外", 6),
+        ("tlstkdidakf", 2), ("TLSTK didakf", 2), ("GENTS HOSIERY", 2), ("ｇｅｎｔｓ ｈｏｓｉｅｒｙ", 2), ("Hosiery Gents", 2), ("GentsHosiery", 2), ("Gents-Hosiery", 2), ("Gents Hoseiry", 2), ("Gents Hosiry", 2), ("침장 리빙", 3), ("리빙침장", 3), ("리빙침장", 3), ("뷰티향.", 4), ("풍드호반찬", 5), ("임싼부양말 外", 6), ("특별본관신사양말판매", 2),
     ],
 )
 def test_spellings_find_their_entry(typed, ref):

@@ -151,6 +151,20 @@ class NameTrie:
                 stack.append((child, nxt, row, above, ch, depth + 1))
         return found
 
+    def inside(self, text: str, hangul: int = 4, letters: int = 8) -> dict[int, float]:
+        """The entries whose longest path stands whole in ``text``, at 0.5 and a little for what is around
+        it; paths of fewer signs than ``hangul`` or ``letters`` may be parts of other words and don't count."""
+        found, most = {}, 0
+        for i in range(len(text)):
+            for root, least in ((self.hangul, hangul), (self.letters, letters)):
+                node, j = root, i
+                while j < len(text) and (node := node.children.get(text[j])):
+                    j += 1
+                    if node.refs and j - i >= max(least, most):
+                        found = dict.fromkeys(node.refs, 0.5) | (found if j - i == most else {})
+                        most = j - i
+        return found
+
     def best(self, typed: str, around: tuple[str, ...] = AROUND) -> tuple[int, float, int] | None:
         """The id of the closest entry, its distance and the number of entries as close; None if no
         entry is within reach. The words around a name may be left off: those in ``around`` and floors
@@ -180,6 +194,8 @@ class NameTrie:
             for text, left in spans:
                 for ref, cost in self.within(text).items():
                     best[ref] = min(best.get(ref, 9.0), cost + left)
+        if not best:
+            best = self.inside("".join(words))
         if not best:
             return None
         low = min(best.values())
