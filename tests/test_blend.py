@@ -69,3 +69,24 @@ def test_selection_modes(spark):
     assert n("consensus", high=0.9, low=0.1) == 12
     assert n("quota", share=0.1) == 20
     assert n("soft", share=0.4) == 22
+
+
+def test_logloss_weights_prefer_the_better_model(spark):
+    df, _ = preds(spark)
+    w = blend.wide(blend.rank_normalise(df, ["model"]), ["a", "b", "flat"], ["custid", "label"])
+    got = blend.logloss_weights(w, ["a", "b", "flat"], "label")
+    assert got["b"] == max(got.values()) and abs(sum(got.values()) - 1) < 1e-9 and min(got.values()) >= 0
+    assert blend.shrink({"a": 1.0, "b": 0.0}) == {"a": 0.875, "b": 0.125}
+
+
+def test_the_same_ranks_reproduce(spark):
+    df, _ = preds(spark)
+    a = df.where("model = 'b'")
+    assert blend.reproduces(a, a.withColumn("score", F.exp("score")), "custid")[0]
+    assert not blend.reproduces(a, a.withColumn("score", -F.col("score")), "custid")[0]
+
+
+def test_gap_correlation(spark):
+    df = spark.createDataFrame([("x", 0.8, 0.7, 0.7), ("x", 0.9, 0.7, 0.6), ("x", 0.7, 0.7, 0.8)], "who string, cv double, lb double, public double")
+    r = diagnose.gap_correlation(df, ["who"], "cv", "lb", "public").first()
+    assert r.n == 3 and abs(r["corr"] + 1) < 1e-9

@@ -90,3 +90,12 @@ def test_stream_windows_sessions_and_gaps(spark, tmp_path):
     assert sorted((r.custid, r.n) for r in got) == [(1, 1), (1, 2), (2, 1)]
     g = run_now(gaps(s, "ts", "custid")).collect()
     assert sorted((r.gap_s for r in g if r.gap_s is not None)) == [1800.0, 1860.0]
+
+
+def test_trials_are_kept(spark, tmp_path):
+    log = p.TrialLog(spark, str(tmp_path / "t"))
+    assert log.tried("a") == []
+    for c, v in ((0.1, 0.7), (1.0, 0.72)):
+        log.add("a", {"C": c}, v)
+    log.add("b", {"C": 5}, 0.9)
+    assert log.tried("a") == [({"C": 1.0}, 0.72), ({"C": 0.1}, 0.7)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -145,3 +146,19 @@ def reproduces(a: DataFrame, b: DataFrame, entity: str, score: str = "score", le
     y = rank_normalise(b.select(entity, score), [], score, "rb").select(entity, "rb")
     r = x.join(y, entity).agg(F.corr("ra", "rb")).first()[0]
     return r is not None and r >= least, float(r) if r is not None else float("nan")
+
+
+def logloss_weights(table: DataFrame, models: Sequence[str], label: str, steps: int = 15, rate: float = 0.5) -> dict[str, float]:
+    """Nonnegative weights of sum 1 that lower the log-loss of the weighted mean score: exponentiated
+    gradient, whose gradient over all rows is one aggregate a step. Scores are kept within [1e-6, 1 - 1e-6]."""
+    table = cut(table.select(*models, label))
+    w = [1 / len(models)] * len(models)
+    for _ in range(steps):
+        p = F.aggregate(F.array(*[F.col(m) * F.lit(float(x)) for m, x in zip(models, w, strict=True)]), F.lit(0.0), lambda a, x: a + x)
+        p = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+        slope = (p - F.col(label)) / (p * (1 - p))
+        g = table.agg(*[F.avg(slope * F.col(m)).alias(m) for m in models]).first()
+        top = max(abs(g[m] or 0.0) for m in models) or 1.0
+        w = [x * math.exp(-rate * (g[m] or 0.0) / top) for m, x in zip(models, w, strict=True)]
+        w = [x / sum(w) for x in w]
+    return dict(zip(models, w, strict=True))

@@ -59,3 +59,10 @@ def disagreement(table: DataFrame, models: list[str], label: str, at: float = 0.
     """``pattern, n, positive_rate``: entities by which of the models are right."""
     right = F.concat(*[F.when((F.col(m) >= at) == (F.col(label) == 1), "1").otherwise("0") for m in models])
     return table.groupBy(right.alias("pattern")).agg(F.count("*").alias("n"), F.avg(label).alias("positive_rate"))
+
+
+def gap_correlation(results: DataFrame, by: list[str], own: str, other: str, outcome: str) -> DataFrame:
+    """``by, n, corr``: how the gap ``own`` - ``other`` of results goes along with ``outcome``."""
+    gap = F.col(own) - F.col(other)
+    agg = results.groupBy(*by) if by else results.groupBy()
+    return agg.agg(F.count(gap).alias("n"), F.corr(gap, F.col(outcome)).alias("corr"))

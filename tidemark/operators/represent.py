@@ -183,3 +183,32 @@ def tfidf(counts: DataFrame, entity: str, token: str, least_df: int = 1, subline
     rows = counts.join(if_small(df), F.col(token) == F.col("__t")).withColumn("x", tf * (F.ln((1.0 + total) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(entity)))
     return rows.select(entity, token, (F.col("x") / norm).alias("weight"))
+
+
+def ppmi_vectors(rows: DataFrame, entity: str, token: str, k: int = 24, least: int = 10, limit: int = 4000) -> DataFrame:
+    """``word, vector``: leading eigenvectors of the tokens' PPMI matrix times the root of their values. The
+    matrix has at most ``limit`` squared entries, which is checked before it goes to the driver."""
+    words = dictionary(rows, token, least)
+    names = [r["token"] for r in words.orderBy("no").limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"over {limit} tokens: raise `least`")
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in ppmi(rows, entity, token, least).collect():
+        i, j = at[r["token_a"]], at[r["token_b"]]
+        m[i, j] = m[j, i] = r["ppmi"]
+    values, vectors = np.linalg.eigh(m)
+    lead = np.argsort(-np.abs(values))[: min(k, max(1, len(names) - 1))]
+    x = vectors[:, lead] * np.sqrt(np.abs(values[lead]))
+    x = x * np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
+    return rows.sparkSession.createDataFrame([(n, [float(v) for v in x[i]]) for n, i in at.items()], "word string, vector array<double>")
+
+
+def principal_components(df: DataFrame, columns: Sequence[str], entity: str, k: int) -> DataFrame:
+    """``entity, components`` of the standardised columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    filled = df.select(entity, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    stages = [VectorAssembler(inputCols=list(columns), outputCol="f"), StandardScaler(inputCol="f", outputCol="s", withMean=True), PCA(inputCol="s", outputCol="p", k=k)]
+    return Pipeline(stages=stages).fit(filled).transform(filled).select(entity, vector_to_array("p").alias("components"))

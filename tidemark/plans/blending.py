@@ -116,6 +116,11 @@ def weight_search(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(blend.search_weights(w, MODELS, "label", rounds=4).items()), "model string, weight double")
 
 
+def logloss_weights(spark: SparkSession, folder: str) -> DataFrame:
+    w = blend.wide(ranks(spark, folder).where("split = 'train'"), MODELS, ["custid", "label"])
+    return spark.createDataFrame(list(blend.logloss_weights(w, MODELS, "label").items()), "model string, weight double")
+
+
 QUERIES = {
     "rank_norm": rank_norm,
     "auc": auc,
@@ -131,6 +136,7 @@ QUERIES = {
     "hill_climb": hill_climb,
     "stability_selection": stability_selection,
     "weight_search": weight_search,
+    "logloss_weights": logloss_weights,
 }
 
 

@@ -200,11 +200,28 @@ def community_share(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("custid", "community", (F.col("a") / (F.sum("a").over(W.partitionBy("custid")) + 1e-9)).alias("share"))
 
 
+def ppmi_svd(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as the mean of their brands' PPMI vectors, weighted by lines."""
+    vectors = represent.ppmi_vectors(sales(spark, folder), "custid", "brand", 16)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    side = vectors.select(F.col("word").alias("brand"), array_to_vector("vector").alias("vector"))
+    rows = _counts(spark, folder, "brand").join(F.broadcast(side), "brand")
+    from pyspark.ml.stat import Summarizer
+
+    return rows.groupBy("custid").agg(vector_to_array(Summarizer.mean(F.col("vector"), F.col("n").cast("double"))).alias("factors"))
+
+
+def pca(spark: SparkSession, folder: str) -> DataFrame:
+    base = BLOCKS["base_agg"].spark(spark, folder)
+    return represent.principal_components(base, ["n_lines", "n_goods", "n_brands", "visit_days", "net_mean", "net_std", "weekend_share", "hour_mean"], "custid", 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dim_weighted_mean, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
-        gauss_rank, feature_matrix, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share,
+        gauss_rank, feature_matrix, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca,
     )
 }
 

@@ -126,3 +126,21 @@ class FoldStore:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.root)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class TrialLog:
+    """Trials of a parameter study as rows under a folder: appended, never changed, read by whoever goes on."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def add(self, study: str, params: dict, value: float) -> None:
+        row = [(study, json.dumps(params, sort_keys=True), float(value))]
+        self.spark.createDataFrame(row, "study string, params string, value double").coalesce(1).write.mode("append").parquet(self.root)
+
+    def tried(self, study: str) -> list[tuple[dict, float]]:
+        """All trials of a study, best first."""
+        if not exists(self.spark, self.root):
+            return []
+        rows = self.spark.read.parquet(self.root).where(F.col("study") == study).orderBy(F.desc("value"), "params").collect()
+        return [(json.loads(r["params"]), r["value"]) for r in rows]
