@@ -258,7 +258,7 @@ def _blocks(pdf: pd.DataFrame, signs_held: int = 4_000_000) -> Iterator[tuple[li
         yield keys, texts
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = 0.4, held: int = 20_000_000) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = 0.4, held: int = 4_000_000) -> DataFrame:
     """``key, item_key, n_words, share`` for every text that carries one connected stretch of an item's
     text, in its order, of at least ``share`` of the item's words, where up to one word in eight is
     replaced. Letter case, width, composition, punctuation, spacing, line breaks and markup don't count.
@@ -269,7 +269,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     diagonal they are extended in both directions over replaced words, and the longest stretch decides.
     Wording that many items share only gives hits; its stretch is too short to count.
 
-    The items' fingerprints are sent to all tasks if the items have at most ``held`` signs, and the join
+    The items' fingerprints are sent to all tasks if the items have at most ``held`` signs (an index of
+    about 25 bytes a sign in each worker), and the join
     happens where the text is read, so that no fingerprint of a text is shuffled. A larger test set is
     joined by a shuffle (``leaks_shuffled``) with the same result.
 

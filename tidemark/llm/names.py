@@ -72,9 +72,10 @@ def allowed(length: int, hangul: bool) -> float:
     return 0.0 if length < 4 else 1.0 if length < 8 else 2.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """A state of the trie; ``rest`` are the lengths of the paths through it."""
+    """A state of the trie: the entries whose path ends here, and the greatest distance allowed for any
+    path through it."""
 
     children: dict
     refs: frozenset = frozenset()
@@ -230,7 +231,7 @@ class Reference:
     names: tuple[str, ...]
 
 
-def spellings(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ...] = AROUND, block: int = 50_000) -> DataFrame:
+def spellings(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ...] = AROUND, block: int = 5_000) -> DataFrame:
     """A row for each distinct typed value of each field of ``fields``: ``field, value, ref_id,
     distance, n_as_close``; ``ref_id`` is -1 where no entry is within reach.
 
