@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from tidemark.operators.ordered import with_position, with_previous
+from tidemark.operators.quantile import quantiles
 from tidemark.operators.rank import average_rank, digest_rank, spread_rank
 
 T0 = datetime(2025, 1, 1)
@@ -63,3 +64,15 @@ def test_average_rank_with_ties(spark):
                 assert got[r[2]] == (below + (same + 1) / 2, len(vals))
     assert len(got) == sum(r[1] is not None for r in rows)
     assert average_rank(spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double"), [], "v").agg({"rank": "max"}).first()[0] == 3.0
+
+
+def test_quantiles_of_either_way(spark):
+    import numpy as np
+
+    rng = random.Random(7)
+    xs = [rng.lognormvariate(3, 2) for _ in range(3000)] + [5.0] * 400
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "v double")
+    qs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    for held in (10_000, 20):
+        assert np.allclose(quantiles(df, "v", qs, held), np.quantile(xs, qs), rtol=1e-12)
+    assert quantiles(df.where("false"), "v", [0.5]) == [None]

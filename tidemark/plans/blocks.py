@@ -447,7 +447,7 @@ BLOCKS["pivot_counts"] = (
 
 BLOCKS["line_features"] = LINES.cols(season=HALF, zone=ZONE).agg(
     "custid line_id", h="max(h)", dow="max(dow)", mon="max(mon)", weekend="max(case when dow >= 5 then 1 else 0 end)", dr="max(case when coalesce(tot_amt, 0) = 0 then 0 else cast(dis_amt as double) / tot_amt end)", nr="max(case when coalesce(tot_amt, 0) = 0 then 1 else cast(net_amt as double) / tot_amt end)", sl="max(sign(net_amt) * ln(1 + abs(net_amt)))"
-).select(custid="custid", line_id="line_id", hour="h", dow="dow", month="mon", weekend="weekend", **{n: f"round({c} + 1e-10, 6)" for n, c in {"dis_ratio": "dr", "net_ratio": "nr", "signed_log": "sl"}.items()})
+).select(custid="custid", line_id="line_id", **{n: f"cast({c} as bigint)" for n, c in {"hour": "h", "dow": "dow", "month": "mon", "weekend": "weekend"}.items()}, **{n: f"round({c} + 1e-10, 6)" for n, c in {"dis_ratio": "dr", "net_ratio": "nr", "signed_log": "sl"}.items()})
 
 BLOCKS["category_rate"] = LINES.where("corner_nm is not null").agg("corner_nm", n="count(*)", k="count(distinct custid)", m="avg(net_amt)", share="avg(case when net_amt < 0 then 1e0 else 0e0 end)").where("n >= 50").select(corner_nm="corner_nm", n_lines="n", n_customers="k", net_mean="round(m, 4)", refund_share="round(share, 6)")
 

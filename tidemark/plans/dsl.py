@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import with_position, with_previous
+from tidemark.operators.quantile import quantiles
 from tidemark.sources.sales import sales, sales_sql
 
 _SPARK = {
@@ -193,6 +194,17 @@ def _first_last(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy("custid", "d").agg(F.min_by(column, at).alias(f"first_{column}"), F.max_by(column, at).alias(f"last_{column}"))
 
 
+def _overall(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Quantiles come as numbers, from a column that may have any number of values; the rest as one row."""
+    plain = {}
+    for name, e in exprs.items():
+        if m := re.fullmatch(r"\{pct (\w+);([0-9.]+)\}", e):
+            df = df.withColumn(name, F.lit(quantiles(df, m.group(1), [float(m.group(2))])[0]).cast("double"))
+        else:
+            plain[name] = e
+    return df.crossJoin(F.broadcast(df.agg(*_exprs(plain)))) if plain else df
+
+
 _APPLY: dict[str, Callable] = {
     "cols": lambda df, e: df.selectExpr("*", *[f"{spark_sql(x)} as {k}" for k, x in e.items()]),
     "out": lambda df, e: df.select(*_exprs(e)),
@@ -201,7 +213,7 @@ _APPLY: dict[str, Callable] = {
     "previous": lambda df, c: with_previous(df, "custid", "d", ["ts", "line_id"], list(c)),
     "position": lambda df: with_position(df, "custid", "d", ["ts", "line_id"]),
     "totals": _totals,
-    "overall": lambda df, e: df.crossJoin(F.broadcast(df.agg(*_exprs(e)))),
+    "overall": _overall,
     "relative": _relative,
     "gap": _gap,
     "placed": _placed,
