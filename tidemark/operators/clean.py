@@ -87,6 +87,8 @@ def values_of(df: DataFrame, column: str, most: int = 2000) -> list[str]:
 
 def fixed_pivot(df: DataFrame, key: str, column: str, values: Sequence[str], prefix: str) -> DataFrame:
     """``key`` and a count for each of ``values``, which are stated, so that every table has one schema."""
+    if not values:
+        return df.select(key).distinct()
     names = safe_names([f"{prefix}{v}" for v in values])
     return df.groupBy(key).agg(*[F.sum(F.when(F.col(column) == v, 1).otherwise(0)).alias(n) for v, n in zip(values, names, strict=True)])
 

@@ -171,6 +171,8 @@ def store_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every customer by store, zeros included: a pivot over the stores of both tables, turned back."""
     both = sales(spark, folder).select("custid", "str_nm").unionByName(sales(spark, folder, "test_transactions").select("custid", "str_nm"))
     stores = clean.values_of(both, "str_nm")
+    if not stores:
+        return both.select("custid", "str_nm", F.lit(0).cast("long").alias("n")).where("false")
     wide = clean.fixed_pivot(both, "custid", "str_nm", stores, "at_")
     names = dict(zip(wide.columns[1:], stores, strict=True))
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("c"))
