@@ -38,6 +38,10 @@ AROUND, LAGS = 8, 24
 FIRST = 1 << 40
 #: A window with a lower share of binding words is a list; with regular repetition, one below BOUND.
 LISTED, BOUND, REPEATED = 0.2, 0.35, 0.6
+#: A window with such a share of terms that recur within AROUND is a list unless BOUND of its words bind
+#: surely; with PARTLY, as where a list meets a sentence, its recurring terms that don't bind surely are
+#: listed. In a text of such an autocorrelation, a window with fewer than LISTED that do is a list.
+CLOSE, PARTLY, REGULAR = 0.9, 0.4, 0.8
 
 #: Single Korean letters, as in a written laugh, belong to no word.
 LETTERS = re.compile("[\u1100-\u11ff\u3130-\u318f]+")
@@ -51,8 +55,10 @@ def _unmarked(m: re.Match) -> str:
 
 
 def terms(text: str) -> tuple[list[int], list[int], list[int]]:
-    """(number, length, kind) of every term: kind 1 is a word that binds sentences, 0 another word, -1 a
-    link or tag. Words over two pieces long are cut, and a piece binds by what stands inside."""
+    """(number, length, kind) of every term: kind 2 is a word that surely binds sentences (a function word,
+    an ending of several syllables, a particle that no noun holds), 1 one that does by its last syllable
+    alone, 0 another word, -1 a link or tag. Words over two pieces long are cut, and a piece binds by what
+    stands inside."""
     text = LETTERS.sub(" ", unicodedata.normalize("NFKC", text))
     if "<" in text:
         text = MARKUP.sub(_unmarked, text)
@@ -67,16 +73,17 @@ def terms(text: str) -> tuple[list[int], list[int], list[int]]:
         elif n > 7 and LINK.match(t):
             kind = -1
         elif t.isascii():
-            kind = int(t.lower() in FUNCTION_WORDS)
+            kind = 2 * (t.lower() in FUNCTION_WORDS)
         elif n > 2 * PIECE:
             for k in range(0, n, PIECE):
                 piece = t[k : k + PIECE]
                 ids.append(hash(piece))
                 sizes.append(len(piece))
-                kinds.append(int(INSIDE.search(piece) is not None))
+                kinds.append(2 * (INSIDE.search(piece) is not None))
             continue
         else:
-            kind = int(n > 1 and (t[-1] in ENDINGS_1 or t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2))
+            sure = t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2 or INSIDE.search(t)
+            kind = 0 if n < 2 else 2 if sure and (t[-1] in ENDINGS_1 or t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2) else int(t[-1] in ENDINGS_1)
         ids.append(hash(t.lower()) if kind >= 0 else hash(t))
         sizes.append(n)
         kinds.append(kind)
@@ -117,6 +124,9 @@ def measure(texts: list[str]) -> pd.DataFrame:
     same = (doc[order][1:] == doc[order][:-1]) & (ids[order][1:] == ids[order][:-1])
     gap = np.full(n, FIRST, dtype=np.int64)
     gap[order[1:][same]] = (pos[order][1:] - pos[order][:-1])[same]
+    # and to the nearer one of its last and next
+    near = gap.copy()
+    near[order[:-1][same]] = np.minimum(gap[order[:-1][same]], gap[order[1:][same]])
     fresh = np.add.reduceat(np.append((gap == FIRST).astype(np.int64), 0), np.minimum(starts, n))
     # autocorrelation of the term sequence at each lag
     best, at = np.zeros(len(counts)), np.zeros(len(counts), dtype=np.int64)
@@ -129,9 +139,15 @@ def measure(texts: list[str]) -> pd.DataFrame:
         share[counts <= lag + 3] = 0
         better = share > best
         best[better], at[better] = share[better], lag
-    bind = window(kinds == 1)
+    # a last syllable says nothing of a word that stands there again and again
+    bind = window((kinds == 2) | ((kinds == 1) & (near > AROUND)))
+    sure = window(kinds == 2)
     again = window(gap <= LAGS)
     keyword = (kinds < 0) | (bind < LISTED) | ((again >= REPEATED) & (bind < BOUND))
+    close = window(near <= AROUND)
+    keyword |= (close >= CLOSE) & (sure < BOUND)
+    keyword |= (close >= PARTLY) & (near <= AROUND) & (kinds < 2)
+    keyword |= (best[doc] >= REGULAR) & (sure < LISTED)
 
     def total(x: np.ndarray) -> np.ndarray:
         s = np.add.reduceat(np.append(x, 0), np.minimum(starts, n))
@@ -160,9 +176,11 @@ def keyword_pages(df: DataFrame, key: str, text: str) -> DataFrame:
     Method: a window of AROUND terms on each side of a term shows a list if few of its words bind a
     sentence (function words, Korean particles and verb endings), however different the nouns are; with
     unnaturally regular repetition, that is, most terms recurring within LAGS, more binding words are
-    needed. Links and tags are no sentence. The signs of the terms outside of lists make the sentence
-    share, which decides. The strongest positional autocorrelation over the lags 1 to LAGS, and where, is
-    reported with it.
+    needed. A last syllable makes no word binding that recurs within AROUND, and a window of almost only
+    such terms, or any in a text whose strongest positional autocorrelation over the lags 1 to LAGS is
+    at least REGULAR, is a list unless words bind it surely; so sentences that are written again and
+    again stay sentences. Links and tags are no sentence. The signs of the terms outside of lists make
+    the sentence share, which decides. ``distinct_share`` and ``repeated_share`` are only reported.
 
     Each row is judged by itself; nothing is shuffled. Defined cases: null, blank and sign-only texts have
     0 terms and aren't stuffed; a text of under FEW terms without link or tag is a remark; texts are read
