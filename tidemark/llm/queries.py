@@ -13,6 +13,8 @@ from tidemark.llm.pairs import pairs_together
 from tidemark.llm.percentiles import from_histogram, histogram, merge, percentiles
 from tidemark.llm.splits import linked_groups, number_written, split_groups, split_rows
 from tidemark.llm.stuffing import keyword_pages
+from tidemark.plans.events import PART_IDS, part_features
+from tidemark.session import if_small
 from tidemark.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -100,6 +102,16 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _together(spark, folder, 0).withColumns({"lift": F.round("lift", 6), "npmi": F.round("npmi", 6)})
 
 
+def p6_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of ``p6_features`` with every spelling counted for the part it means; values that name
+    no part have columns of their own, ``_k0``. Null and blank values count only in the sums over all."""
+    sales, fields = table(spark, folder, "train_transactions"), _fields(spark, folder)
+    ref = fields["part_nm"]
+    typed = spellings(sales, {"part_nm": ref}).select(F.col("value").alias("nm"), F.greatest("ref_id", F.lit(0)).cast("int").alias("part_id"))
+    own = ref.table.where("trim(part_nm) <> ''").groupBy(F.col("part_nm").alias("nm")).agg(F.min("part_id").cast("int").alias("part_id"))
+    return part_features(sales, F.col("part_nm"), if_small(typed.unionByName(own)), [0, *PART_IDS])
+
+
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of documents in containers of 2,048 tokens."""
     sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
@@ -128,6 +140,7 @@ QUERIES = {
     "p3_merged": p3_merged,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p6_parts": p6_parts,
 }
 
 _PAIRS = """

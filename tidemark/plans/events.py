@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +42,25 @@ def plain_name(name: str | Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "")
 
 
-def p6_features(spark: SparkSession, folder: str) -> DataFrame:
+def part_features(sales: DataFrame, name: Column, names: DataFrame, part_ids: Sequence[int]) -> DataFrame:
     """One row per custid with lines, days since the last and net_amt of each part, over all time and the
-    last 30 days, as of the last sale in the table. A part_nm counts for the part whose Korean or English
-    name it is but for case, spacing and marks; any other text counts only in the sums over all."""
-    sales = table(spark, folder, "train_transactions")
+    last 30 days, as of the last sale in the table. ``names`` (nm, part_id; each nm once) says which part a
+    ``name`` means; names that aren't in it count only in the sums over all."""
+    now = sales.agg(F.max(micros("sales_datetime"))).first()[0] or 0
+    typed = sales.select("line_id", "custid", "sales_datetime", "net_amt", name.alias("nm")).join(names, "nm", "left")
+    cum = cumulative_table(typed, "custid", "part_id", "sales_datetime", "net_amt", "line_id")
+    return entity_table(cum, now // DAY_US, now, part_ids, PART_WINDOWS).withColumnRenamed("entity", "custid")
+
+
+def p6_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of parts by their plain names: a part_nm counts for the part whose Korean or English
+    name it is but for case, spacing and marks; any other text counts only in the sums over all.
+    ``p6_parts`` of the llm package has every spelling."""
     # part_ref is fixed at 137 rows
     ref = table(spark, folder, "part_ref")
     names = ref.select("part_id", F.explode(F.array("part_nm", "part_nm_en")).alias("nm")).select(plain_name("nm").alias("nm"), "part_id")
     names = names.where("nm <> ''").groupBy("nm").agg(F.min("part_id").cast("int").alias("part_id"))
-    now = sales.agg(F.max(micros("sales_datetime"))).first()[0] or 0
-    typed = sales.select("line_id", "custid", "sales_datetime", "net_amt", plain_name("part_nm").alias("nm")).join(F.broadcast(names), "nm", "left")
-    cum = cumulative_table(typed, "custid", "part_id", "sales_datetime", "net_amt", "line_id")
-    return entity_table(cum, now // DAY_US, now, PART_IDS, PART_WINDOWS).withColumnRenamed("entity", "custid")
+    return part_features(table(spark, folder, "train_transactions"), plain_name("part_nm"), F.broadcast(names), PART_IDS)
 
 
 QUERIES = {"p5_found": p5_found, "p5_sessions": p5_sessions, "p6_features": p6_features}
