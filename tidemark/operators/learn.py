@@ -170,36 +170,80 @@ class LeafLogistic:
         return self.model.transform(self._leaves(df))
 
 
-def knn_scores(train: DataFrame, query: DataFrame, entity: str, k: int = 50, components: int = 8, block: int = 200_000) -> DataFrame:
-    """``entity, score``: the distance-weighted share of positives among the ``k`` nearest train rows by the
-    leading principal components. The train side goes to the tasks in blocks of a bounded number of rows,
-    and each query row keeps its ``k`` nearest over the blocks."""
+def _nearest(q: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and labels of the ``k`` rows of ``x`` nearest to each row of ``q``, the nearest first, equal
+    ones by label. Rows come in so many groups that the k-th smallest of the groups' minima is a bound;
+    only what is within it is measured exactly and sorted."""
+    n = len(x)
+    k = min(k, n)
+    width = max(1, n // (8 * k))
+    groups = -(-n // width)
+    side = np.full((groups * width, x.shape[1] + 1), 0, dtype=np.float32)
+    side[:n, :-1], side[:n, -1], side[n:, -1] = -2 * x, (x * x).sum(1), np.float32(1e30)
+    ds, ys = [np.empty((0, k))], [np.empty((0, k), dtype=y.dtype)]
+    step = max(1, 8_000_000 // len(side))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        own = (part * part).sum(1)
+        near = np.hstack([part, np.ones((len(part), 1))]).astype(np.float32) @ side.T  # squared, less the own square
+        most = np.partition(near.reshape(len(part), width, groups).min(1), k - 1, axis=1)[:, k - 1].astype(float)
+        most += 1e-5 * (own + np.maximum(most + own, 0)) + 1e-6
+        row, at = np.nonzero(near <= most[:, None].astype(np.float32))
+        row, at = row[at < n], at[at < n]
+        # in pieces: where many rows are equal, all of them are within the bound
+        d = np.concatenate([np.sqrt(((part[row[j : j + 200_000]] - x[at[j : j + 200_000]].astype(float)) ** 2).sum(1)) for j in range(0, len(row), 200_000)])
+        order = np.lexsort((y[at], d, row))
+        row, at, d = row[order], at[order], d[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        ds.append(d[kept].reshape(-1, k))
+        ys.append(y[at[kept]].reshape(-1, k))
+    return np.concatenate(ds), np.concatenate(ys)
+
+
+def knn_scores(train: DataFrame, query: DataFrame, entity: str, k: int = 50, components: int = 8, block: int = 200_000, keep: Sequence[str] = ()) -> DataFrame:
+    """``entity, score`` and the columns ``keep`` of ``query``, each row once: the distance-weighted share of
+    positives among the ``k`` nearest train rows by the leading principal components. The train side goes
+    to the tasks in blocks of a bounded number of rows, and each query row keeps its ``k`` nearest over
+    the blocks."""
     pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(inputCol="scaled", outputCol="pc", k=components)]).fit(train)
     base = cut(pipe.transform(train).select("label", vector_to_array("pc").alias("v"), F.pmod(F.xxhash64(entity), F.lit(1 << 30)).alias("h")))
     n = base.count()
     blocks = max(1, -(-n // block))
-    rows = cut(pipe.transform(query).select(entity, vector_to_array("pc").alias("v")))
-    kind = query.schema[entity].dataType.simpleString()
+    keys = [entity, *keep]
+    rows = cut(pipe.transform(query).select(*keys, vector_to_array("pc").alias("v")).repartition(query.sparkSession.sparkContext.defaultParallelism))
+    kinds = ", ".join(f"{c} {query.schema[c].dataType.simpleString()}" for c in keys)
     found = None
     for i in range(blocks):
-        part = base.where(F.pmod("h", F.lit(blocks)) == i).select("label", "v").toPandas()
-        x, y = np.array(part["v"].tolist(), dtype=np.float32).reshape(len(part), -1), part["label"].to_numpy()
+        part = base.where(F.pmod("h", F.lit(blocks)) == i).select("label", "v").toArrow()
+        if not part.num_rows:
+            continue
+        x = part["v"].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(part.num_rows, -1)
+        y = part["label"].to_numpy().astype(np.int32)
+        del part
 
         def near(batches, x=x, y=y):
             for pdf in batches:
-                q = np.array(pdf["v"].tolist(), dtype=np.float32)
-                d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                m = min(k, d.shape[1])
-                at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({entity: np.repeat(pdf[entity].to_numpy(), m), "d": np.sqrt(np.take_along_axis(d, at, 1)).ravel().astype(float), "y": y[at].ravel().astype(int)})
-
-        if len(part):
-            hits = rows.mapInPandas(near, f"{entity} {kind}, d double, y int")
-            found = hits if found is None else found.unionByName(hits)
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "y"))), 1, k)
+                d, at = _nearest(np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1), x, y, k)
+                yield pdf[keys].assign(d=list(d), y=list(at))
+
+        hits = rows.mapInPandas(near, f"{kinds}, d array<double>, y array<int>").select(*keys, F.arrays_zip("d", "y").alias("x"))
+        found = hits if found is None else found.unionByName(hits)
+    if blocks > 1:
+        found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, k).alias("x"))
     w = lambda s: 1.0 / (s["d"] + 1e-6)
-    out = found.groupBy(entity).agg(nearest.alias("x"))
-    return out.select(entity, (F.aggregate("x", F.lit(0.0), lambda a, s: a + w(s) * s["y"]) / F.aggregate("x", F.lit(0.0), lambda a, s: a + w(s))).alias("score"))
+    return found.select(*keys, (F.aggregate("x", F.lit(0.0), lambda a, s: a + w(s) * s["y"]) / F.aggregate("x", F.lit(0.0), lambda a, s: a + w(s))).alias("score"))
+
+
+def knn_predict(train: DataFrame, test: DataFrame, entity: str = "custid", fold: str = "fold", folds: int = 5, **args) -> DataFrame:
+    """``entity, split, score`` as ``oof_predict``: each train row scored by the rows of the other folds, each
+    test row by the mean over all. ``args`` go to ``knn_scores``."""
+    train, test = cut(train), cut(test.select(entity, "features", F.lit("test").alias("split")))
+    out = None
+    for k in range(folds):
+        query = train.where(F.col(fold) == k).select(entity, "features", F.lit("train").alias("split")).unionByName(test)
+        one = cut(knn_scores(train.where(F.col(fold) != k), query, entity, keep=["split"], **args))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(entity, "split").agg(F.avg("score").alias("score"))
 
 
 def class_direction(df: DataFrame, columns: Sequence[str], entity: str, label: str = "label", fold: str = "fold", folds: int = 5) -> DataFrame:

@@ -47,8 +47,13 @@ def seed_bagging(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, folder: str) -> DataFrame:
-    data = _train(spark, folder)
-    return learn.knn_scores(data.where("fold <> 0"), data.where("fold = 0"), "custid", k=25, components=4)
+    """The 200 nearest by 30 components of the whole base block: labelled customers out of fold, those of
+    test_transactions by the mean over the folds."""
+    block = BLOCKS["base_agg"]
+    test = type(block)(block.steps, ["test_transactions"]).spark(spark, folder)
+    rows = block.spark(spark, folder).join(folds_of(spark, folder), "custid")
+    columns = [c for c in test.columns if c != "custid"]
+    return learn.knn_predict(learn.assemble(rows, columns, ["custid", "label", "fold"]), learn.assemble(test, columns, ["custid"]), k=200, components=30)
 
 
 def adversarial(spark: SparkSession, folder: str) -> DataFrame:
