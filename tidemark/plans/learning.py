@@ -46,14 +46,25 @@ def seed_bagging(spark: SparkSession, folder: str) -> DataFrame:
     return learn.mean_over(runs)
 
 
-def knn(spark: SparkSession, folder: str) -> DataFrame:
-    """The 200 nearest by 30 components of the whole base block: labelled customers out of fold, those of
-    test_transactions by the mean over the folds."""
+def _train_and_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All columns of the base block as features: labelled customers with folds, those of test_transactions."""
     block = BLOCKS["base_agg"]
     test = type(block)(block.steps, ["test_transactions"]).spark(spark, folder)
     rows = block.spark(spark, folder).join(folds_of(spark, folder), "custid")
     columns = [c for c in test.columns if c != "custid"]
-    return learn.knn_predict(learn.assemble(rows, columns, ["custid", "label", "fold"]), learn.assemble(test, columns, ["custid"]), k=200, components=30)
+    return learn.assemble(rows, columns, ["custid", "label", "fold"]), learn.assemble(test, columns, ["custid"])
+
+
+def knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The 200 nearest by 30 components of the whole base block: labelled customers out of fold, those of
+    test_transactions by the mean over the folds."""
+    return learn.knn_predict(*_train_and_test(spark, folder), k=200, components=30)
+
+
+def gbt_oof(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled customers out of fold, those of test_transactions by the mean over the folds."""
+    train, test = _train_and_test(spark, folder)
+    return learn.oof_predict(lambda: learn.learner("gbt", maxIter=8, maxDepth=3), train, cut(test))
 
 
 def adversarial(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,11 +169,10 @@ def group_gain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "gbt_oof": _oof("gbt", maxIter=8, maxDepth=3),
     "forest_oof": _oof("forest", numTrees=15, maxDepth=5),
     "logistic_oof": _oof("logistic", regParam=0.01),
     "mlp_oof": _oof("mlp", layers=[len(COLUMNS), 8, 2], maxIter=20),
-    **{f.__name__: f for f in (leaf_logistic, seed_bagging, knn, adversarial, logistic_stack, pseudo_augmented, cotrain, parameter_search, feature_selection, class_direction, line_rollup, ridge_stack, group_gain)},
+    **{f.__name__: f for f in (gbt_oof, leaf_logistic, seed_bagging, knn, adversarial, logistic_stack, pseudo_augmented, cotrain, parameter_search, feature_selection, class_direction, line_rollup, ridge_stack, group_gain)},
 }
 
 SQL: dict[str, str] = {}
