@@ -51,3 +51,31 @@ def test_texts_do_not_touch_each_other():
 def test_the_lag_of_a_repeated_list_is_found():
     r = measure(["코트 베이지 장갑 와인색 셔츠 " * 40]).iloc[0]
     assert r.best_lag % 5 == 0 and r.autocorrelation > 0.99 and r.repeated_share > 0.9
+
+
+OTHER = [
+    "Der Teppich ist sehr weich und die Farbe passt gut zu unserem Sofa. Die Lieferung kam nach zwei Tagen und der Karton war leider etwas beschädigt, aber der Kundendienst hat schnell geholfen.",
+    "La alfombra es muy suave y el color combina bien con nuestro sofá. El envío llegó en dos días y la caja estaba algo dañada, pero el servicio al cliente nos ayudó rápido.",
+    "Le tapis est très doux et la couleur va bien avec notre canapé. La livraison est arrivée en deux jours mais le carton était un peu abîmé.",
+    "Matto on erittäin pehmeä ja väri sopii hyvin sohvaamme. Toimitus saapui kahdessa päivässä, mutta laatikko oli hieman vaurioitunut.",
+    "このラグはとても柔らかくて、色もソファによく合います。配送は二日で届きましたが、箱が少し傷んでいました。カスタマーサービスがすぐに対応してくれました。",
+    "这块地毯非常柔软，颜色也很适合我们的沙发。快递两天就到了，不过箱子有点破损，客服很快就帮我们解决了。",
+    "Ковёр очень мягкий, и цвет хорошо подходит к нашему дивану. Доставка пришла через два дня, но коробка была немного повреждена.",
+]
+
+
+@pytest.mark.parametrize("text", OTHER)
+def test_prose_of_other_languages(text):
+    assert measure([text, text * 20]).sentence_share.min() > 0.67
+
+
+@pytest.mark.parametrize("text", ["러그 세일 담요 특가 로퍼", "rug sale blanket cheap loafer", "Teppich günstig Sofa Angebot Schuhe Rabatt Tasche Gutschein Lampe billig", "ラグ セール コート 特価 ブランケット 激安 マグカップ"])
+def test_short_lists(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert keyword_pages(df, "doc_id", "text").first().is_stuffed
+
+
+def test_periods_of_any_length():
+    r = measure([" ".join(f"상품{i}쥬로 누리{i}고" for i in range(45)) * 3]).iloc[0]
+    assert r.best_lag == 89 or r.best_lag == 90
+    assert r.sentence_share < 0.2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,11 @@ ENDINGS_2 = frozenset(
 
 TOKEN = re.compile(r"https?://\S+|www\.\S+|#[^\s#]+|[^\W_]+(?:[.,:][0-9]+)*|[^\w\s]+|_+")
 LINK = re.compile(r"https?://|www\.")
-HANGUL = re.compile("[가-힣]")
+HANGUL = re.compile("[\uac00-\ud7a3]")
+KANA, HIRAGANA = re.compile("[\u3041-\u3096\u30a1-\u30fa]"), re.compile("[\u3041-\u3096]")
+LATIN = re.compile("[a-zA-Z\u00c0-\u024f]+")
+#: Scripts whose words are read here: Latin, Hangul and kana; Han signs in texts with kana.
+READ = re.compile("[a-z\u00c0-\u024f\uac00-\ud7a3\u3041-\u3096\u30a1-\u30fa0-9]", re.IGNORECASE)
 #: Where sentences are glued together, these stand in every one of them; bare nouns seldom hold them.
 INSIDE = re.compile("[을를는었았했겠]|에서|으로|니다|렸다|졌다|이다|한다|된다|까지|부터|지만|하고|하며|라고|다고|면서|십시오|어요|아요|네요|세요|습니|에게|께서|보다|처럼|이고|이며|어서|아서|해서|줘서|라서|려고|에는|에도")
 
@@ -43,6 +48,9 @@ LISTED, BOUND, REPEATED = 0.2, 0.35, 0.6
 #: listed. In a text of such an autocorrelation, a window with fewer than LISTED that do is a list.
 CLOSE, PARTLY, REGULAR = 0.9, 0.4, 0.8
 
+#: Unknown words of so many signs are more than a keyword.
+LONG = 5
+
 #: Single Korean letters, as in a written laugh, belong to no word.
 LETTERS = re.compile("[\u1100-\u11ff\u3130-\u318f]+")
 MARKUP = re.compile(r"<[^<>]*>")
@@ -54,15 +62,39 @@ def _unmarked(m: re.Match) -> str:
     return f" {link.group()} " if link else " "
 
 
+#: A text of at least WORDS Latin words of which under ENGLISH are English function words is in another
+#: language if SHORT of them, at least 3 different ones, have up to 3 letters, or MARKED of them letters
+#: beyond English; short words bind there, as function words are short in every alphabet.
+WORDS, ENGLISH, SHORT, MARKED = 5, 0.1, 0.25, 0.15
+
+
+def _latin(words: list[tuple[int, str]], kinds: list[int]) -> None:
+    """Sets the kinds of a text's Latin words, given as (place, word), if it isn't English."""
+    if len(words) < WORDS or sum(kinds[k] == 2 for k, _ in words) >= ENGLISH * len(words):
+        return
+    short = [k for k, w in words if len(w) <= 3 and kinds[k] == 0]
+    marked = sum(not w.isascii() for _, w in words)
+    if marked < MARKED * len(words):
+        often = Counter(w for _, w in words if len(w) <= 3)
+        # one short word that makes most of them is a keyword
+        if len(short) < SHORT * len(words) or len(often) < 3 or 2 * max(often.values()) > often.total():
+            return
+    for k, w in words:
+        # where words are few but long, as in agglutinating languages, they can't be told apart
+        kinds[k] = 2 if len(w) <= 3 else 3 if len(short) < SHORT * len(words) else kinds[k]
+
+
 def terms(text: str) -> tuple[list[int], list[int], list[int]]:
     """(number, length, kind) of every term: kind 2 is a word that surely binds sentences (a function word,
-    an ending of several syllables, a particle that no noun holds), 1 one that does by its last syllable
-    alone, 0 another word, -1 a link or tag. Words over two pieces long are cut, and a piece binds by what
-    stands inside."""
+    an ending of several syllables, a particle that no noun holds, hiragana, a short word of another Latin
+    language), 1 one that does by its last syllable alone, 0 another word, 3 a word in a script or language
+    whose binding words aren't known, -1 a link or tag. Words over two pieces long are cut, and a piece
+    binds by what stands inside."""
     text = LETTERS.sub(" ", unicodedata.normalize("NFKC", text))
     if "<" in text:
         text = MARKUP.sub(_unmarked, text)
-    ids, sizes, kinds = [], [], []
+    kana = KANA.search(text) is not None
+    ids, sizes, kinds, latin = [], [], [], []
     for t in TOKEN.findall(text):
         c = t[0]
         n = len(t)
@@ -74,19 +106,31 @@ def terms(text: str) -> tuple[list[int], list[int], list[int]]:
             kind = -1
         elif t.isascii():
             kind = 2 * (t.lower() in FUNCTION_WORDS)
-        elif n > 2 * PIECE:
-            for k in range(0, n, PIECE):
-                piece = t[k : k + PIECE]
-                ids.append(hash(piece))
-                sizes.append(len(piece))
-                kinds.append(2 * (INSIDE.search(piece) is not None))
-            continue
+            if t.isalpha():
+                latin.append((len(kinds), t.lower()))
+        elif LATIN.fullmatch(t):
+            kind = 0
+            latin.append((len(kinds), t.lower()))
         else:
-            sure = t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2 or INSIDE.search(t)
-            kind = 0 if n < 2 else 2 if sure and (t[-1] in ENDINGS_1 or t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2) else int(t[-1] in ENDINGS_1)
+            known = kana or READ.search(t) is not None
+            if n > 2 * PIECE:
+                for k in range(0, n, PIECE):
+                    piece = t[k : k + PIECE]
+                    ids.append(hash(piece))
+                    sizes.append(len(piece))
+                    kinds.append(3 if not known else 2 * (INSIDE.search(piece) is not None or len(HIRAGANA.findall(piece)) * 4 >= len(piece)))
+                continue
+            if kana and not HANGUL.search(t):
+                kind = 2 * (len(HIRAGANA.findall(t)) * 4 >= n)
+            elif not known:
+                kind = 3
+            else:
+                sure = t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2 or INSIDE.search(t)
+                kind = 0 if n < 2 else 2 if sure and (t[-1] in ENDINGS_1 or t[-2:] in ENDINGS_2 or t[-3:] in ENDINGS_2) else int(t[-1] in ENDINGS_1)
         ids.append(hash(t.lower()) if kind >= 0 else hash(t))
         sizes.append(n)
         kinds.append(kind)
+    _latin(latin, kinds)
     return ids, sizes, kinds
 
 
@@ -139,14 +183,29 @@ def measure(texts: list[str]) -> pd.DataFrame:
         share[counts <= lag + 3] = 0
         better = share > best
         best[better], at[better] = share[better], lag
+    # beyond LAGS: the commonest gap of the text's recurring terms is its period
+    far = gap[(gap > LAGS) & (gap < FIRST)]
+    if len(far):
+        pair, times = np.unique(doc[(gap > LAGS) & (gap < FIRST)] * FIRST + far, return_counts=True)
+        of, lag = pair // FIRST, pair % FIRST
+        share = np.where(counts[of] > lag + 3, times / np.maximum(counts[of] - lag, 1), 0)
+        k = np.lexsort((lag, -share, of))
+        k = k[np.concatenate([[True], of[k][1:] != of[k][:-1]])]
+        k = k[share[k] > best[of[k]]]
+        best[of[k]], at[of[k]] = share[k], lag[k]
     # a last syllable says nothing of a word that stands there again and again
-    bind = window((kinds == 2) | ((kinds == 1) & (near > AROUND)))
-    sure = window(kinds == 2)
-    again = window(gap <= LAGS)
+    # nor does it in a text of a few words that doesn't end with it
+    few = (counts < REMARK) & (counts > 0)
+    few[few] = kinds[ends[few] - 1] < 1
+    kinds = np.where(few[doc] & (kinds == 1), 0, kinds)
+    binds = (kinds == 2) | ((kinds == 3) & (sizes >= LONG))
+    bind = window(binds | (kinds == 3) | ((kinds == 1) & (near > AROUND)))
+    sure = window(binds)
+    again = window((gap <= LAGS) | ((gap == at[doc]) & (best[doc] >= REPEATED)))
     keyword = (kinds < 0) | (bind < LISTED) | ((again >= REPEATED) & (bind < BOUND))
     close = window(near <= AROUND)
     keyword |= (close >= CLOSE) & (sure < BOUND)
-    keyword |= (close >= PARTLY) & (near <= AROUND) & (kinds < 2)
+    keyword |= (close >= PARTLY) & (near <= AROUND) & ~binds
     keyword |= (best[doc] >= REGULAR) & (sure < LISTED)
 
     def total(x: np.ndarray) -> np.ndarray:
@@ -165,7 +224,10 @@ def measure(texts: list[str]) -> pd.DataFrame:
 
 #: A text with a smaller share of its signs in sentences is made of keywords. Below FEW terms, none a link
 #: or tag, it is a remark.
-SENTENCES, FEW = 0.42, 12
+SENTENCES, FEW = 0.42, 5
+
+#: In a text of fewer terms a last syllable binds only if the text ends so.
+REMARK = 12
 
 
 def keyword_pages(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -179,7 +241,10 @@ def keyword_pages(df: DataFrame, key: str, text: str) -> DataFrame:
     needed. A last syllable makes no word binding that recurs within AROUND, and a window of almost only
     such terms, or any in a text whose strongest positional autocorrelation over the lags 1 to LAGS is
     at least REGULAR, is a list unless words bind it surely; so sentences that are written again and
-    again stay sentences. Links and tags are no sentence. The signs of the terms outside of lists make
+    again stay sentences. Beyond LAGS the commonest recurrence gap is the lag, so a page that repeats after
+    any number of terms is found. Binding words are listed for Korean and English; Japanese binds by
+    hiragana and other Latin languages by their short words; where binding words can't be known (other
+    scripts, Latin languages of long words) only repetition makes a list. Links and tags are no sentence. The signs of the terms outside of lists make
     the sentence share, which decides. ``distinct_share`` and ``repeated_share`` are only reported.
 
     Each row is judged by itself; nothing is shuffled. Defined cases: null, blank and sign-only texts have
