@@ -91,3 +91,24 @@ def test_fingerprints_stay_in_their_text():
         one = L.fingerprints([t])
         assert list(whole[2][whole[0] == k]) == list(one[2]) and list(whole[1][whole[0] == k]) == list(one[1])
     assert len(L.fingerprints([])[0]) == 0 and len(L.fingerprints(["short"])[0]) == 0
+
+
+def test_both_ways_give_the_same_rows(spark):
+    """Repeated and null ids on either side, equal texts and equal items, and a repeated (id, text) pair."""
+    docs, items, _ = world()
+    texts = {k: " ".join(w) for k, w in items.items()}
+    d = spark.createDataFrame([(1, texts[100]), (2, texts[101]), (None, texts[100]), (None, texts[102]), (1, texts[100]), (1, texts[103] + " " + texts[101]), (4, None)], "doc_id long, text string")
+    e = spark.createDataFrame([(9, texts[100]), (9, texts[101]), (9, texts[101]), (8, texts[100]), (None, texts[102]), (7, texts[102]), (6, texts[103])], "item_id long, text string")
+    one = sorted(map(str, L.leaks(d, "doc_id", "text", e, "item_id", "text").collect()))
+    assert one == sorted(map(str, L.leaks(d, "doc_id", "text", e, "item_id", "text", held=10).collect()))
+    assert len(one) == 10
+
+
+def test_the_sieve_holds_all_and_little_else(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    h = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 5000), [0, 1, -1, 32768, 32769, L.SIEVE, L.SIEVE - 1]])
+    bits = np.unpackbits(L.sieve_of(spark.createDataFrame([(int(x),) for x in h], "hash long")))
+    at = h.view(np.uint64) & np.uint64(L.SIEVE - 1)
+    assert bits[at.astype(np.int64)].all() and bits.sum() == len(np.unique(at))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,13 +224,14 @@ class ItemIndex:
         order = np.argsort(h, kind="stable")
         self.which, self.place, self.hash = which[order], place[order], h[order]
         self.length = np.array([len(x.text) for x in self.items], dtype=np.int64)
-        # a first sieve by the hashes' last bits
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[self.hash & np.uint64((1 << 22) - 1)] = True
+        # a first sieve by the hashes' last bits, about one in sixteen set
+        self.mask = np.uint64((1 << min(22, max(10, (16 * len(h)).bit_length()))) - 1)
+        self.sieve = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.sieve[self.hash & self.mask] = True
 
     def hits(self, which: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, place in text, place in item) of every common fingerprint."""
-        at = np.nonzero(self.sieve[h & np.uint64((1 << 22) - 1)])[0]
+        at = np.nonzero(self.sieve[h & self.mask])[0]
         which, place, h = which[at], place[at], h[at]
         a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = b - a
@@ -258,6 +261,22 @@ def _blocks(pdf: pd.DataFrame, signs_held: int = 4_000_000) -> Iterator[tuple[li
         yield keys, texts
 
 
+#: Built indexes by their broadcast's number: a worker that runs many tasks builds each once.
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index(tag: str, items: Broadcast) -> ItemIndex:
+    if tag not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tag] = ItemIndex(items.value)
+    return _BUILT[tag]
+
+
+def item_texts(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """``item, it, h``: the different (id, text) pairs without nulls, and the text's digest."""
+    return items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("it")).distinct().withColumn("h", F.md5("it"))
+
+
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = 0.4, held: int = 4_000_000) -> DataFrame:
     """``key, item_key, n_words, share`` for every text that carries one connected stretch of an item's
     text, in its order, of at least ``share`` of the item's words, where up to one word in eight is
@@ -272,20 +291,23 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     The items' fingerprints are sent to all tasks if the items have at most ``held`` signs (an index of
     about 25 bytes a sign in each worker), and the join
     happens where the text is read, so that no fingerprint of a text is shuffled. A larger test set is
-    joined by a shuffle (``leaks_shuffled``) with the same result.
+    joined by a shuffle (``leaks_shuffled``) with the same rows.
 
-    Defined cases: null, empty and too short texts or items leak nothing; equal texts and equal items
-    are each listed; texts are read whole, whatever their length. An empty table gives no rows. Columns
-    of other names are ignored.
+    Defined cases: null, empty and too short texts or items leak nothing; every row of ``docs`` is
+    listed for itself, with null and repeated keys too; equal items are listed by each of their ids, an id
+    with several texts once for each that leaks, and a repeated (id, text) pair is one item. Items with a
+    null id are left out. Texts are read whole, whatever their length. An empty table gives no rows.
+    Columns of other names are ignored.
     """
-    own = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull())
-    size = own.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
+    own = item_texts(items, item_key, item_text)
+    size = own.agg(F.coalesce(F.sum(F.length("it")), F.lit(0))).first()[0]
     if size > held:
         return leaks_shuffled(docs, key, text, items, item_key, item_text, share)
-    index = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.select(item_key, item_text).orderBy(item_key).collect()])
+    index = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.select("item", "it").orderBy("item", "it").collect()])
+    tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = ItemIndex(index.value)
+        ix = _index(tag, index)
         for pdf in batches:
             for keys, texts in _blocks(pdf):
                 rows = []
@@ -299,51 +321,89 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                         n, words = _share(texts[a], ix.items[b], ix.back[b], list(zip(d[x:y].tolist(), i[x:y].tolist(), strict=True)), share)
                         if n and n >= share * words:
                             rows.append((keys[a], ix.ids[b], n, n / words))
-                yield pd.DataFrame(rows, columns=["k", "item", "n_words", "share"])
+                yield _typed(rows)
 
     shape = f"k {docs.schema[key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}, n_words long, share double"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, shape).withColumnsRenamed({"k": key, "item": item_key})
 
 
-def fingerprint_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, place, hash, length`` of every fingerprint of every text."""
+def _typed(rows: list[tuple]) -> pd.DataFrame:
+    """The rows with their keys as they are: a null key among numbers would make all of them floats."""
+    keys, ids, n, share = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pd.DataFrame({"k": pd.Series(keys, dtype=object), "item": pd.Series(ids, dtype=object), "n_words": pd.Series(n, dtype="int64"), "share": pd.Series(share, dtype="float64")})
+
+
+#: The shuffled join's sieve of the items' fingerprints has so many bits: 8 MB, whatever the items.
+SIEVE = 1 << 26
+
+
+def sieve_of(hashes: DataFrame) -> np.ndarray:
+    """Which last bits occur in the column ``hash``: SIEVE bits in 4 KB pieces, or-ed in the executors."""
+    at = F.pmod(F.col("hash"), F.lit(SIEVE))
+    pieces = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(SIEVE + (1 << 15), dtype=bool)
+    for r in pieces:
+        # bucket 1 holds the numbers 1 to 32,768, bucket 0 the number 0
+        first = (r["b"] - 1) * 32768 + 1 if r["b"] > 0 else 0
+        bits = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little").astype(bool)
+        out[first : first + 32768] |= bits[: len(out) - first] if r["b"] > 0 else np.pad(bits[:1], (0, 32767))
+    return np.packbits(out[:SIEVE])
+
+
+def fingerprint_rows(df: DataFrame, key: str, text: str, sieve: Broadcast | None = None) -> DataFrame:
+    """``k, place, hash, length`` of every fingerprint of every text, or of those that pass the sieve."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None if sieve is None else sieve.value
         for pdf in batches:
             for keys, texts in _blocks(pdf):
                 which, place, h = fingerprints(texts)
+                if bits is not None:
+                    at = (h & np.uint64(SIEVE - 1)).astype(np.int64)
+                    keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                    which, place, h = which[keep], place[keep], h[keep]
                 lengths = np.array([len(t) for t in texts])
-                yield pd.DataFrame({"k": pd.Series(keys).take(which).to_numpy(), "place": place, "hash": h.view(np.int64), "length": lengths[which]})
+                yield pd.DataFrame({"k": pd.Series(keys, dtype=object).take(which).to_numpy(), "place": place, "hash": h.view(np.int64), "length": lengths[which]})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, place long, hash long, length long")
 
 
 def leaks_shuffled(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = 0.4, salts: int = 16) -> DataFrame:
-    """``leaks`` for test sets of any size: fingerprints are joined by a shuffle, salted since a common
-    phrase may stand in a third of the texts, and only the pairs worth extending meet their texts."""
-    own = items.where(F.col(item_key).isNotNull()).groupBy(F.col(item_key).alias("item")).agg(F.first(item_text, ignorenulls=True).alias("it"))
-    left = fingerprint_rows(docs, key, text).withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)))
-    right = fingerprint_rows(own, "item", "it").select(F.col("k").alias("item"), F.col("place").alias("i"), "hash", F.col("length").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = left.join(right.withColumn("s", F.col("s").cast("long")), ["hash", "s"])
-    bands = hits.groupBy("k", "item", F.floor((F.col("place") - F.col("i")) / BAND).alias("band")).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.first("n").alias("n"))
-    two = bands.select("k", "item", "n", "lo", "hi", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).groupBy("k", "item", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n"))
-    pairs = cut(two.where(F.col("hi") - F.col("lo") + GRAM >= SPAN * F.col("n")).select("k", "item").distinct())
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    both = pairs.join(texts, "k").join(own, "item")
+    """``leaks`` for test sets of any size, with the same rows. Texts and items go by digests of their
+    texts, so that keys may repeat or be null. A sieve of the items' fingerprints, of a fixed size, keeps
+    most fingerprints of the texts from the shuffle; the join is salted since a common phrase may stand in
+    a third of the texts, and only the pairs worth extending meet their texts."""
+    spark = docs.sparkSession
+    own = cut(item_texts(items, item_key, item_text))
+    different = own.select("h", "it").distinct()
+    right = cut(fingerprint_rows(different, "h", "it"))
+    sieve = spark.sparkContext.broadcast(sieve_of(right))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.md5(text).alias("dh"))
+    left = fingerprint_rows(rows, "dh", "t", sieve).select("k", "place", "hash").withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)))
+    right = right.select(F.col("k").alias("h"), F.col("place").alias("i"), "hash", F.col("length").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hits = left.join(right, ["hash", "s"])
+    bands = hits.groupBy("k", "h", F.floor((F.col("place") - F.col("i")) / BAND).alias("band")).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("n").alias("n"))
+    two = bands.select("k", "h", "n", "lo", "hi", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).groupBy("k", "h", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"))
+    pairs = cut(two.where(F.col("hi") - F.col("lo") + GRAM >= SPAN * F.col("n")).select(F.col("k").alias("dh"), "h").distinct())
+    both = rows.join(pairs, "dh").join(different, "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, ItemIndex] = {}
         for pdf in batches:
-            rows = []
-            for k, item, t, it in zip(pdf["k"], pdf["item"], pdf["t"], pdf["it"], strict=True):
-                if not isinstance(t, str):
-                    continue
-                ix, s = ItemIndex([(item, it)]), signs(t)
+            out = []
+            for k, h, t, it in zip(pdf["k"], pdf["h"], pdf["t"], pdf["it"], strict=True):
+                if h not in held:
+                    if len(held) >= 1000:
+                        held.clear()
+                    held[h] = ItemIndex([(h, it)])
+                ix, s = held[h], signs(t)
                 _, _, d, i = ix.hits(*fingerprints([s]))
                 n, words = _share(s, ix.items[0], ix.back[0], sorted(zip(d.tolist(), i.tolist(), strict=True)), share)
                 if n and n >= share * words:
-                    rows.append((k, item, n, n / words))
-            yield pd.DataFrame(rows, columns=["k", "item", "n_words", "share"])
+                    out.append((k, h, n, n / words))
+            yield _typed(out)
 
-    shape = f"k {docs.schema[key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}, n_words long, share double"
-    return both.select("k", "item", "t", "it").mapInPandas(run, shape).withColumnsRenamed({"k": key, "item": item_key})
+    found = both.select("k", "h", "t", "it").mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, item string, n_words long, share double")
+    out = found.withColumnRenamed("item", "h").join(own.select("h", "item"), "h")
+    return out.select(F.col("k").alias(key), F.col("item").alias(item_key), "n_words", "share")
