@@ -95,3 +95,25 @@ def test_empty_tables_and_null_names(spark):
     assert {r.ref_id for r in spellings(df, fields).collect()} == {-1}
     df, fields = tables(spark, [(9, None, "Gents Hosiery"), (None, "신사양말", None), (9, None, "Gents Hosiery")])
     assert spellings(df, fields).where("ref_id = 9").count() == 0
+
+
+def test_the_size_of_a_block_changes_nothing(spark):
+    """A name in reach in one block and a name inside the value in another; ties over blocks; repeated ids."""
+    rows = [(1, "abcdefgh", None), (2, "xyabcdefghzq", None), (3, "xyabcdefghzv", None), (4, "abcdefghz", None), (4, "gents formal", None), (5, None, None), (6, "gants formal", "gents")]
+    ref = spark.createDataFrame(rows, "part_id long, part_nm string, part_nm_en string")
+    typed = ["xyabcdefghzw", "qqabcdefghzqq", "gints formal", "gents formal x", "nothing", "gents", None, " ", "abcdefgh"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(typed)], "line_id long, part_nm string")
+    fields = {"part_nm": Reference(ref, "part_id", ("part_nm", "part_nm_en"))}
+    want = sorted(map(str, spellings(df, fields).collect()))
+    for block in (1, 2, 3):
+        assert want == sorted(map(str, spellings(df, fields, block=block).collect()))
+    got = {r.value: (r.ref_id, r.distance, r.n_as_close, r.n_in_reach) for r in spellings(df, fields, block=1).collect()}
+    assert got["xyabcdefghzw"] == (2, 1.0, 2, 2) and got["qqabcdefghzqq"][0] == 4 and got["gints formal"][2] == 2
+    assert got["nothing"] == (-1, None, 0, 0) and "abcdefgh" not in got
+
+
+def test_all_entries_in_reach(spark):
+    """An exact spelling of one entry doesn't hide another within the distance."""
+    assert TRIE.within("신사양말") == {2: 0.0}
+    near = NameTrie([(1, ("gents hosiery",)), (2, ("gents hosiary",)), (3, ("ladies hosiery",))])
+    assert near.reach("Gents Hosiery")[0] == {1: 0.0, 2: 1.0}

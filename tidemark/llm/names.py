@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -112,12 +115,10 @@ class NameTrie:
     def within(self, typed: str) -> dict[int, float]:
         """Every entry within the distance allowed for its path, with its least cost."""
         found: dict[int, float] = {}
-        for ref in self.exact.get(typed, ()):
-            found[ref] = 0.0
-        if found:
-            return found
         n = len(typed)
         hangul = any(map(is_hangul, typed))
+        if n > self.longest + 6:  # longer than any path and the greatest distance
+            return found
         root = self.hangul if hangul else self.letters
         first = [0.0] * (n + 1)
         for j in range(1, n + 1):
@@ -152,9 +153,9 @@ class NameTrie:
                 stack.append((child, nxt, row, above, ch, depth + 1))
         return found
 
-    def inside(self, text: str, hangul: int = 4, letters: int = 8) -> dict[int, float]:
-        """The entries whose longest path stands whole in ``text``, at 0.5 and a little for what is around
-        it; paths of fewer signs than ``hangul`` or ``letters`` may be parts of other words and don't count."""
+    def inside(self, text: str, hangul: int = 4, letters: int = 8) -> tuple[dict[int, float], int]:
+        """The entries whose longest path stands whole in ``text``, at 0.5, and that path's length; paths of
+        fewer signs than ``hangul`` or ``letters`` may be parts of other words and don't count."""
         found, most = {}, 0
         for i in range(len(text)):
             for root, least in ((self.hangul, hangul), (self.letters, letters)):
@@ -164,18 +165,17 @@ class NameTrie:
                     if node.refs and j - i >= max(least, most):
                         found = dict.fromkeys(node.refs, 0.5) | (found if j - i == most else {})
                         most = j - i
-        return found
+        return found, most
 
-    def best(self, typed: str, around: tuple[str, ...] = AROUND) -> tuple[int, float, int] | None:
-        """The id of the closest entry, its distance and the number of entries as close; None if no
-        entry is within reach. The words around a name may be left off: those in ``around`` and floors
-        at no cost that counts, others at 0.4 each."""
+    def reach(self, typed: str, around: tuple[str, ...] = AROUND) -> tuple[dict[int, float], int]:
+        """All entries within reach of ``typed`` with their distances, and 0; where there are none, those
+        that stand whole inside of it, with the length of their path. The words around a name may be left
+        off: those in ``around`` and floors at no cost that counts, others at 0.4 each. Each run of words
+        is searched, and an entry has the least distance over all runs."""
         words = tokens_of(typed)
         costs = [0.01 if w in around or FLOOR.match(w) else 0.4 for w in words]
         total = sum(costs)
-        best: dict[int, float] = {}
-        exact_only = False
-        spans = []
+        spans: dict[str, float] = {}
         for i in range(len(words)):
             text, inside = "", 0.0
             for j in range(i, len(words)):
@@ -183,40 +183,47 @@ class NameTrie:
                 inside += costs[j]
                 if len(text) > self.longest + 6:
                     break
-                spans.append((text, total - inside))
+                spans[text] = min(spans.get(text, 99.0), total - inside)
                 for end in ATTACHED:
                     if text.endswith(end) and len(text) > len(end) + 1:
-                        spans.append((text[: -len(end)], total - inside + 0.01))
-        for text, left in spans:
-            for ref in self.exact.get(text, ()):
-                exact_only = True
-                best[ref] = min(best.get(ref, 9.0), left)
-        if not (exact_only and min(best.values()) < 0.1):
-            for text, left in spans:
-                for ref, cost in self.within(text).items():
-                    best[ref] = min(best.get(ref, 9.0), cost + left)
-        if not best:
-            best = self.inside("".join(words))
-        if not best:
+                        bare = text[: -len(end)]
+                        spans[bare] = min(spans.get(bare, 99.0), total - inside + 0.01)
+        found: dict[int, float] = {}
+        for text, left in spans.items():
+            for ref, cost in self.within(text).items():
+                found[ref] = min(found.get(ref, 99.0), cost + left)
+        return (found, 0) if found else self.inside("".join(words))
+
+    def best(self, typed: str, around: tuple[str, ...] = AROUND) -> tuple[int, float, int] | None:
+        """The id of the closest entry, its distance and the number of entries as close; None if no
+        entry is within reach."""
+        found, _ = self.reach(typed, around)
+        if not found:
             return None
-        low = min(best.values())
-        same = sorted(r for r, c in best.items() if c <= low + 1e-9)
+        low = min(found.values())
+        same = sorted(r for r, c in found.items() if c <= low + 1e-9)
         return same[0], low, len(same)
 
 
-def _search(entries: dict[str, list[tuple[int, list[str]]]], own: dict[str, set[str]], around: tuple[str, ...]):
-    """The search over batches of (field, value), as a function that workers can hold."""
+#: Built tries by the search's number: a worker that runs many tasks builds each once.
+_BUILT: dict[str, dict[str, NameTrie]] = {}
+
+
+def _search(tag: str, entries: Broadcast, around: tuple[str, ...]):
+    """The search over batches of (field, value), as a function that workers can hold: a row for each
+    entry in reach, and one without an entry for a value that has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tries = {f: NameTrie(e) for f, e in entries.items()}
+        if tag not in _BUILT:
+            _BUILT.clear()
+            _BUILT[tag] = {f: NameTrie(e) for f, e in entries.value.items()}
+        tries = _BUILT[tag]
         for pdf in batches:
             rows = []
             for field, value in zip(pdf["field"], pdf["value"], strict=True):
-                if not value.strip() or value in own[field]:
-                    continue
-                hit = tries[field].best(value, around)
-                rows.append((field, value, *(hit or (-1, None, 0))))
-            yield pd.DataFrame(rows, columns=["field", "value", "ref_id", "distance", "n_as_close"]).astype({"ref_id": "int64", "distance": "float64", "n_as_close": "int64"})
+                hits, inner = tries[field].reach(value, around)
+                rows += [(field, value, ref, cost, inner) for ref, cost in hits.items()] or [(field, value, -1, None, 0)]
+            yield pd.DataFrame(rows, columns=["field", "value", "ref_id", "distance", "inner"]).astype({"ref_id": "int64", "distance": "float64", "inner": "int32"})
 
     return run
 
@@ -231,35 +238,58 @@ class Reference:
     names: tuple[str, ...]
 
 
-def spellings(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ...] = AROUND, block: int = 5_000) -> DataFrame:
-    """A row for each distinct typed value of each field of ``fields``: ``field, value, ref_id,
-    distance, n_as_close``; ``ref_id`` is -1 where no entry is within reach.
+def in_reach(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ...] = AROUND, block: int = 5_000) -> DataFrame:
+    """Every entry within the length-dependent distance of each distinct typed value: ``field, value,
+    ref_id, distance``, closest first by ``distance``; a value that none is near to has one row, -1.
 
     Each spelling is searched once, however many rows have it; the distinct values are gathered with a
-    partial aggregate before the shuffle, so a hot value costs nothing. The list is held by every worker
-    in blocks of ``block`` entries; a longer one is searched block by block and the closest hit kept.
+    partial aggregate before the shuffle, so a hot value costs nothing. The list is searched in blocks of
+    ``block`` entries: one block at a time is gathered, sent to the workers and searched, and all blocks'
+    hits count alike, so the size of a block changes nothing. Entries that stand whole inside a value count
+    only where no block has an entry in reach, and of them those with the longest path.
 
     Defined cases: null and blank values and values that are an entry's first name letter for letter
-    give no row. A value of signs only names nothing (-1). Of entries as close as each other the one
-    with the smallest id is given, and ``n_as_close`` tells how many there are. Repeated entries are
-    one entry; entries with null names are skipped. An empty list maps every value to -1.
+    give no row. A value of signs only names nothing (-1). Repeated entries are one entry, with all their
+    names; null names are skipped. An empty list maps every value to -1.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     values = df.select(pairs.alias("x")).select("x.*").where("value is not null and trim(value) <> ''").distinct()
-    lists = {f: [(int(r[0]), [n for n in r[1:] if n]) for r in ref.table.where(F.col(ref.ref_id).isNotNull()).select(ref.ref_id, *ref.names).collect()] for f, ref in fields.items()}
-    own = {f: {e[1][0] for e in es if e[1]} for f, es in lists.items()}
-    schema = "field string, value string, ref_id long, distance double, n_as_close long"
+    for f, ref in fields.items():
+        own = ref.table.where(F.col(ref.ref_id).isNotNull()).select(F.col(ref.names[0]).alias("__o"), F.lit(f).alias("__f")).where("__o is not null").distinct()
+        values = values.join(own, (F.col("field") == F.col("__f")) & (F.col("value") == F.col("__o")), "left_anti")
     # a search is dear and its row is small: without a number of its own it would be put into one task
-    values = values.repartition(df.sparkSession.sparkContext.defaultParallelism, "value")
-    found = None
-    for start in range(0, max(1, *(len(v) for v in lists.values())), block):
-        part = {f: v[start : start + block] for f, v in lists.items()}
-        hits = values.mapInPandas(_search(part, own, around), schema)
-        found = hits if found is None else found.unionByName(hits)
-    if max(len(v) for v in lists.values()) > block:
-        best = F.min_by(F.struct("ref_id", "distance", "n_as_close"), F.struct(F.coalesce("distance", F.lit(99.0)), "ref_id"))
-        found = found.groupBy("field", "value").agg(best.alias("b")).select("field", "value", "b.*")
-    return cut(found)
+    values = cut(values.repartition(df.sparkSession.sparkContext.defaultParallelism, "value"))
+    lists, blocks = {}, 1
+    for f, ref in fields.items():
+        one = ref.table.where(F.col(ref.ref_id).isNotNull()).select(F.col(ref.ref_id).cast("long").alias("id"), F.array(*ref.names).alias("names")).distinct()
+        n = one.count()
+        lists[f] = one.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(-(-n // block) or 1)))
+        blocks = max(blocks, -(-n // block))
+    hits = None
+    for b in range(blocks):
+        entries = {f: [(r["id"], [x for x in r["names"] if x]) for r in one.where(F.col("b") == b).collect()] for f, one in lists.items()}
+        sent = df.sparkSession.sparkContext.broadcast(entries)
+        part = values.mapInPandas(_search(uuid.uuid4().hex, sent, around), "field string, value string, ref_id long, distance double, inner int")
+        part = cut(part) if blocks > 1 else part
+        hits = part if hits is None else hits.unionByName(part)
+    if blocks > 1:
+        w = W.partitionBy("field", "value")
+        some, near, inner = F.max("ref_id").over(w), F.max((F.col("inner") == 0) & (F.col("ref_id") >= 0)).over(w), F.max("inner").over(w)
+        hits = hits.withColumns({"__s": some, "__n": near, "__i": inner}).where("__s = -1 or ref_id >= 0 and inner = if(__n, 0, __i)")
+    return cut(hits.groupBy("field", "value", "ref_id").agg(F.min("distance").alias("distance")))
+
+
+def spellings(df: DataFrame, fields: dict[str, Reference], around: tuple[str, ...] = AROUND, block: int = 5_000) -> DataFrame:
+    """A row for each distinct typed value of each field of ``fields``: ``field, value, ref_id, distance,
+    n_as_close, n_in_reach``, the closest of the entries of ``in_reach``; ``ref_id`` is -1 where there is
+    none. Of entries as close as each other the one with the smallest id is given, and ``n_as_close`` tells
+    how many there are; ``n_in_reach`` counts all."""
+    hits = in_reach(df, fields, around, block)
+    near = F.array_sort(F.collect_list(F.struct(F.round("distance", 6).alias("distance"), "ref_id")))
+    best = hits.groupBy("field", "value").agg(near.alias("near"))
+    first = F.element_at("near", 1)
+    same = F.size(F.filter("near", lambda x: x["distance"] <= first["distance"]))
+    return best.select("field", "value", first["ref_id"].alias("ref_id"), first["distance"].alias("distance"), same.alias("n_as_close"), F.when(first["ref_id"] >= 0, F.size("near")).otherwise(0).alias("n_in_reach"))
 
 
 def mapped(field: str) -> Column:

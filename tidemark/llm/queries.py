@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import micros
 from tidemark.llm.leaks import leaks
-from tidemark.llm.names import Reference, map_names, spellings
+from tidemark.llm.names import Reference, in_reach, map_names, spellings
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.pairs import pairs_together
 from tidemark.llm.percentiles import from_histogram, histogram, merge, percentiles
@@ -58,6 +58,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("line_id", entry.alias("x")).select("line_id", "x.*").where("ref_id is not null")
 
 
+def p2_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value with all entries within its distance."""
+    sales, fields = table(spark, folder, "train_transactions"), _fields(spark, folder)
+    hits = in_reach(sales, fields).where("ref_id >= 0")
+    return hits.select(F.col("field").alias("field_nm"), "value", "ref_id", F.round("distance", 6).alias("distance"))
+
+
 def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The report of values that mean no entry, with their rows."""
     sales, fields = table(spark, folder, "train_transactions"), _fields(spark, folder)
@@ -136,6 +143,7 @@ QUERIES = {
     "p1_splits": p1_splits,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
+    "p2_reach": p2_reach,
     "p3_percentiles": p3_percentiles,
     "p3_merged": p3_merged,
     "p4_found": p4_found,
