@@ -1,8 +1,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import percentiles as P
 from tidemark.llm.percentiles import from_histogram, histogram, merge, ordered, percentiles, value_of
 
 QS = [0.0, 0.25, 0.5, 0.9, 1.0]
@@ -69,3 +71,28 @@ def test_equal_values_whole_numbers_and_empty(spark):
     df = spark.createDataFrame([(1, 7)] * 50 + [(2, -3)], "g long, v long")
     assert {(r.g, r.value) for r in percentiles(df, "g", "v", QS).collect()} == {(1, 7.0), (2, -3.0)}
     assert percentiles(df.where("false"), "g", "v", QS).count() == 0
+
+
+def test_the_bits_are_those_of_the_double(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [2.0**k for k in range(-1074, 1024, 7)], [np.nextafter(2.0**k, 0) for k in range(-1000, 1024, 9)], [np.nextafter(2.0**k, np.inf) for k in range(-1000, 1023, 9)], [0.0, -0.0, np.inf, -np.inf, 5e-324, 2.0**-1022, np.finfo(float).max, 1e15 + 0.5]])
+    x = np.concatenate([x, -x])
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").select("i", P.ordered(F.col("x")).alias("k")).orderBy("i").toPandas()["k"].to_numpy()
+    bits = np.abs(x).view(np.int64)
+    assert (got == np.where(x < 0, -bits, bits)).all()
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "double"])
+def test_whole_numbers_and_doubles_are_alike(spark, kind, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([0, -1, 3, 70_000, -70_001, rng.randint(-(2**30), 2**30)])) for g in range(5) for _ in range(rng.choice([1, 2, 50, 400]))]
+    df = spark.createDataFrame([(g, float(v) if kind == "double" else v) for g, v in rows], f"g int, v {kind}")
+    monkeypatch.setattr(P, "FOLLOWED", rng.choice([0, 20_000]))
+    for r in P.percentiles(df, "g", "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect():
+        own = sorted(v for g, v in rows if g == r.g)
+        want = next(v for i, v in enumerate(own) if (i + 1) / len(own) >= r.q)
+        assert r.value == want and r.low == r.high == want and r.n == len(own)

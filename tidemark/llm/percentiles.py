@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,12 +13,26 @@ from tidemark.session import cut, if_small
 #: The bits below the digits read so far, level by level: 16 bits are read at each.
 SHIFTS = (48, 32, 16, 0)
 
+#: Types that are whole numbers already.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+#: Up to so many followed digits, of about 200 bytes each, are broadcast; beyond, the digits are shuffled.
+FOLLOWED = 20_000
+
 
 def ordered(x: Column) -> Column:
     """The double ``x`` as a whole number in the same order: the bits of |x|, negated below 0. -0.0 is 0;
-    null and NaN give null."""
+    null and NaN give null. The bits are made by exact arithmetic, so they stay in compiled code: the
+    exponent from a logarithm put right by a comparison, the mantissa by a division by a power of two."""
     d = x.cast("double")
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.abs(d)).cast("long")
+    a = F.abs(d)
+    two = F.lit(2.0)
+    near = F.floor(F.log2(a)).cast("int")
+    power = F.pow(two, near)
+    e = near + F.when(a < power, -1).when(a >= power * 2, 1).otherwise(0)
+    m = ((a / F.pow(two, e) - 1) * F.lit(2.0**52)).cast("long")
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + m
+    bits = F.when(a < F.lit(2.0**-1022), (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).when(a == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal)
     return F.when(d.isNull() | F.isnan(d), None).when(d < 0, -bits).otherwise(bits)
 
 
@@ -75,13 +89,23 @@ def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], leve
     Method: radix selection. At each level the next 16 bits of the order-preserving integers are counted,
     and only the digit with the target rank is followed. A digit whose values are all equal is done. Rows
     are counted before each shuffle, so a group with a third of all rows is as cheap as its digits, and
-    the running sums see at most 2**16 digits of a group (and followed digit) each.
+    the running sums see at most 2**16 digits of a group (and followed digit) each. Whole numbers are their
+    own order-preserving integers, and levels above their largest bit are left out.
 
     Defined cases: null and NaN values are left out, a group with no other value gives no row; rows with
     a null group are left out. -0.0 is 0; infinities count as the ends. Rows are counted as delivered,
     repeated ones too. An empty table gives no rows. ``df`` is read once a level.
     """
-    rows = df.select(F.col(group).alias("g"), ordered(F.col(value)).alias("k")).where("g is not null and k is not null")
+    plain = df.select(F.col(group).alias("g"), F.col(value).alias("k")).where("g is not null and k is not null")
+    whole = df.schema[value].dataType.simpleString() in WHOLE and levels[-1] == 0
+    if whole:
+        rows = plain.withColumn("k", F.col("k").cast("long"))
+        low, high = rows.agg(F.coalesce(F.min("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+        bits = max(abs(low), abs(high)).bit_length()
+        levels = [x for x in levels if x < bits] or [0]
+        back: Callable[[Column], Column] = lambda k: k.cast("double")
+    else:
+        rows, back = plain.withColumn("k", ordered(F.col("k"))).where("k is not null"), value_of
 
     def counted(shift: int, keys: list[Column]) -> DataFrame:
         return rows.groupBy("g", *keys, F.shiftright("k", shift).alias("bin")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
@@ -95,10 +119,10 @@ def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], leve
         wanted = cut(open_.groupBy("g", "bin").agg(F.collect_list(F.struct("q", "r")).alias("want"), F.first("total").alias("total")))
         wanted = wanted.select(F.col("g").alias("wg"), F.col("bin").alias("up"), "want", F.col("total").alias("all"))
         digits = counted(shift, [F.shiftright("k", last).alias("up_")])
-        hist = digits.join(if_small(wanted.select("wg", "up"), 200_000), (F.col("g") == F.col("wg")) & (F.col("up_") == F.col("up")), "left_semi")
+        hist = digits.join(if_small(wanted.select("wg", "up"), FOLLOWED), (F.col("g") == F.col("wg")) & (F.col("up_") == F.col("up")), "left_semi")
         w = W.partitionBy("g", "up_")
         hist = hist.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)))
-        hist = hist.join(if_small(wanted, 200_000), (F.col("g") == F.col("wg")) & (F.col("up_") == F.col("up")))
+        hist = hist.join(if_small(wanted, FOLLOWED), (F.col("g") == F.col("wg")) & (F.col("up_") == F.col("up")))
         here = F.filter("want", lambda x: (x["r"] > F.col("upto") - F.col("n")) & (x["r"] <= F.col("upto")))
         hist = hist.withColumn("x", F.explode(here))
         at = cut(hist.select("g", F.col("x.q").alias("q"), (F.col("x.r") - F.col("upto") + F.col("n")).alias("r"), "bin", "n", "lo", "hi", F.col("all").alias("total")))
@@ -107,5 +131,5 @@ def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], leve
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    low, high = value_of(F.col("lo")), value_of(F.col("hi"))
+    low, high = back(F.col("lo")), back(F.col("hi"))
     return out.select(F.col("g").alias(group), "q", F.when(F.col("lo") == F.col("hi"), low).otherwise(low + (high - low) / 2).alias("value"), low.alias("low"), high.alias("high"), F.col("total").alias("n"))
