@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name beside the checkpoints, where all executors reach it."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` (cut before, for it is counted) marked for a broadcast if it has at most ``rows`` rows;
     beyond that the join shuffles."""
