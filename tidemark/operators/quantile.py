@@ -1,4 +1,4 @@
-"""Exact quantiles of a whole column."""
+"""Exact quantiles of a whole column, and by groups that may be hot."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rank import running_counts
+
 #: Up to so many different values the built-in aggregate, which holds them all, is used.
 HELD = 2_000_000
 
@@ -36,6 +38,7 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], held: int = HELD)
 
 def _order_statistic(rows: DataFrame, k: int, low: float, high: float, held: int, bins: int = 4096) -> float:
     """The value with ``k`` values before it, between ``low`` and ``high``."""
+    few = False
     while low < high:
         inside = rows.where(F.col("x").between(low, high))
         width = (high - low) / bins
@@ -48,13 +51,36 @@ def _order_statistic(rows: DataFrame, k: int, low: float, high: float, held: int
                 low, high, few = r["lo"], r["hi"], r["d"] <= held
                 break
             before -= r["c"]
-        if few and low < high:
+        if few:
             break
     if low == high:
         return low
+    # where the range can't be cut any finer, it holds no more values than there are doubles in it
     before = k - rows.where(F.col("x") < low).count()
     for r in sorted(rows.where(F.col("x").between(low, high)).groupBy("x").count().collect(), key=lambda r: r["x"]):
         if before < r["count"]:
             return r["x"]
         before -= r["count"]
     return high
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], near: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and, for each name of ``wanted``, the quantile of a column (column, q) with linear
+    interpolation, as ``percentile`` gives it; null where a key has no
+    value in a column; keys that are null or have none at all are left out. A key may have any number of
+    rows and values: rows are counted by value, and the counts summed in ranges of values
+    (``running_counts``, which says what ``near`` is); the value at a rank is the least with so many rows up to it."""
+    keys, out = list(keys), None
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        ranked = running_counts(df.withColumn("__v", F.col(column).cast("double")), keys, "__v", near)
+        aggs = []
+        for name, (c, q) in wanted.items():
+            if c == column:
+                at = F.lit(float(q)) * (F.col("total") - 1)
+                low = F.min(F.when(F.col("upto") > F.floor(at), F.col("__v")))
+                high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("__v")))
+                part = F.first(at - F.floor(at))
+                aggs.append((low + (high - low) * part).alias(name))
+        one = ranked.groupBy(*keys).agg(*aggs)
+        out = one if out is None else out.join(one, keys, "full_outer")
+    return out

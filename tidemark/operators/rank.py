@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.bits import ordered
+
 
 def spread_rank(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, name: str = "rank", salts: int = 64) -> DataFrame:
     """Adds ``name``: 0-based places within ``keys`` without a gap, in an order drawn from ``order``;
@@ -75,3 +79,30 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank",
     ranked = placed.withColumn("__u", F.sum("__c").over(inner)).join(totals, same(by, [f"{b}t" for b in by]) & (F.col("__p") == F.col("__pt")))
     ranked = ranked.select(*by, "__v", (F.col("__b") + F.col("__u") - (F.col("__c") - 1) / 2).alias(name), F.col("__n").alias(f"{name}_n"))
     return rows.join(ranked, same(keys, by) & (F.col(value) == F.col("__v"))).select(*df.columns, name, f"{name}_n")
+
+
+def running_counts(rows: DataFrame, keys: list[str], value: str, near: Sequence[str] = ()) -> DataFrame:
+    """``keys, value, n, upto, total``: for each key and value the number of its rows, that of the key's rows
+    with at most this value, and of all the key's rows. Null keys and values are left out. ``near`` names
+    columns by which the rows lie together already (and by which a key has few groups): they are counted
+    there before anything is shuffled.
+
+    No key is sorted as one group: values that share the exponent and the first 12 bits of the mantissa are
+    a range; rows are summed within (key, range), and the ranges' totals give where each starts. A key has
+    at most 4,096 ranges for each power of two that its values reach."""
+    # NaN, the greatest value, has no bits
+    piece = F.coalesce(F.shiftright(ordered(F.col(value)), 40), F.lit(1 << 40))
+    by = [*keys, value, "__p"]
+    own = list(dict.fromkeys([*near, *by]))
+    counts = rows.where(" and ".join(f"{c} is not null" for c in (*keys, value))).withColumn("__p", piece).groupBy(*own).agg(F.count("*").alias("n"))
+    if near:
+        counts = counts.select(*by, "n").repartition(*keys, "__p").groupBy(*by).agg(F.sum("n").alias("n"))
+    at = [f"__k{i}" for i in range(len(keys))]
+    totals = counts.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, at, strict=True)], F.col("__p").alias("__pt")).agg(F.sum("n").alias("__t"))
+    inner = W.partitionBy(*keys, "__p").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*at)
+    totals = totals.withColumns({"__b": F.sum("__t").over(w.orderBy("__pt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__t"), "total": F.sum("__t").over(w)})
+    same: Column = F.col("__p") == F.col("__pt")
+    for k, b in zip(keys, at, strict=True):
+        same = same & (F.col(k) == F.col(b))
+    return counts.withColumn("__u", F.sum("n").over(inner)).join(totals, same).select(*keys, value, "n", (F.col("__b") + F.col("__u")).alias("upto"), "total")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.plans import oracles
 from tidemark.plans.dsl import Block
 
 LINES = Block()
@@ -33,6 +34,13 @@ LUXURY = "수입|명품|부띠끄|부틱|디자이너"
 BARGAIN = "행사|균일가|대전|기획|특가|이월"
 MEN_PARTS = "'가정용품', '공산품', '생식품', '케주얼,구두,아동', '남성정장', '남성캐주얼'"
 WOMEN_PARTS = "'여성캐주얼', '영캐릭터', '영플라자', '패션잡화', '여성정장'"
+# Part names that stand for another.
+PART_NAMES = {"가정용품파트": "가정용품", "공산품파트": "공산품", "생식품파트": "생식품", "잡화파트": "잡화", "로얄부틱": "로얄부띠끄", "스포츠캐쥬얼": "스포츠캐주얼", "여성캐쥬얼": "여성캐주얼"}
+# Family holidays by date, for every year of which there are lines.
+HOLIDAYS = {
+    "chuseok": [("2017-09-20", "2017-10-06"), ("2024-09-03", "2024-09-19"), ("2025-09-22", "2025-10-08")],
+    "seollal": [("2018-01-28", "2018-02-17"), ("2024-01-22", "2024-02-11"), ("2025-01-10", "2025-01-30"), ("2026-01-29", "2026-02-18")],
+}
 # Calendar windows (month, first and last day) and words of gift categories.
 SEASONS = {"valentine": (2, 1, 14), "whiteday": (3, 1, 14), "xmas": (12, 15, 25), "mayfamily": (5, 1, 15), "newyear": (1, 1, 10)}
 GIFTS = "화장품|향수|주얼리|보석|시계|핸드백|잡화|상품권"
@@ -42,6 +50,7 @@ FOOD = "식품|생식|푸드"
 HALF = "case when mon between 3 and 5 then 'spring' when mon between 6 and 8 then 'summer' when mon between 9 and 11 then 'fall' else 'winter' end"
 ZONE = "case when h <= 11 then 'morning' when h <= 14 then 'lunch' when h <= 17 then 'afternoon' else 'evening' end"
 SOCIAL = "case when (dow < 5 and h >= 18) or (dow >= 5 and h between 12 and 21) then 1 else 0 end"
+PART = "case coalesce(part_nm, '') " + " ".join(f"when '{a}' then '{b}'" for a, b in PART_NAMES.items()) + " else coalesce(part_nm, '') end"
 MINUTES = "({{us {0}}} - {{us {1}}}) / 6e7"
 
 
@@ -124,14 +133,22 @@ BLOCKS["composition_ratio"] = LINES.cols(season=HALF, zone=ZONE).agg(
     **{f"zone_{v}": f"avg(case when zone = '{v}' then 1e0 else 0e0 end)" for v in ("morning", "lunch", "afternoon", "evening")},
 ).out(**{f"season_{v}": f"season_{v}" for v in ("spring", "summer", "fall", "winter")}, **{f"zone_{v}": f"zone_{v}" for v in ("morning", "lunch", "afternoon", "evening")})
 
-for _name, _col in {"brand": "brand", "corner": "corner_nm", "store": "str_nm"}.items():
+for _name, _col in {"brand": "brand", "corner": "corner_nm", "store": "str_nm", "part": "part_nm", "zone": ZONE}.items():
     BLOCKS[f"diversity_{_name}"] = (
-        LINES.where(f"{_col} is not null")
-        .agg(f"custid {_col}", c="count(*)")
+        LINES.cols(cat=_col)
+        .where("cat is not null")
+        .agg("custid cat", c="count(*)")
         .totals("custid", total="sum(c)")
         .cols(p="cast(c as double) / total")
         .agg("custid", entropy="-sum(p * ln(p + 1e-12))", hhi="sum(p * p)", top="max(p)", plain="-sum(p * ln(p))")
         .out(entropy="entropy", hhi="hhi", top_share="top", entropy_plain="plain")
+        .spine()
+    )
+
+for _name, _col in {"team": "team_nm", "part": PART, "buyer": "buyer_nm"}.items():
+    # the crosstab's filled cells: categories typed by hand have too many values for columns
+    BLOCKS[f"composition_{_name}"] = (
+        LINES.cols(cat=_col).where("cat <> ''").agg("custid cat", c="count(*)").totals("custid", total="sum(c)").select(custid="custid", cat="cat", n="c", share="round(cast(c as double) / total + 1e-10, 6)")
     )
 
 BLOCKS["semantic_share"] = LINES.agg(
@@ -163,30 +180,38 @@ BLOCKS["temporal_dynamics"] = (
 
 BLOCKS["social_share"] = LINES.cols(social=SOCIAL).agg("custid", n="count(*)", k="sum(social)", amt=share("social = 1"), total="sum(w)", part="sum(w * social)").out(social_lines="k", social_line_share="k / n", social_amount_share="amt", social_amount="part")
 
-_DAY = LINES.cols(social=SOCIAL).agg("custid d", t0="min(ts)", t1="max(ts)", amt="greatest(sum(coalesce(net_amt, 0)), 0)", soc="max(social)").cols(span=MINUTES.format("t1", "t0"))
-BLOCKS["social_dwell"] = (
-    _DAY.agg("custid", m="avg(span)", x="max(span)", long="avg(case when span >= 60 then 1e0 else 0e0 end)", per="avg(amt / (span + 1))", soclong="avg(case when soc = 1 and span >= 60 then 1e0 else 0e0 end)")
-    .out(span_mean="m", span_max="x", longstay_share="long", amount_per_minute="per", social_long_share="soclong")
+# minutes of the clock, as a day's dwell is told in whole ones
+_CLOCK = {"social": SOCIAL, "clock": "h * 60 + minute(ts)"}
+_DWELL = {"m": "avg(span)", "x": "max(span)", "long": "avg(case when span >= 60 then 1e0 else 0e0 end)", "per": "avg(amt / (span + 1e0))", "soclong": "avg(case when soc = 1 and span >= 60 then 1e0 else 0e0 end)"}
+_DWELT = {"span_mean": "m", "span_max": "x", "longstay_share": "long", "amount_per_minute": "per", "social_long_share": "soclong"}
+BLOCKS["social_dwell"] = LINES.cols(**_CLOCK).agg("custid d", span="max(clock) - min(clock)", amt="greatest(sum(coalesce(net_amt, 0)), 0)", soc="max(social)").agg("custid", **_DWELL).out(**_DWELT)
+BLOCKS["dwell_gross"] = BOTH.cols(**_CLOCK).agg("custid d", span="max(clock) - min(clock)", amt="sum(tot_amt)", soc="max(social)").agg("custid", **_DWELL).out(**_DWELT)
+BLOCKS["social_gross"] = (
+    BOTH.cols(social=SOCIAL)
+    .agg("custid", n="count(*)", k="sum(social)", amt="sum(tot_amt)", part="sum(tot_amt * social)")
+    .out(n_lines="n", social_lines="k", social_line_share="k / (n + 1e-5)", amount="amt", social_amount="part", social_amount_share="part / (amt + 1e-5)")
 )
 
 for _k in (3, 5):
     BLOCKS[f"recent_{_k}"] = (
         LINES.position()
         .where(f"pos_back < {_k}")
-        .agg("custid", m="avg(tot_amt)", x="max(tot_amt)", dr="avg(dis_amt / (tot_amt + 1e-5))", net="avg(net_amt)", men=f"avg(case when part_nm in ({MEN_PARTS}) then 1e0 else 0e0 end)", women=f"avg(case when part_nm in ({WOMEN_PARTS}) then 1e0 else 0e0 end)")
-        .out(tot_mean="m", tot_max="x", discount_mean="dr", net_mean="net", men_share="men", women_share="women")
+        .cols(part=PART)
+        .agg("custid", m="avg(tot_amt)", x="max(tot_amt)", t="sum(tot_amt)", ds="sum(dis_amt)", net="avg(net_amt)", men=f"avg(case when part in ({MEN_PARTS}) then 1e0 else 0e0 end)", women=f"avg(case when part in ({WOMEN_PARTS}) then 1e0 else 0e0 end)")
+        .out(tot_mean="m", tot_max="x", discount_mean="ds / (t + 1e-5)", net_mean="net", men_share="men", women_share="women")
     )
 
-BLOCKS["part_score"] = LINES.cols(part="replace(replace(part_nm, '캐쥬얼', '캐주얼'), '파트', '')").agg(
+BLOCKS["part_score"] = LINES.cols(part=PART).agg(
     "custid", m=f"sum(case when part in ({MEN_PARTS}) then 1 else 0 end)", f=f"sum(case when part in ({WOMEN_PARTS}) then 1 else 0 end)"
 ).out(men_parts="m", women_parts="f", men_share="m / (m + f + 1e-5)", women_share="f / (m + f + 1e-5)", score="(m - f) / (m + f + 1e-5)")
 
 BLOCKS["buyer_variety"] = LINES.where("buyer_nm is not null").agg("custid buyer_nm", c="count(*)").agg("custid", n="count(*)", x="max(c)", t="sum(c)").out(n_buyers="n", top_buyer_share="cast(x as double) / t")
 
-for _name, _col in {"brand": "brand", "good": "good", "corner": "corner_nm"}.items():
+for _name, _col in {"brand": "brand", "good": "good", "corner": "corner_nm", "buyer": "buyer_nm", "pc": "pc_nm"}.items():
+    # none is a category of its own
     BLOCKS[f"freq_{_name}"] = (
-        BOTH.totals(_col, freq="count(*)")
-        .where("freq is not null")
+        BOTH.cols(cat=f"coalesce({_col}, 'nan')")
+        .totals("cat", freq="count(*)")
         .agg("custid", m="avg(ln(1 + freq))", lo="min(ln(1 + freq))", rare="avg(case when freq <= 5 then 1e0 else 0e0 end)")
         .out(freq_mean="m", freq_min="lo", rare_share="rare")
     )
@@ -218,6 +243,7 @@ BLOCKS["calendar_windows"] = LINES.agg(
 
 _MD = "mon * 100 + dom"
 _KR = {"parents": f"{_MD} between 428 and 508", "pepero": f"{_MD} between 1105 and 1111"}
+_KR |= {n: "(" + " or ".join(f"ts between timestamp '{a} 00:00:00' and timestamp '{b} 00:00:00'" for a, b in spans) + ")" for n, spans in HOLIDAYS.items()}
 _KRANY = " or ".join(f"({c})" for c in _KR.values())
 BLOCKS["calendar_windows_kr"] = LINES.agg(
     "custid", **{n: share(c, "a") for n, c in _KR.items()}, any_=share(_KRANY, "a"), gift=share(f"({_KRANY}) and {{like txt;{GIFTS_KR}}}", "a"), off=share(f"not ({_KRANY}) and {{like txt;{GIFTS_KR}}}", "a")
@@ -231,10 +257,10 @@ BLOCKS["relative_price"] = (
 )
 
 BLOCKS["interarrival"] = (
-    LINES.previous("ts").where("has_prev").cols(gap=f"{MINUTES.format('ts', 'prev_ts')} / 1440").agg("custid", m="avg(gap)", s="stddev_samp(gap)", x="max(gap)", lo="min(gap)").out(gap_mean="m", gap_std="s", gap_max="x", gap_min="lo")
+    LINES.previous("ts").where("has_prev").cols(gap=f"{MINUTES.format('ts', 'prev_ts')} / 1440").agg("custid", m="avg(gap)", s="stddev_samp(gap)", x="max(gap)", lo="min(gap)").out(gap_mean="m", gap_std="s", gap_max="x", gap_min="lo").spine()
 )
 
-BLOCKS["switch_rate"] = LINES.previous("buyer_nm").agg("custid", r="avg(case when not has_prev or buyer_nm is distinct from prev_buyer_nm then 1e0 else 0e0 end)").out(switch_rate="r")
+BLOCKS["switch_rate"] = LINES.previous("buyer_nm").agg("custid", r="avg(case when coalesce(buyer_nm, 'nan') <> coalesce(prev_buyer_nm, 'nan') then 1e0 else 0e0 end)").out(switch_rate="r")
 
 BLOCKS["transition_token"] = (
     LINES.previous("corner_nm").cols(token="concat(coalesce(prev_corner_nm, 'START'), '>', coalesce(corner_nm, ''))").agg("custid", n="count(*)", k="count(distinct token)").out(n_tokens="n", n_different="k")
@@ -246,6 +272,7 @@ BLOCKS["transitions"] = (
     .where("has_prev")
     .agg("custid", n="count(*)", same="avg(case when corner_nm = prev_corner_nm then 1e0 else 0e0 end)", pairs="count(distinct concat(prev_corner_nm, '>', corner_nm))")
     .out(n_steps="n", same_share="same", n_pairs="pairs", pair_share="pairs / (n + 1)")
+    .spine()
 )
 
 BLOCKS["visit_multiagg"] = (
@@ -260,6 +287,7 @@ BLOCKS["periodicity"] = (
     _GAPS.where(_HAS_GAP)
     .agg("custid", m="avg(gap)", s="stddev_pop(gap)", x="max(gap)")
     .out(gap_mean="m", gap_std="s", gap_cv="s / (m + 1e-6)", gap_max="x", regularity="1 / (s / (m + 1e-6) + 1)")
+    .spine()
 )
 BLOCKS["quantile_gap_daily"] = _GAPS.agg(
     "custid",
@@ -319,7 +347,7 @@ BLOCKS["discount_peak"] = (
 
 BLOCKS["refund_strength"] = (
     LINES.agg("custid", n="count(*)", k="sum(case when net < 0 then 1 else 0 end)", s="sum(case when net < 0 then abs(net) end)", m="avg(case when net < 0 then abs(net) end)", x="max(case when net < 0 then abs(net) end)")
-    .out(n_lines="n", refund_count="k", refund_share="k / n", refund_sum="coalesce(s, 0)", refund_mean="coalesce(m, 0)", refund_max="coalesce(x, 0)", heavy="case when k >= 3 or 10 * k >= n then 1 else 0 end")
+    .out(n_lines="n", refund_count="k", refund_share="k / n", refund_sum="coalesce(s, 0)", refund_mean="coalesce(m, 0)", refund_max="coalesce(x, 0)", heavy="case when k >= 3 or k / (n + 1e-5) >= 0.1e0 then 1 else 0 end")
 )
 
 _INTEREST = "concat(coalesce(brd_nm, ''), ' ', coalesce(corner_nm, ''), ' ', coalesce(part_nm, ''))"
@@ -329,6 +357,12 @@ BLOCKS["interest_share"] = (
     .out(**{f"interest_{k}": f"i{k}" for k in range(len(INTERESTS))})
 )
 
+BLOCKS["interest_score"] = (
+    LINES.cols(words=_INTEREST)
+    .agg("custid", **{k: f"sum(case when {{like words;{x}}} then w else 0 end) / (sum(w) + 1e-5)" for k, x in (("m", "남성"), ("f", "여성"), ("k", "아동"))})
+    .out(men="m", women="f", score="m - f + 0.5 * k")
+)
+
 BLOCKS["household_share"] = LINES.agg("custid", **{s: share(f"{{like txt;{p}}}", "a") for s, p in SEGMENTS.items()}).out(
     **{s: s for s in SEGMENTS},
     homemaker="food + kids + living",
@@ -341,17 +375,15 @@ BLOCKS["household_share"] = LINES.agg("custid", **{s: share(f"{{like txt;{p}}}",
     proxy_men_all="men * (food + kids + living)",
 )
 
-_G = {f"g{k}": f"substring(good, 1, {k})" for k in (2, 3, 4, 6, 9)}
+_G = {f"g{k}": f"substring(code, 1, {k})" for k in (2, 3, 4, 6, 9)}
 BLOCKS["code_hierarchy"] = (
-    BOTH.where("good is not null")
-    .cols(**_G)
-    .agg("custid", n="count(*)", c="count(distinct good)", **{f"n{k}": f"count(distinct g{k})" for k in (2, 3, 4, 9)})
+    BOTH.cols(**_G)
+    .agg("custid", n="count(*)", c="count(distinct code)", **{f"n{k}": f"count(distinct g{k})" for k in (2, 3, 4, 9)})
     .out(leaf_per_group="c / (n3 + 1e-5)", deep_per_mid="n9 / (n4 + 1e-5)", code_per_top="c / (n2 + 1e-5)", repeat_share="1 - c / (n + 1e-5)", new_top_share="n2 / (n + 1e-5)")
 )
 
 BLOCKS["top_tail_share"] = (
-    BOTH.where("good is not null")
-    .cols(g3="substring(good, 1, 3)")
+    BOTH.cols(g3="substring(code, 1, 3)")
     .agg("custid g3", s="sum(a)")
     .totals("custid", total="sum(s)")
     .cols(p="s / (total + 1e-5)")
@@ -360,6 +392,10 @@ BLOCKS["top_tail_share"] = (
     .out(hhi="hhi", top_share="top", tail_share="tail", max_share="most")
 )
 
+BLOCKS["brand_hhi"] = BOTH.where("brand is not null").agg("custid brand", s="sum(a)").totals("custid", total="sum(s)").agg("custid", hhi="sum(pow(s / (total + 1e-5), 2))").out(hhi="hhi").spine()
+
+BLOCKS["gap_shape"] = BOTH.agg("custid d", n="count(*)").gap().agg("custid", v="var_samp(gap)", s="{skew gap}").out(gap_var="coalesce(v, 0)", gap_skew="coalesce(s, 0)")
+
 BLOCKS["basket_stats"] = (
     BOTH.agg("custid d hm", x="max(abs(net))", s="sum(abs(net))", c="count(distinct corner_nm)", n="count(*)", sd="stddev_samp(net)")
     .agg("custid", dom="avg(x / (s + 1e-5))", multi="avg(case when c >= 2 then 1e0 else 0e0 end)", size="avg(n)", sd="avg(sd)")
@@ -367,13 +403,12 @@ BLOCKS["basket_stats"] = (
 )
 
 BLOCKS["price_residual"] = (
-    BOTH.where("good is not null")
-    .cols(g3="substring(good, 1, 3)", dr="dis_amt / (a + 1e-5)")
+    BOTH.cols(g3="substring(code, 1, 3)", dr="coalesce(dis_amt, 0) / (a + 1e-5)")
     .totals("brand", bmean="avg(net)")
     .totals("g3", gdr="avg(dr)")
     .overall(q90="{pct net;0.9}")
     .relative("g3", "net", "pr")
-    .agg("custid", rel="avg(net / (bmean + 1e-5))", pm="avg(pr)", ph="avg(case when pr >= 0.8 then 1e0 else 0e0 end)", res="avg(dr - gdr)", prem="avg(case when dis_amt = 0 and net >= q90 then 1e0 else 0e0 end)")
+    .agg("custid", rel="avg(net / (bmean + 1e-5))", pm="avg(pr)", ph="avg(case when pr >= 0.8 then 1e0 else 0e0 end)", res="avg(dr - gdr)", prem="avg(case when coalesce(dis_amt, 0) = 0 and net >= q90 then 1e0 else 0e0 end)")
     .out(brand_relative="rel", category_rank="pm", category_high="ph", discount_residual="res", full_price_premium="prem")
 )
 
@@ -392,14 +427,14 @@ BLOCKS["velocity"] = (
 )
 
 BLOCKS["group_switch"] = (
-    BOTH.where("good is not null").cols(g3="substring(good, 1, 3)").previous("g3").agg("custid", r="avg(case when has_prev and g3 <> prev_g3 then 1e0 else 0e0 end)").out(switch_share="r")
+    BOTH.cols(g3="substring(code, 1, 3)").previous("g3").agg("custid", r="avg(case when has_prev and g3 <> prev_g3 then 1e0 else 0e0 end)").out(switch_share="r")
 )
 
 BLOCKS["sibling_days"] = (
-    BOTH.where("good is not null").cols(g2="substring(good, 1, 2)", g4="substring(good, 1, 4)").agg("custid d", n2="count(distinct g2)", n4="count(distinct g4)").agg("custid", r="avg(case when n2 < n4 then 1e0 else 0e0 end)").out(sibling_share="r")
+    BOTH.cols(g2="substring(code, 1, 2)", g4="substring(code, 1, 4)").agg("custid d", n2="count(distinct g2)", n4="count(distinct g4)").agg("custid", r="avg(case when n2 < n4 then 1e0 else 0e0 end)").out(sibling_share="r")
 )
 
-BLOCKS["buyer_niche"] = BOTH.where("buyer_nm is not null").totals("buyer_nm", c="count(*)").agg("custid", m="avg(c)").out(buyer_count_mean="m")
+BLOCKS["buyer_niche"] = BOTH.where("buyer_nm is not null").totals("buyer_nm", c="count(*)").agg("custid", m="avg(c)").out(buyer_count_mean="m").spine()
 
 BLOCKS["refund_per_discount"] = BOTH.agg("custid", r="sum(case when net < 0 then 1 else 0 end)", d="sum(case when dis_amt > 0 then 1 else 0 end)").out(refund_per_discount="r / (d + 1)")
 
@@ -411,23 +446,23 @@ BLOCKS["food_anchor"] = (
 )
 
 BLOCKS["drift_cosine"] = (
-    BOTH.where("good is not null")
-    .position()
-    .cols(g2="substring(good, 1, 2)")
-    .agg("custid g2", x="sum(case when 2 * pos < n_rows then a else 0 end)", y="sum(case when 2 * pos >= n_rows then a else 0 end)")
-    .agg("custid", xy="sum(cast(x as double) * y)", xx="sum(cast(x as double) * x)", yy="sum(cast(y as double) * y)")
-    .out(drift="case when xx > 0 and yy > 0 then 1 - xy / sqrt(xx * yy) else 0 end")
+    # a half without lines: 0; a half without amounts has no direction: 1
+    BOTH.position()
+    .cols(g2="substring(code, 1, 2)", late="case when 2 * pos >= n_rows then 1 else 0 end")
+    .agg("custid g2", x="sum(case when late = 0 then a else 0 end)", y="sum(case when late = 1 then a else 0 end)", k="sum(late)")
+    .agg("custid", xy="sum(cast(x as double) * y)", xx="sum(cast(x as double) * x)", yy="sum(cast(y as double) * y)", k="sum(k)")
+    .out(drift="case when k = 0 then 0 else 1 - xy / (sqrt(xx) * sqrt(yy) + 1e-9) end")
 )
 
 _MONTHS = list(range(1, 13))
+_SUM = lambda e: "(" + " + ".join(e.format(k=k) for k in _MONTHS) + ")"
 BLOCKS["season_align"] = (
-    BOTH.agg("custid", n="count(*)", **{f"m{k}": f"avg(case when mon = {k} then 1e0 else 0e0 end)" for k in _MONTHS})
-    .overall(**{f"r{k}": f"avg(m{k})" for k in _MONTHS})
-    .cols(
-        mx=f"({' + '.join(f'm{k}' for k in _MONTHS)}) / 12",
-        my=f"({' + '.join(f'r{k}' for k in _MONTHS)}) / 12",
-    )
-    .cols(xy=" + ".join(f"(m{k} - mx) * (r{k} - my)" for k in _MONTHS), xx=" + ".join(f"(m{k} - mx) * (m{k} - mx)" for k in _MONTHS), yy=" + ".join(f"(r{k} - my) * (r{k} - my)" for k in _MONTHS))
+    # shares of the amount by the months of which there are lines, against their mean over the customers
+    BOTH.agg("custid", s="sum(a)", **{f"a{k}": f"sum(case when mon = {k} then a else 0 end)" for k in _MONTHS}, **{f"c{k}": f"max(case when mon = {k} then 1 else 0 end)" for k in _MONTHS})
+    .cols(**{f"m{k}": f"a{k} / (s + 1e-9)" for k in _MONTHS})
+    .overall(**{f"r{k}": f"avg(m{k})" for k in _MONTHS}, **{f"o{k}": f"max(c{k})" for k in _MONTHS})
+    .cols(mx=f"{_SUM('m{k}')} / {_SUM('o{k}')}", my=f"{_SUM('r{k}')} / {_SUM('o{k}')}")
+    .cols(xy=_SUM("o{k} * (m{k} - mx) * (r{k} - my)"), xx=_SUM("o{k} * (m{k} - mx) * (m{k} - mx)"), yy=_SUM("o{k} * (r{k} - my) * (r{k} - my)"))
     .out(season_corr="case when xx > 1e-15 and yy > 1e-15 then xy / sqrt(xx * yy) else 0 end")
 )
 
@@ -449,8 +484,6 @@ BLOCKS["line_features"] = LINES.cols(season=HALF, zone=ZONE).agg(
     "custid line_id", h="max(h)", dow="max(dow)", mon="max(mon)", weekend="max(case when dow >= 5 then 1 else 0 end)", dr="max(case when coalesce(tot_amt, 0) = 0 then 0 else cast(dis_amt as double) / tot_amt end)", nr="max(case when coalesce(tot_amt, 0) = 0 then 1 else cast(net_amt as double) / tot_amt end)", sl="max(sign(net_amt) * ln(1 + abs(net_amt)))"
 ).select(custid="custid", line_id="line_id", **{n: f"cast({c} as bigint)" for n, c in {"hour": "h", "dow": "dow", "month": "mon", "weekend": "weekend"}.items()}, **{n: f"round({c} + 1e-10, 6)" for n, c in {"dis_ratio": "dr", "net_ratio": "nr", "signed_log": "sl"}.items()})
 
-BLOCKS["category_rate"] = LINES.where("corner_nm is not null").agg("corner_nm", n="count(*)", k="count(distinct custid)", m="avg(net_amt)", share="avg(case when net_amt < 0 then 1e0 else 0e0 end)").where("n >= 50").select(corner_nm="corner_nm", n_lines="n", n_customers="k", net_mean="round(m, 4)", refund_share="round(share, 6)")
-
 BLOCKS["power_mean"] = LINES.agg("custid", **{f"p{k}": f"pow(avg(pow(cast(a as double) / 1000000, {k})), 1e0 / {k})" for k in (2, 3, 5)}).out(**{f"power_{k}": f"p{k}" for k in (2, 3, 5)})
 
 BLOCKS["clip_replace"] = LINES.cols(store="case when str_nm in ('온라인몰') then 'online' else coalesce(str_nm, 'unknown') end", c="greatest(least(tot_amt, 500000), -500000)").agg(
@@ -458,4 +491,5 @@ BLOCKS["clip_replace"] = LINES.cols(store="case when str_nm in ('온라인몰')
 ).out(online_share="online", unknown_share="unknown", clipped_mean="m", clipped_ratio="z")
 
 QUERIES = {name: block.spark for name, block in BLOCKS.items()}
-SQL = {name: block.sql() for name, block in BLOCKS.items()}
+#: Blocks with an oracle written from their definition have that one.
+SQL = {name: block.sql() for name, block in BLOCKS.items()} | oracles.SQL

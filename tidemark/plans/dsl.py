@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import with_position, with_previous
-from tidemark.operators.quantile import quantiles
+from tidemark.operators.quantile import group_quantiles, quantiles
+from tidemark.operators.rank import running_counts
 from tidemark.sources.sales import sales, sales_sql
 
 _SPARK = {
@@ -110,24 +111,41 @@ class Block:
         """A row per custid and day with the column in its first and its last line."""
         return self._add("first_last", column)
 
+    def spine(self) -> Block:
+        """The last step: every custid of the lines has a row, with 0 where there was none or null."""
+        return self._add("spine")
+
     def select(self, **exprs: str) -> Block:
         return self._add("out", exprs)
 
+    def uses(self) -> str:
+        """All words of the steps, among them the columns of the log that they need."""
+        return " ".join(f"{k} {v}" if isinstance(x, dict) else str(x) for step in self.steps for x in step for k, v in (x.items() if isinstance(x, dict) else [(x, "")]))
+
     def spark(self, session: SparkSession, folder: str) -> DataFrame:
         df = None
         for t in self.tables:
-            part = sales(session, folder, t)
+            part = sales(session, folder, t, self.uses())
             df = part if df is None else df.unionByName(part)
+        return self.over(df)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """The block over lines as ``sales`` gives them."""
+        lines = df
         for step in self.steps:
-            df = _APPLY[step[0]](df, *step[1:])
+            df = _spine(df, lines) if step[0] == "spine" else _APPLY[step[0]](df, *step[1:])
         return df
 
+    def _spine_sql(self, n: int) -> str:
+        names = [c for c in self.steps[n - 1][1] if c != "custid"]
+        return f"t{n + 1} AS (SELECT custid, {', '.join(f'coalesce({c}, 0) AS {c}' for c in names)} FROM (SELECT DISTINCT custid FROM t0) LEFT JOIN t{n} USING (custid))"
+
     def sql(self) -> str:
         parts = [sales_sql(t, f"s{i}") for i, t in enumerate(self.tables)]
         parts.append("t0 AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(self.tables))) + ")")
         n = 0
         for step in self.steps:
-            parts.append(f"t{n + 1} AS ({_WRITE[step[0]](f't{n}', *step[1:])})")
+            parts.append(f"t{n + 1} AS ({_WRITE[step[0]](f't{n}', *step[1:])})" if step[0] != "spine" else self._spine_sql(n))
             n += 1
         return "WITH " + ",\n".join(parts) + f"\nSELECT * FROM t{n}"
 
@@ -152,7 +170,15 @@ def as_sets(text: str) -> str:
 def _agg(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:
     if "custid" in keys:  # other keys may have as many customers as there are
         exprs = {k: as_sets(e) for k, e in exprs.items()}
-    return df.groupBy(*keys).agg(*_exprs(exprs))
+    held = {}
+    if "ts" in df.columns:  # over lines, a key's values aren't gathered in one buffer
+        for name, e in exprs.items():
+            if m := re.fullmatch(r"\{pct (\w+);([0-9.]+)\}|median\((\w+)\)", e):
+                held[name] = (m.group(3) or m.group(1), float(m.group(2) or 0.5))
+    plain = df.groupBy(*keys).agg(*_exprs({k: e for k, e in exprs.items() if k not in held} or {"__n": "count(*)"}))
+    if not held:
+        return plain
+    return plain.join(group_quantiles(df, keys, held, ["custid", "d"]), keys, "left").select(*keys, *exprs)
 
 
 def _totals(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:
@@ -170,11 +196,9 @@ def _totals(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:
 
 
 def _relative(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    # a key's rows are counted by value first: a hot key has as many rows here as it has prices
-    counts = df.where(f"{key} is not null and {value} is not null").groupBy(F.col(key).alias("__k"), F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = W.partitionBy("__k")
-    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranks = counts.select("__k", "__v", ((upto - (F.col("__c") - 1) / 2) / F.sum("__c").over(w)).alias(name))
+    # a key's rows are counted by value first, and the counts summed in ranges of values
+    own = df.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    ranks = running_counts(own, ["__k"], "__v").select("__k", "__v", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("total")).alias(name))
     return df.join(ranks, (F.col(key) == F.col("__k")) & (F.col(value) == F.col("__v")), "left").drop("__k", "__v")
 
 
@@ -194,6 +218,11 @@ def _first_last(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy("custid", "d").agg(F.min_by(column, at).alias(f"first_{column}"), F.max_by(column, at).alias(f"last_{column}"))
 
 
+def _spine(df: DataFrame, lines: DataFrame) -> DataFrame:
+    ids = lines.select("custid").distinct()
+    return ids.join(df, "custid", "left").select("custid", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in df.columns if c != "custid"])
+
+
 def _overall(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     """Quantiles come as numbers, from a column that may have any number of values; the rest as one row."""
     plain = {}

@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -61,9 +63,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` (cut before, for it is counted) marked for a broadcast if it has at most ``rows`` rows;
-    beyond that the join shuffles."""
-    from pyspark.sql import functions as F
+def if_small(df: DataFrame, rows: int = 500_000, megabytes: int = 64) -> DataFrame:
+    """``df`` (cut before, for it is read) marked for a broadcast if it has at most ``rows`` rows of at most
+    ``megabytes`` together, counted by their contents; beyond that the join shuffles."""
 
-    return F.broadcast(df) if df.count() <= rows else df
+    def width(c: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.lit(8)
+
+    widths = [width(f"`{f.name}`", f.dataType) for f in df.schema.fields]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(widths, F.lit(8)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= megabytes << 20 else df

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import table
 
 #: Columns made from a line, in words that both engines know. ``w`` and ``a`` are net and gross amount
-#: floored at 0, ``good`` the code in 13 digits, ``txt`` the category names in one string.
+#: floored at 0, ``good`` the code in 13 digits, ``code`` the
+#: same with a code of its own for none, ``txt`` the category names in one string.
 DERIVED = {
     "d": "cast(ts as date)",
     "h": "hour(ts)",
@@ -18,6 +21,7 @@ DERIVED = {
     "w": "greatest(coalesce(net_amt, 0), 0)",
     "a": "greatest(coalesce(tot_amt, 0), 0)",
     "good": "case when trim(goodcd) = '' then null when length(trim(goodcd)) < 13 then lpad(trim(goodcd), 13, '0') else trim(goodcd) end",
+    "code": "coalesce(case when trim(goodcd) = '' then null when length(trim(goodcd)) < 13 then lpad(trim(goodcd), 13, '0') else trim(goodcd) end, '0000000000nan')",
     "brand": "nullif(upper(trim(brd_nm)), '')",
     "txt": "concat(coalesce(part_nm, ''), ' ', coalesce(pc_nm, ''), ' ', coalesce(corner_nm, ''))",
     "net": "case when coalesce(net_amt, 0) <> 0 then net_amt else tot_amt end",
@@ -25,20 +29,37 @@ DERIVED = {
 RAW = ["line_id", "custid", "str_nm", "goodcd", "brd_nm", "corner_nm", "pc_nm", "part_nm", "team_nm", "buyer_nm", "import_flg", "tot_amt", "dis_amt", "net_amt", "inst_mon"]
 
 
-def sales(spark: SparkSession, folder: str, name: str = "train_transactions") -> DataFrame:
-    """Lines with custid and time, each once, with the ``DERIVED`` columns and ``dow`` (Monday 0).
+def needed(text: str) -> list[str]:
+    """The columns of the log that the words of ``text`` name, directly or through ``DERIVED`` ones."""
+    words, seen = set(re.findall(r"[A-Za-z_]\w*", text)), set()
+    while words - seen:
+        new = words - seen
+        seen |= new
+        words |= {w for n in new if n in DERIVED for w in re.findall(r"[A-Za-z_]\w*", DERIVED[n])}
+    return [c for c in RAW if c in words]
+
+
+def sales(spark: SparkSession, folder: str, name: str = "train_transactions", uses: str | None = None) -> DataFrame:
+    """Lines with custid and time, each once, with the ``DERIVED`` columns and ``dow`` (Monday 0). ``uses``
+    names the columns that are wanted, in any text; the others are neither read nor shuffled.
 
     Rows are partitioned by (custid, day), the one shuffle of raw rows in a block: a line's deliveries
-    meet there, day-level sums and windows need no other, and a hot custid is spread over its days.
+    meet there, day-level sums and windows need no other, and a hot custid is spread over its days. A
+    line delivered again is equal in all columns; lines without a line_id count each.
     """
+    raw = RAW if uses is None else ["line_id", "custid", *[c for c in needed(uses) if c not in ("line_id", "custid")]]
     rows = table(spark, folder, name).where("custid is not null and sales_datetime is not null")
-    rows = rows.select(*RAW, F.col("sales_datetime").alias("ts"), F.to_date("sales_datetime").alias("d"))
-    once = rows.repartition("custid", "d").dropDuplicates(["custid", "d", "line_id"])
-    return once.selectExpr("*", "weekday(ts) as dow", *[f"{e} as {c}" for c, e in DERIVED.items() if c != "d"])
+    alone = F.when(F.col("line_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.select(*raw, F.col("sales_datetime").alias("ts"), F.to_date("sales_datetime").alias("d"), alone.alias("__alone"))
+    once = rows.repartition("custid", "d").distinct().drop("__alone")
+    have = set(once.columns)
+    made = {c: e for c, e in DERIVED.items() if c != "d" and set(needed(e)) <= have}
+    return once.selectExpr("*", "weekday(ts) as dow", *[f"{e} as {c}" for c, e in made.items()])
 
 
 def sales_sql(name: str = "train_transactions", alias: str = "s") -> str:
-    """The same as a common table expression."""
+    """The same, with all columns, as a common table expression."""
     cols = ", ".join(RAW)
     made = ", ".join(f"{e} as {c}" for c, e in DERIVED.items())
-    return f"{alias} AS (SELECT *, isodow(ts) - 1 AS dow, {made} FROM (SELECT DISTINCT {cols}, sales_datetime AS ts FROM {name} WHERE custid IS NOT NULL AND sales_datetime IS NOT NULL))"
+    rows = f"{cols}, sales_datetime AS ts FROM {name} WHERE custid IS NOT NULL AND sales_datetime IS NOT NULL AND line_id IS"
+    return f"{alias} AS (SELECT *, isodow(ts) - 1 AS dow, {made} FROM (SELECT DISTINCT {rows} NOT NULL UNION ALL SELECT {rows} NULL))"
