@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.bits import ordered, value_of
 from tidemark.session import cut, if_small
 
 #: The bits below the digits read so far, level by level: 16 bits are read at each.
@@ -20,31 +21,6 @@ WHOLE = ("tinyint", "smallint", "int", "bigint")
 FOLLOWED = 20_000
 
 
-def ordered(x: Column) -> Column:
-    """The double ``x`` as a whole number in the same order: the bits of |x|, negated below 0. -0.0 is 0;
-    null and NaN give null. The bits are made by exact arithmetic, so they stay in compiled code: the
-    exponent from a logarithm put right by a comparison, the mantissa by a division by a power of two."""
-    d = x.cast("double")
-    a = F.abs(d)
-    two = F.lit(2.0)
-    near = F.floor(F.log2(a)).cast("int")
-    power = F.pow(two, near)
-    e = near + F.when(a < power, -1).when(a >= power * 2, 1).otherwise(0)
-    m = ((a / F.pow(two, e) - 1) * F.lit(2.0**52)).cast("long")
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + m
-    bits = F.when(a < F.lit(2.0**-1022), (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).when(a == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal)
-    return F.when(d.isNull() | F.isnan(d), None).when(d < 0, -bits).otherwise(bits)
-
-
-def value_of(key: Column) -> Column:
-    """The double that ``ordered`` made ``key`` of."""
-    a = F.abs(key)
-    e = F.shiftright(a, 52).cast("int")
-    m = F.pmod(a, F.lit(1 << 52))
-    v = F.when(e == 2047, F.lit(float("inf"))).when(e == 0, m * F.lit(2.0**-537) * F.lit(2.0**-537)).otherwise((1.0 + m / F.lit(4503599627370496.0)) * F.pow(F.lit(2.0), e - 1023))
-    return F.when(key < 0, -v).otherwise(v)
-
-
 def histogram(df: DataFrame, keys: Sequence[str], value: str, shift: int = 40) -> DataFrame:
     """The form that can be merged: for each combination of ``keys`` and bin, ``n`` values between ``lo``
     and ``hi``. A bin holds the values that share all but the last ``shift`` bits, so with 40 their
