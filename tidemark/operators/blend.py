@@ -125,6 +125,25 @@ def search_weights(table: DataFrame, models: Sequence[str], label: str, low: flo
     return dict(zip(models, best, strict=True))
 
 
+def recipe_auc(ranks: DataFrame, weights: dict[str, float], entity: str = "custid", label: str = "label", proxies: dict[str, str] | None = None) -> float | None:
+    """The AUC of a recipe over labelled ranks; members without ranks of their own have those of their
+    proxy. None if a member has neither."""
+    use: dict[str, float] = {}
+    for m, w in weights.items():
+        m = (proxies or {}).get(m, m)
+        use[m] = use.get(m, 0.0) + w
+    have = {r[0] for r in ranks.where(F.col("model").isin(list(use))).select("model").distinct().collect()}
+    if have != set(use):
+        return None
+    blended = weighted_blend(ranks, use, [entity, label])
+    return auc(blended.withColumn("blend", F.round("blend", 9)), [], "blend", label).first()["auc"]
+
+
+def pool(models: Sequence[str], patterns: Sequence[str] = ()) -> list[str]:
+    """The models whose names hold none of ``patterns``."""
+    return [m for m in models if not any(p in m for p in patterns)]
+
+
 def drop_one(ranks: DataFrame, entity: str, label: str) -> DataFrame:
     """``model, loss``: AUC of the mean of all ranks less that of the mean without the model, which is
     (sum - r) / (k - 1), to 9 digits, so that equal sums tie; one pass makes all of them."""

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantile import quantiles
 from tidemark.operators.rank import average_rank
+from tidemark.session import cut
 
 
 def safe_names(names: Sequence[str]) -> list[str]:
@@ -44,10 +46,44 @@ def align(df: DataFrame, like: DataFrame, fill: float = 0.0) -> DataFrame:
 
 
 def clip_log(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``columns`` clipped to their percentiles ``low`` and ``high``, then ln(1 + x) of the part above 0; the
-    percentiles of all columns come from one pass."""
-    edges = df.agg(*[F.percentile(c, [low, high]).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.log1p(F.greatest(F.greatest(F.least(F.col(c).cast("double"), F.lit(float(edges[c][1]))), F.lit(float(edges[c][0]))), F.lit(0.0))) for c in columns if edges[c]})
+    """``columns`` clipped to their percentiles ``low`` and ``high``, then ln(1 + x) of the part above 0. A
+    column without values stays."""
+    df = cut(df)
+    edges = {c: quantiles(df, c, [low, high]) for c in columns}
+    return df.withColumns({c: F.log1p(F.greatest(F.greatest(F.least(F.col(c).cast("double"), F.lit(float(hi))), F.lit(float(lo))), F.lit(0.0))) for c, (lo, hi) in edges.items() if lo is not None})
+
+
+def finite(x: Column) -> Column:
+    """``x``, 0 where it is null, NaN or infinite."""
+    x = x.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def columns_like(df: DataFrame, prefixes: Sequence[str] = (), parts: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep`` and those whose names begin with one of ``prefixes`` or hold one of ``parts``."""
+    names = [c for c in df.columns if c not in keep and (c.startswith(tuple(prefixes)) or any(p in c for p in parts))]
+    return df.select(*keep, *[F.col(f"`{c}`") for c in names])
+
+
+def z_scores(df: DataFrame, columns: Sequence[str], fit: DataFrame) -> DataFrame:
+    """``columns`` less their mean over ``fit``, by its deviation (population; 0 where it is 0)."""
+    r = fit.agg(*[a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(r[f"m_{c}"])) / F.lit(r[f"s_{c}"]) if r[f"s_{c}"] else F.when(F.col(c).isNotNull(), 0.0) for c in columns})
+
+
+def quantile_bins(df: DataFrame, column: str, fit: DataFrame, bins: int, name: str) -> DataFrame:
+    """Adds ``name``, the number of the right-closed bin between the quantiles of ``fit`` (equal ones once),
+    from 0; null stays null."""
+    edges = sorted({x for x in quantiles(fit, column, [i / bins for i in range(1, bins)]) if x is not None})
+    number = F.lit(0)
+    for e in edges:
+        number = number + F.when(F.col(column) > e, 1).otherwise(0)
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), number))
+
+
+def logistic(x: Column) -> Column:
+    """1 / (1 + exp(-x))."""
+    return 1 / (1 + F.exp(-x))
 
 
 def informative(df: DataFrame, columns: Sequence[str], least_variance: float = 1e-6, least_share: float = 0.003) -> list[str]:

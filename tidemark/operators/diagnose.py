@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.blend import auc
+from tidemark.operators.blend import auc, rank_correlations
+from tidemark.operators.quantile import group_quantiles, quantiles
 from tidemark.operators.rank import average_rank
+from tidemark.session import cut, if_small
 
 
 def ks_gini_lift(preds: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -42,10 +44,16 @@ def psi(expected: DataFrame, actual: DataFrame, score: str = "score", bins: int
     """``keys, psi``: population stability of ``actual`` against ``expected``, over the expected deciles;
     empty bins count as a share of 1e-6."""
     keys = keys or []
-    edges = expected.groupBy(*keys).agg(F.percentile(score, [i / bins for i in range(1, bins)]).alias("edges"))
+    names = {f"q{i}": (score, i / bins) for i in range(1, bins)}
+    if keys:
+        edges = group_quantiles(expected, keys, names)
+    else:
+        found = quantiles(expected, score, [q for _, q in names.values()])
+        edges = expected.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{n} double" for n in names))
+    edges = if_small(cut(edges.select(*keys, F.array(*names).alias("edges"))))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        both = df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))
+        both = df.join(edges, keys) if keys else df.crossJoin(edges)
         rows = both.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(score))))
         counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
         return counts.withColumn(name, F.col("c") / F.sum("c").over(W.partitionBy(*keys))).drop("c")
@@ -61,6 +69,36 @@ def disagreement(table: DataFrame, models: list[str], label: str, at: float = 0.
     return table.groupBy(right.alias("pattern")).agg(F.count("*").alias("n"), F.avg(label).alias("positive_rate"))
 
 
+def error_groups(table: DataFrame, models: list[str], label: str, profile: list[str], at: float = 0.5) -> DataFrame:
+    """``error_group, n, share, positive_rate`` and for each column of ``profile`` its mean and the ratio to
+    that of all: entities by how many models are right and, where it is one alone, which."""
+    right = [((F.col(m) >= at) == (F.col(label) == 1)).cast("int") for m in models]
+    n = sum(right[1:], right[0])
+    only = F.coalesce(*[F.when(r == 1, F.lit(f"only {m}")) for r, m in zip(right, models, strict=True)])
+    group = F.when(n == len(models), "all right").when(n == 0, "all wrong").when(n == 1, only).otherwise(F.concat(n.cast("string"), F.lit(" right")))
+    whole = table.agg(F.count("*").alias("__n"), *[F.avg(c).alias(f"__{c}") for c in profile])
+    rows = table.groupBy(group.alias("error_group")).agg(F.count("*").alias("n"), F.avg(label).alias("positive_rate"), *[F.avg(c).alias(c) for c in profile])
+    # the comparison is one row
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("share", F.col("n") / F.col("__n"))
+    return rows.select("error_group", "n", "share", "positive_rate", *profile, *[(F.col(c) / (F.col(f"__{c}") + 1e-9)).alias(f"{c}_ratio") for c in profile])
+
+
+def augmentation(before: DataFrame, after: DataFrame, label: str = "label", score: str = "score", entity: str = "custid", at: float = 0.5) -> dict[str, float]:
+    """Two scores of the same labelled entities compared: AUC of each over all and over those that the first
+    gets wrong, and the share of positives there that each finds."""
+    both = cut(before.select(entity, label, F.col(score).alias("b")).join(after.select(entity, F.col(score).alias("a")), entity))
+    wrong = both.where((F.col("b") >= at) != (F.col(label) == 1))
+    one = lambda df, c: auc(df, [], c, label).first()["auc"]
+    found = wrong.where(F.col(label) == 1).agg(F.avg((F.col("b") >= at).cast("int")), F.avg((F.col("a") >= at).cast("int"))).first()
+    return {"auc_before": one(both, "b"), "auc_after": one(both, "a"), "n_wrong": wrong.count(), "wrong_auc_before": one(wrong, "b"), "wrong_auc_after": one(wrong, "a"), "wrong_found_before": found[0], "wrong_found_after": found[1]}
+
+
+def teacher_gate(table: DataFrame, candidate: str, teachers: list[str], most: float = 0.97) -> DataFrame:
+    """``model, corr, passes``: whether a candidate's ranks go along with each teacher's less than ``most``."""
+    pairs = rank_correlations(table, [candidate, *teachers]).where(F.col("model_a") == candidate)
+    return pairs.select(F.col("model_b").alias("model"), "corr", (F.col("corr") < most).alias("passes"))
+
+
 def gap_correlation(results: DataFrame, by: list[str], own: str, other: str, outcome: str) -> DataFrame:
     """``by, n, corr``: how the gap ``own`` - ``other`` of results goes along with ``outcome``."""
     gap = F.col(own) - F.col(other)

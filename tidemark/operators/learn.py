@@ -12,17 +12,18 @@ from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.blend import auc
+from tidemark.operators.clean import finite
 from tidemark.session import cut
 from tidemark.sources.predictions import FoldStore
 
 
 def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str], to: str = "features") -> DataFrame:
-    """``keep`` and a vector of ``columns``, nulls and NaN as 0."""
-    filled = df.select(*keep, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    """``keep`` and a vector of ``columns``, nulls, NaN and infinities as 0."""
+    filled = df.select(*keep, *[finite(F.col(f"`{c}`")).alias(c) for c in columns])
     return VectorAssembler(inputCols=list(columns), outputCol=to).transform(filled).select(*keep, to)
 
 
@@ -59,9 +60,10 @@ def oof_predict(
     folds: int = 5,
     extra: DataFrame | None = None,
     store: FoldStore | None = None,
+    fit_where: Column | None = None,
 ) -> DataFrame:
     """``entity, split, score``: each train row scored by the model of the other folds, each test row by the
-    mean of all. ``extra`` rows (pseudo-labels) join every fit and no validation. With ``store`` a fold
+    mean of all. ``fit_where`` says which train rows are fitted on; all are scored. ``extra`` rows (pseudo-labels) join every fit and no validation. With ``store`` a fold
     that is written already is read and not fitted again."""
     train = cut(train)
     parts = []
@@ -69,6 +71,7 @@ def oof_predict(
         done = store.read(k) if store else None
         if done is None:
             fit = train.where(F.col(fold) != k)
+            fit = fit if fit_where is None else fit.where(fit_where)
             if extra is not None:
                 fit = fit.unionByName(extra.select(*[c for c in fit.columns if c in extra.columns]), allowMissingColumns=True)
             model = make().fit(fit)
@@ -136,6 +139,38 @@ def null_importance(df: DataFrame, columns: Sequence[str], entity: str, repeats:
     return [c for c in columns if real[c] > most[c]]
 
 
+def rank_aggregate(rankings: Sequence[dict[str, float]], weights: Sequence[float]) -> dict[str, float]:
+    """Columns with the weighted sum of their ranks (average on ties, the greatest importance highest) over
+    several learners' importances."""
+    out = dict.fromkeys(rankings[0], 0.0)
+    for imp, w in zip(rankings, weights, strict=True):
+        for c, x in imp.items():
+            below, same = sum(y < x for y in imp.values()), sum(y == x for y in imp.values())
+            out[c] += w * (below + (same + 1) / 2)
+    return out
+
+
+def fold_gain(df: DataFrame, columns: Sequence[str], make: Callable[[], Estimator], k: int, fold: str = "fold", folds: int = 5) -> list[str]:
+    """The ``k`` columns of greatest importance, summed over the models of the folds' complements."""
+    total = dict.fromkeys(columns, 0.0)
+    df = cut(df)
+    for f in range(folds):
+        model = make().fit(df.where(F.col(fold) != f))
+        for c, x in zip(columns, model.featureImportances.toArray(), strict=True):
+            total[c] += float(x)
+    return sorted(columns, key=lambda c: (-total[c], c))[:k]
+
+
+def row_bags(make: Callable[[], Estimator], train: DataFrame, test: DataFrame | None, bags: int, share: float, entity: str = "custid", seed: int = 42, **args) -> DataFrame:
+    """``entity, split, score``: the mean over ``bags`` runs, each fitted on a hashed ``share`` of the train
+    rows; every row is scored in every run."""
+    train, runs = cut(train), []
+    for b in range(bags):
+        chosen = F.pmod(F.xxhash64(F.lit(seed + b), entity), F.lit(1_000_000)) < share * 1_000_000
+        runs.append(oof_predict(make, train, test, entity, fit_where=chosen, **args))
+    return mean_over(runs, entity)
+
+
 def prune_correlated(df: DataFrame, columns: Sequence[str], importance: dict[str, float], share: float = 0.6, limit: float = 0.95) -> list[str]:
     """The ``share`` most important columns, of pairs correlated beyond ``limit`` only the more important."""
     kept = sorted(columns, key=lambda c: -importance[c])[: max(1, int(len(columns) * share))]

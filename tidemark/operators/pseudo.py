@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantile import quantiles
 from tidemark.operators.rank import average_rank
 
 
@@ -28,8 +29,8 @@ def select_rows(scores: DataFrame, entity: str, mode: str, high: float = 0.85, l
     elif mode == "soft":
         return scores.where(F.abs(p - 0.5) >= share).select(entity, p.alias("target"), weight)
     elif mode == "quantile":
-        edges = scores.agg(F.percentile("p", share).alias("a"), F.percentile("p", 1 - share).alias("b"))
-        rows = scores.crossJoin(F.broadcast(edges)).where((p <= F.col("a")) | (p >= F.col("b")))
+        low, high = quantiles(scores, "p", [share, 1 - share])
+        rows = scores.where((p <= F.lit(low)) | (p >= F.lit(high)))
     elif mode == "quota":
         ranked = average_rank(scores, [], "p", "__rank")
         rows = ranked.where((F.col("__rank") <= F.floor(F.col("__rank_n") * share)) | (F.col("__rank") > F.col("__rank_n") - F.floor(F.col("__rank_n") * share)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,8 +35,12 @@ def sentences(lines: DataFrame, entity: str, slice_: str, order: Sequence[str],
     return rows.select(entity, slice_, F.transform("x", lambda s: s[token]).alias("tokens"))
 
 
-def word_vectors(docs: DataFrame, size: int = 16, window: int = 5, epochs: int = 1, least: int = 3, seed: int = 42, partitions: int = 1) -> DataFrame:
-    """``word, vector`` by skip-gram over ``tokens``."""
+def word_vectors(docs: DataFrame, size: int = 16, window: int = 5, epochs: int = 5, least: int = 3, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """``word, vector`` by skip-gram over ``tokens``. ``partitions``, by default one for 50,000 documents, are
+    trained side by side in each epoch and averaged."""
+    docs = cut(docs)
+    if partitions is None:
+        partitions = max(1, docs.count() // 50_000)
     model = Word2Vec(vectorSize=size, windowSize=window, maxIter=epochs, minCount=least, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(docs)
     return model.getVectors()
 
@@ -65,40 +71,85 @@ def sparse_rows(counts: DataFrame, entity: str, token: str, words: DataFrame, va
     return pairs.select(entity, vector("x").alias("features"))
 
 
-def count_svd(counts: DataFrame, entity: str, token: str, k: int, least: int = 1, value: str = "n", limit: int = 4000) -> DataFrame:
-    """``entity, factors``: the first ``k`` left singular vectors times their values of the entity-by-token
-    matrix. X'X is summed from outer products of the rows, its eigenvectors come from the driver, where
-    it has at most ``limit`` squared entries, and X V is a join and a sum."""
-    words = dictionary(counts, token, least)
-    size = words.count()
-    if size > limit:
-        raise ValueError(f"{size} tokens: raise `least` or `limit`")
-    rows = counts.join(if_small(words.select(F.col("token").alias(token), "no")), token).select(entity, "no", F.col(value).cast("double").alias("v"))
+def _leading(cells: DataFrame, size: int, k: int, held: int, seed: int = 42, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` leading eigenvalues (by size) and eigenvectors of a symmetric matrix given by its cells (a,
+    b, g), both triangles. Up to ``held`` rows it is decomposed on the driver; beyond, by subspace
+    iteration: only a basis of k + 10 columns is held and sent, and each product is a join and a sum."""
+    if size <= held:
+        m = np.zeros((size, size))
+        part = cells.toArrow()
+        m[part["a"].to_numpy(), part["b"].to_numpy()] = part["g"].to_numpy()
+        values, vectors = np.linalg.eigh(m)
+        lead = np.argsort(-np.abs(values), kind="stable")[:k]
+        return values[lead], vectors[:, lead]
+    spark, cells = cells.sparkSession, cut(cells)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + 10))))[0]
+
+    def times(q: np.ndarray) -> np.ndarray:
+        side = spark.createDataFrame(pa.table({"b": pa.array(range(size), pa.int64()), "q": pa.array(list(q))}))
+        rows = cells.join(F.broadcast(side), "b").select("a", array_to_vector(F.transform("q", lambda x: x * F.col("g"))).alias("x"))
+        part = rows.groupBy("a").agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("y")).toArrow()
+        out = np.zeros_like(q)
+        if part.num_rows:
+            out[part["a"].to_numpy()] = np.array(part["y"].to_pylist())
+        return out
+
+    for _ in range(rounds):
+        basis = np.linalg.qr(times(basis))[0]
+    small = basis.T @ times(basis)
+    values, inner = np.linalg.eigh((small + small.T) / 2)
+    lead = np.argsort(-np.abs(values), kind="stable")[:k]
+    return values[lead], (basis @ inner)[:, lead]
+
+
+def _outer(size: int, most: int = 2_000_000):
+    """Sums the outer products of rows (numbers i, values v) and hands them on as (a, b, g)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, sums, n = [], [], 0
 
-    def outer(batches):
-        import pandas as pd
+        def given() -> pd.DataFrame:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return pd.DataFrame({"a": key // size, "b": key % size, "g": np.bincount(at, weights=np.concatenate(sums), minlength=len(key))})
 
-        g = np.zeros((size, size))
         for pdf in batches:
             for i, v in zip(pdf["i"], pdf["v"], strict=True):
-                i = np.asarray(i)
-                g[np.ix_(i, i)] += np.outer(v, v)
-        a, b = np.nonzero(g)
-        yield pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "g": g[a, b]})
-
+                i, v = np.asarray(i, dtype=np.int64), np.asarray(v)
+                step = max(1, most // len(i))  # a long row in slices
+                for at in range(0, len(i), step):
+                    keys.append((i[at : at + step, None] * size + i[None, :]).ravel())
+                    sums.append(np.outer(v[at : at + step], v).ravel())
+                    n += len(keys[-1])
+                    if n > most:
+                        yield given()
+                        keys, sums, n = [], [], 0
+        if keys:
+            yield given()
+
+    return run
+
+
+def count_svd(counts: DataFrame, entity: str, token: str, k: int, least: int = 1, value: str = "n", held: int = 4000) -> DataFrame:
+    """``entity, factors``: the first ``k`` left singular vectors times their values of the entity-by-token
+    matrix. X'X is summed from outer products of the rows; its eigenvectors (``_leading``, which says what
+    ``held`` is) make X V by a join and a sum, for any number of tokens."""
+    words = dictionary(counts, token, least)
+    size = words.count()
+    rows = counts.join(if_small(words.select(F.col("token").alias(token), "no")), token).select(entity, "no", F.col(value).cast("double").alias("v"))
     lists = rows.groupBy(entity).agg(F.collect_list("no").alias("i"), F.collect_list("v").alias("v"))
-    cells = lists.select("i", "v").mapInPandas(outer, "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g")).collect()
-    gram = np.zeros((size, size))
-    for a, b, g in cells:
-        gram[a, b] = g
-    values, vectors = np.linalg.eigh(gram)
-    basis = vectors[:, ::-1][:, : min(k, max(1, size - 1))]
-    basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)  # one sign for all runs
+    cells = lists.select("i", "v").mapInPandas(_outer(max(1, size)), "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+    _, basis = _leading(cells, size, min(k, max(1, size - 1)), held)
+    basis = basis * _signs(basis)
     side = rows.sparkSession.createDataFrame([(i, [float(x) for x in basis[i]]) for i in range(size)], "no long, basis array<double>")
     parts = rows.join(F.broadcast(side), "no").select(entity, array_to_vector(F.transform("basis", lambda b: b * F.col("v"))).alias("x"))
     return parts.groupBy(entity).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("factors"))
 
 
+def _signs(basis: np.ndarray) -> np.ndarray:
+    """One sign for all runs: the greatest entry of a column is positive."""
+    return np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1) if len(basis) else np.ones(basis.shape[1])
+
+
 def lda_topics(counts: DataFrame, entity: str, token: str, k: int, least: int = 2, seed: int = 42) -> DataFrame:
     """``entity, topics``: topic shares by online variational inference."""
     rows = cut(sparse_rows(counts, entity, token, dictionary(counts, token, least)))
@@ -141,7 +192,7 @@ def ppmi(rows: DataFrame, entity: str, token: str, least: int = 10) -> DataFrame
     return pairs.select(F.least("ta", "tb").alias("token_a"), F.greatest("ta", "tb").alias("token_b"), F.col("n").alias("n_ab"), score.alias("ppmi")).where("ppmi > 0")
 
 
-def random_walks(edges: DataFrame, a: str, b: str, walks: int = 2, length: int = 6, seed: int = 42) -> DataFrame:
+def random_walks(edges: DataFrame, a: str, b: str, walks: int = 10, length: int = 20, seed: int = 42) -> DataFrame:
     """``start, walk, step, node``: walks over an undirected graph from every node, each step to a neighbour
     drawn by a hash. Neighbours are numbered within their node, so that a draw is a join on (node, place)
     and no node's neighbours are gathered."""
@@ -157,21 +208,28 @@ def random_walks(edges: DataFrame, a: str, b: str, walks: int = 2, length: int =
     return out.select("start", "walk", "step", "node")
 
 
-def label_propagation(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 100) -> DataFrame:
     """``node, community``: every node takes the community with the greatest weight among its neighbours
-    (and itself, by its strongest link), the smallest on ties, until nothing changes."""
+    (and itself, by its strongest link), the smallest on ties, until nothing changes. Where communities come
+    back to a state that they had, the nodes that swing take the smaller of their last two; not to end
+    within ``rounds`` is an error."""
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).alias("w")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"), F.col(weight).alias("w"))))
     own = e.groupBy("u").agg(F.max("w").alias("w"))
     now = own.select(F.col("u").alias("node"), F.col("u").alias("community"))
+    seen: set[tuple] = set()
     for _ in range(rounds):
         votes = e.join(now, F.col("v") == F.col("node")).select("u", "community", "w").unionByName(own.join(now, F.col("u") == F.col("node")).select("u", "community", "w"))
         sums = votes.groupBy("u", "community").agg(F.sum("w").alias("w"))
         new = cut(sums.groupBy("u").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")).withColumnRenamed("u", "node"))
         same = new.join(now.withColumnRenamed("community", "before"), "node").where("community <> before").isEmpty()
+        mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("node", "community").cast("decimal(20,0)"))).first())
+        if mark in seen and not same:
+            return cut(new.join(now.withColumnRenamed("community", "before"), "node").select("node", F.least("community", "before").alias("community")))
+        seen.add(mark)
         now = new
         if same:
-            break
-    return now
+            return now
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
 def tfidf(counts: DataFrame, entity: str, token: str, least_df: int = 1, sublinear: bool = False) -> DataFrame:
@@ -185,23 +243,36 @@ def tfidf(counts: DataFrame, entity: str, token: str, least_df: int = 1, subline
     return rows.select(entity, token, (F.col("x") / norm).alias("weight"))
 
 
-def ppmi_vectors(rows: DataFrame, entity: str, token: str, k: int = 24, least: int = 10, limit: int = 4000) -> DataFrame:
-    """``word, vector``: leading eigenvectors of the tokens' PPMI matrix times the root of their values. The
-    matrix has at most ``limit`` squared entries, which is checked before it goes to the driver."""
+def ppmi_vectors(rows: DataFrame, entity: str, token: str, k: int = 24, least: int = 10, held: int = 4000) -> DataFrame:
+    """``word, vector``: leading eigenvectors of the tokens' PPMI matrix times the root of their values, for
+    any number of tokens (``_leading``)."""
     words = dictionary(rows, token, least)
-    names = [r["token"] for r in words.orderBy("no").limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"over {limit} tokens: raise `least`")
-    at = {n: i for i, n in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in ppmi(rows, entity, token, least).collect():
-        i, j = at[r["token_a"]], at[r["token_b"]]
-        m[i, j] = m[j, i] = r["ppmi"]
-    values, vectors = np.linalg.eigh(m)
-    lead = np.argsort(-np.abs(values))[: min(k, max(1, len(names) - 1))]
-    x = vectors[:, lead] * np.sqrt(np.abs(values[lead]))
-    x = x * np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
-    return rows.sparkSession.createDataFrame([(n, [float(v) for v in x[i]]) for n, i in at.items()], "word string, vector array<double>")
+    size = words.count()
+    one = lambda c: if_small(words.select(F.col("token").alias(f"token_{c}"), F.col("no").alias(c)))
+    half = cut(ppmi(rows, entity, token, least).join(one("a"), "token_a").join(one("b"), "token_b").select("a", "b", F.col("ppmi").alias("g")))
+    cells = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "g"))
+    values, vectors = _leading(cells, size, min(k, max(1, size - 1)), held)
+    x = vectors * np.sqrt(np.abs(values))
+    x = x * _signs(x)
+    side = rows.sparkSession.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(size)], "no long, vector array<double>")
+    return words.join(F.broadcast(side), "no").select(F.col("token").alias("word"), "vector")
+
+
+def weight_svd(weights: DataFrame, entity: str, token: str, k: int, least: int = 1) -> DataFrame:
+    """``entity, factors`` of a TF-IDF matrix (``entity, token, weight``) by ``count_svd``."""
+    return count_svd(weights.withColumnRenamed("weight", "n"), entity, token, k, least)
+
+
+def subword_vectors(vectors: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
+    """``word, vector``: each word's vector averaged with the mean of its character n-grams', a gram's vector
+    being the mean over the words that hold it, so that rare and unlike spellings lean on their parts."""
+    word = F.concat(F.lit("<"), "word", F.lit(">"))
+    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(word, i, F.lit(n))) for n in range(least, most + 1)])))
+    rows = cut(vectors.select("word", "vector", F.explode(grams).alias("gram")))
+    means = cut(rows.groupBy("gram").agg(Summarizer.mean(F.col("vector")).alias("g")))
+    parts = rows.select("word", "gram").join(means, "gram").groupBy("word").agg(vector_to_array(Summarizer.mean(F.col("g"))).alias("g"))
+    both = vectors.join(parts, "word")
+    return both.select("word", array_to_vector(F.zip_with(vector_to_array("vector"), "g", lambda a, b: (a + b) / 2)).alias("vector"))
 
 
 def principal_components(df: DataFrame, columns: Sequence[str], entity: str, k: int) -> DataFrame:

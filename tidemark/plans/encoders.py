@@ -286,6 +286,18 @@ QUERIES = {
     "category_rate": category_rate,
 }
 
+_LINE_KEYS = ("mean", "std", "max", "min", "amount_weighted", "high_amount", "weekend", "recent", "share_hi", "share_lo")
+#: The columns of the encoders with a row for every customer.
+COLUMNS = {
+    **{f"oof_te_{n}": ["wmean", "max", "min", "std", "extreme_hi", "extreme_lo", "conf"] for n in (*ENCODED, *CROSSED, "transition")},
+    **{f"hier_te_{n}": ["up_mean", "shr_mean", "shr_std", "res_mean", "res_std"] for n in PAIRS},
+    "minsupport_te": [f"te_{n}" for n in ("brand", "corner", "part", "store_part")],
+    "bayes_te": [f"te_{n}" for n in ("good", "g9", "g6", "pc_nm", "buyer_nm")],
+    "score_conditional_agg": [f"{n}_{k}" for n in ("corner", "part") for k in _LINE_KEYS],
+    "time_decay_score": ["decayed", "both_sides", "conflict", "first_of_day"],
+    "rate_deviation": ["skew"],
+}
+
 # The oracles fit each fold's encoder on the rows of all other folds, as the definition says.
 FOLDS = """e AS (SELECT custid, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42-' || custid), custid) - 1) % 5 AS INTEGER) AS fold
   FROM (SELECT custid, min(gender) AS label FROM y_train WHERE custid IS NOT NULL AND gender IS NOT NULL GROUP BY custid HAVING min(gender) = max(gender))),

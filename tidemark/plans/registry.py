@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import blending, blocks, encoders, events, learning, representing, streams
+from tidemark.plans import blending, blocks, encoders, events, learning, matrix, representing, stores, streams
 
-_MODULES = (blocks, encoders, blending, representing, learning, streams, events)
+_MODULES = (blocks, encoders, blending, representing, learning, streams, stores, matrix, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,13 +24,13 @@ def _r(c: str, digits: int = 6):
     return F.round(F.col(c).cast("double") + 1e-10, digits).alias(c)
 
 
-def dim_weighted_mean(spark: SparkSession, folder: str) -> DataFrame:
+def dim_weighted_mean(spark: SparkSession, folder: str, name: str = "train_transactions") -> DataFrame:
     """Brand attributes weighted by amount plus 1; brands without one have the attribute's mean."""
     meta = table(spark, folder, "brand_meta").withColumn("b", F.upper(F.trim("brd_nm"))).where("b <> ''")
     attrs = ["target_age", "price_tier", "open_year"]
     meta = cut(meta.groupBy("b").agg(*[F.avg(a).alias(a) for a in attrs]))
     means = meta.agg(*[F.avg(a).alias(f"m_{a}") for a in attrs])
-    rows = sales(spark, folder).join(if_small(meta), F.col("brand") == F.col("b"), "left").crossJoin(F.broadcast(means))
+    rows = sales(spark, folder, name, "brand w").join(if_small(meta), F.col("brand") == F.col("b"), "left").crossJoin(F.broadcast(means))
     w = F.col("w") + 1
     out = rows.groupBy("custid").agg(*[(F.sum(F.coalesce(F.col(a), F.col(f"m_{a}")) * w) / F.sum(w)).alias(a) for a in attrs])
     return out.select("custid", *[_r(a, 4) for a in attrs])
@@ -113,14 +113,6 @@ def gauss_rank(spark: SparkSession, folder: str) -> DataFrame:
     return clean.gauss_rank(base, "n_lines", "z").select("custid", _r("z"))
 
 
-def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Six blocks on the spine of customers, with interactions."""
-    blocks = [BLOCKS[b].spark(spark, folder) for b in ("base_agg", "composition_ratio", "semantic_share", "temporal_dynamics", "social_dwell", "amount_slope")]
-    spine = table(spark, folder, "train_transactions").where("custid is not null and sales_datetime is not null").select("custid").distinct()
-    wide = clean.on_spine(spine, blocks, "custid")
-    return clean.interactions(wide, [("recency_days", "lines_per_month", "mul"), ("net_mean", "active_months", "div")])
-
-
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return cut(copurchase_pairs(spark, folder))
 
@@ -223,10 +215,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         dim_weighted_mean, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
-        gauss_rank, feature_matrix, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca,
+        gauss_rank, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca,
     )
 }
 
+#: Queries that take the name of a table.
+OVER = {"dim_weighted_mean": dim_weighted_mean}
+
 _S = f"WITH {sales_sql()}"
 
 

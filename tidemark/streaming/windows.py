@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.session import use_checkpoints
+from tidemark.session import shared_folder
+from tidemark.sources.predictions import exists
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -37,6 +37,13 @@ def sessions(stream: DataFrame, ts: str, entity: str, gap_seconds: int = 1800, l
     return out.select(entity, "session_start", "session_end", "n")
 
 
+def day_dwell(stream: DataFrame, ts: str, entity: str, late: str = "1 day") -> DataFrame:
+    """``entity, day, span_minutes, n``: clock minutes between an entity's first and last event of a day."""
+    clock = F.hour(ts) * 60 + F.minute(ts)
+    agg = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), entity).agg((F.max(clock) - F.min(clock)).alias("span_minutes"), F.count("*").alias("n"))
+    return agg.select(entity, F.col("window.start").alias("day"), "span_minutes", "n")
+
+
 def gaps(stream: DataFrame, ts: str, entity: str) -> DataFrame:
     """``entity, ts, gap_s``: seconds since the entity's last row in an earlier or the same batch, null for
     its first. The state is one time an entity; rows that come late count from the newest seen."""
@@ -56,12 +63,16 @@ def gaps(stream: DataFrame, ts: str, entity: str) -> DataFrame:
 
 
 def run_now(df: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
-    """Runs a streaming query over all there is and gives its result from memory. For results of a bounded
-    size; others go to a sink of their own with ``writeStream``."""
+    """Runs a streaming query over all there is and gives its result from a table in the shared folder: in
+    complete mode the last batch's, in append mode all batches', each written once under its number."""
     spark = df.sparkSession
-    use_checkpoints(spark)
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    place = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
+    place = shared_folder(spark, "stream")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch={batch}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not exists(spark, f"{place}/out"):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{place}/out")
