@@ -79,3 +79,37 @@ def test_tfidf_rows_have_length_one(spark):
     df = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "a", 1)], "custid long, tok string, n long")
     s = represent.tfidf(df, "custid", "tok").groupBy("custid").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in s)
+
+
+def test_subspace_iteration_equals_the_whole_decomposition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"t{j:02d}", float(v)) for i in range(60) for j in range(30) if (v := rng.integers(0, 4) * (1 + 5 * (j < 4))) > 0]
+    df = spark.createDataFrame(rows, "custid long, tok string, n double")
+    a, b = ({r.custid: np.array(r.factors) for r in represent.count_svd(df, "custid", "tok", 3, held=h).collect()} for h in (4000, 5))
+    assert a.keys() == b.keys() and max(np.abs(a[k] - b[k]).max() for k in a) < 0.05
+
+
+def test_subword_vectors_share_parts(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([("abcde", Vectors.dense([1.0, 0.0])), ("abcdf", Vectors.dense([0.0, 1.0])), ("xyz", Vectors.dense([5.0, 5.0]))], ["word", "vector"])
+    got = {r.word: r.vector.toArray() for r in represent.subword_vectors(df).collect()}
+    assert np.allclose(got["xyz"], [5, 5]) and got["abcde"][1] > 0 and got["abcde"][0] > got["abcdf"][0]
+
+
+def test_columns_by_name_and_guards(spark):
+    df = spark.createDataFrame([(1, 2.0, float("inf"), None), (2, 4.0, float("nan"), 3.0)], "custid long, net_a double, x double, y_share double")
+    assert clean.columns_like(df, ["net_"], ["share"], ["custid"]).columns == ["custid", "net_a", "y_share"]
+    assert [tuple(r) for r in df.select(clean.finite(F.col("x")), clean.finite(F.col("y_share"))).collect()] == [(0.0, 0.0), (0.0, 3.0)]
+    z = clean.z_scores(df, ["net_a", "x"], df.select("net_a", F.lit(1.0).alias("x"))).collect()
+    assert [r.net_a for r in z] == [-1.0, 1.0] and [r.x for r in z] == [0.0, 0.0]
+    assert [r.b for r in clean.quantile_bins(df, "y_share", df, 4, "b").collect()] == [None, 0]
+
+
+def test_communities_that_swing_settle(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("c", "d", 1)], "u string, v string, w int")
+    got = {r.node: r.community for r in represent.label_propagation(e, "u", "v", "w").collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}

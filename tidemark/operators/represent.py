@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -267,7 +267,11 @@ def subword_vectors(vectors: DataFrame, least: int = 3, most: int = 5) -> DataFr
     """``word, vector``: each word's vector averaged with the mean of its character n-grams', a gram's vector
     being the mean over the words that hold it, so that rare and unlike spellings lean on their parts."""
     word = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(word, i, F.lit(n))) for n in range(least, most + 1)])))
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[of(n) for n in range(least, most + 1)])))
     rows = cut(vectors.select("word", "vector", F.explode(grams).alias("gram")))
     means = cut(rows.groupBy("gram").agg(Summarizer.mean(F.col("vector")).alias("g")))
     parts = rows.select("word", "gram").join(means, "gram").groupBy("word").agg(vector_to_array(Summarizer.mean(F.col("g"))).alias("g"))

@@ -70,6 +70,8 @@ def _rows(spark: SparkSession, folder: str, name: str, lines: dict[str, DataFram
         out = block.over(lines["train"].unionByName(lines["test"])) if len(block.tables) > 1 else block.over(lines["train"]).unionByName(block.over(lines["test"]))
     elif name in encoders.QUERIES:
         out = encoders.QUERIES[name](spark, folder)
+    elif name in representing.WHOLE:
+        out = representing.WHOLE[name](spark, folder)
     else:
         # made of one table at a time
         parts = [representing.OVER[name](spark, folder, t) for t in TABLES.values()]

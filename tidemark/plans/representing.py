@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, represent
 from tidemark.operators.gram import gram_sums
-from tidemark.operators.ordered import with_position
+from tidemark.operators.ordered import with_position, with_previous
+from tidemark.operators.rank import digest_rank
 from tidemark.plans.blocks import BLOCKS
 from tidemark.session import cut, if_small
 from tidemark.sources.sales import sales, sales_sql
@@ -20,6 +21,14 @@ def _counts(spark: SparkSession, folder: str, token: str, amount: bool = False)
     return cut(rows.groupBy("custid", token).agg(F.count("*").alias("n"), F.sum("a").alias("a")))
 
 
+def _both_counts(spark: SparkSession, folder: str, token: str, where: str = "true") -> DataFrame:
+    out = None
+    for t in ("train_transactions", "test_transactions"):
+        one = sales(spark, folder, t, f"{token} {where} a").where(f"{token} is not null and {where}").groupBy("custid", token).agg(F.count("*").alias("n"), F.sum("a").alias("a"))
+        out = one if out is None else out.unionByName(one)
+    return cut(out)
+
+
 def _r(c: str, digits: int = 6):
     return F.round(F.col(c).cast("double") + 1e-10, digits).alias(c)
 
@@ -65,9 +74,22 @@ def tfidf_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return represent.tfidf(_counts(spark, folder, "brand"), "custid", "brand").select("custid", "brand", _r("weight"))
 
 
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every line: part, pc, hour, the code's 4, 6 and 8 first digits, the amount's bin by powers of two
+    and its sign, and the bigram of the corner before and this one."""
+    rows = with_previous(sales(spark, folder, uses="part_nm pc_nm h corner_nm code net_amt"), "custid", "d", ["ts", "line_id"], ["corner_nm"])
+    bin_ = F.when(F.col("net_amt").isNotNull(), F.concat(F.lit("amt="), F.when(F.col("net_amt") < 0, "-").otherwise(""), F.length(F.bin(F.abs("net_amt"))).cast("string")))
+    made = [
+        F.concat(F.lit("part="), F.regexp_replace("part_nm", r"\s+", "")), F.concat(F.lit("pc="), "pc_nm"), F.concat(F.lit("h="), F.col("h").cast("string")), bin_,
+        *[F.concat(F.lit(f"g{k}="), F.substring("code", 1, k)) for k in (4, 6, 8)], F.concat(F.lit("step="), "prev_corner_nm", F.lit(">"), "corner_nm"),
+    ]
+    return rows.select("custid", F.explode(F.array(*made)).alias("tok"))
+
+
 def tfidf_sublinear(spark: SparkSession, folder: str) -> DataFrame:
-    """Amount bin and prefixed categories as tokens, sublinear, in at least 5 documents."""
-    rows = sales(spark, folder).withColumn("tok", F.explode(F.array(F.concat(F.lit("part="), F.regexp_replace("part_nm", r"\s+", "")), F.concat(F.lit("pc="), "pc_nm"), F.concat(F.lit("h="), F.col("h").cast("string")))))
+    """Amount bins, code prefixes, bigrams and prefixed categories as tokens, sublinear, in at least 5
+    documents."""
+    rows = _tokens(spark, folder)
     counts = cut(rows.where("tok is not null").groupBy("custid", "tok").agg(F.count("*").alias("n")))
     return represent.tfidf(counts, "custid", "tok", 5, True).select("custid", "tok", _r("weight"))
 
@@ -82,10 +104,47 @@ def category_sentence(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("custid", F.concat_ws(", ", F.transform("x", lambda s: s["w"])).alias("sentence"))
 
 
+def _numbered(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """The values of a category of both tables, numbered from 1 in the order of their digests."""
+    words = None
+    for t in ("train_transactions", "test_transactions"):
+        one = sales(spark, folder, t, column).where(f"{column} is not null").select(F.lit(1).alias("one"), F.col(column).alias("w"))
+        words = one if words is None else words.unionByName(one)
+    return digest_rank(cut(words.distinct()), ["one"], "w", 42, "no").select("w", (F.col("no") + 1).cast("int").alias("no"))
+
+
+def _field(name: str):
+    return lambda s: s[name].cast("string")
+
+
+def sequence_channels(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven channels of the last 60 lines of every customer of both tables, oldest first, padded on the left
+    with 0: numbers of pc, corner, store and buyer, the amount's bin, the hour plus 1, and the days since the
+    line before in bins by powers of two."""
+    words = {c: if_small(cut(_numbered(spark, folder, c))) for c in ("pc_nm", "corner_nm", "str_nm", "buyer_nm")}
+    out = None
+    for t in ("train_transactions", "test_transactions"):
+        rows = with_previous(with_position(sales(spark, folder, t, "pc_nm corner_nm str_nm buyer_nm net_amt h"), "custid", "d", ["ts", "line_id"]), "custid", "d", ["ts", "line_id"], ["d"]).where("pos_back < 60")
+        for c, side in words.items():
+            rows = rows.join(side.select(F.col("w").alias(f"w_{c}"), F.col("no").alias(f"no_{c}")), F.col(c) == F.col(f"w_{c}"), "left")
+        bits = lambda x: F.length(F.bin(x))
+        channels = {
+            **{c: F.coalesce(f"no_{c}", F.lit(0)) for c in words},
+            "amount": F.coalesce(F.when(F.col("net_amt") < 0, -bits(-F.col("net_amt"))).when(F.col("net_amt") > 0, bits(F.col("net_amt"))), F.lit(0)),
+            "hour": F.col("h") + 1,
+            "gap": F.coalesce(F.when(F.col("has_prev"), bits(F.datediff("d", "prev_d").cast("long") + 1)), F.lit(0)),
+        }
+        one = rows.groupBy("custid").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), *[v.cast("int").alias(k) for k, v in channels.items()]))).alias("x"))
+        pad = F.array_repeat(F.lit("0"), F.lit(60) - F.size("x"))
+        one = one.select("custid", *[F.concat_ws(" ", F.concat(pad, F.transform("x", _field(k)))).alias(k) for k in channels])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def token_sequence(spark: SparkSession, folder: str) -> DataFrame:
     """The last 60 lines' part numbers (0 pads on the left), amount bins and gaps: fixed-length channels."""
-    rows = with_position(sales(spark, folder), "custid", "d", ["ts", "line_id"]).where("pos_back < 60")
-    words = cut(sales(spark, folder).where("pc_nm is not null").select("pc_nm").distinct())
+    rows = with_position(sales(spark, folder, uses="pc_nm net_amt"), "custid", "d", ["ts", "line_id"]).where("pos_back < 60")
+    words = cut(sales(spark, folder, uses="pc_nm").where("pc_nm is not null").select("pc_nm").distinct())
     # one row a pc name
     words = words.withColumn("no", F.row_number().over(W.orderBy("pc_nm")))
     rows = rows.join(if_small(words), "pc_nm", "left").withColumn("sl", F.signum("net_amt") * F.log1p(F.abs("net_amt")))
@@ -96,7 +155,9 @@ def token_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage_clean_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Amount columns of the base block clipped to their 1 and 99 percent points and in logarithms."""
-    base = BLOCKS["base_agg"].spark(spark, folder).select("custid", "n_lines", "net_sum", "net_max", "visit_days").na.fill(0.0)
+    block = BLOCKS["base_agg"]
+    both = block.spark(spark, folder).unionByName(type(block)(block.steps, ["test_transactions"]).spark(spark, folder))
+    base = both.select("custid", "n_lines", "net_sum", "net_max", "visit_days").na.fill(0.0)
     out = clean.clip_log(base, ["n_lines", "net_sum", "net_max", "visit_days"])
     return out.select("custid", *[_r(c) for c in ("n_lines", "net_sum", "net_max", "visit_days")])
 
@@ -126,6 +187,44 @@ def random_walks(spark: SparkSession, folder: str) -> DataFrame:
     return represent.random_walks(edges, "c", "b")
 
 
+def goods_svd(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of both tables by 24 factors of the TF-IDF weights of their codes, junk left out."""
+    counts = _both_counts(spark, folder, "code", "code <> '2700000000000'")
+    return represent.weight_svd(represent.tfidf(counts, "custid", "code", 3), "custid", "code", 24)
+
+
+def corner_svd(spark: SparkSession, folder: str) -> DataFrame:
+    return represent.count_svd(_both_counts(spark, folder, "corner_nm"), "custid", "corner_nm", 16, 3)
+
+
+def token_svd(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers by 32 factors of the sublinear weights of all kinds of tokens."""
+    counts = cut(_tokens(spark, folder).where("tok is not null").groupBy("custid", "tok").agg(F.count("*").alias("n")))
+    return represent.weight_svd(represent.tfidf(counts, "custid", "tok", 5, True), "custid", "tok", 32)
+
+
+def goods_als(spark: SparkSession, folder: str) -> DataFrame:
+    return represent.als_factors(_both_counts(spark, folder, "code"), "custid", "code", 32)
+
+
+def subword_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Corner vectors that lean on their names' parts, pooled by customer."""
+    vectors = represent.subword_vectors(cut(_vectors(spark, folder, "corner_nm")))
+    out = represent.pooled(_counts(spark, folder, "corner_nm"), cut(vectors), "custid", "corner_nm")
+    from pyspark.ml.functions import vector_to_array
+
+    return out.select("custid", *[vector_to_array(c).alias(c) for c in ("mean", "max", "std", "idf_mean")])
+
+
+def token_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The categories' numbers, as models use them."""
+    out = None
+    for c in ("pc_nm", "corner_nm", "str_nm", "buyer_nm"):
+        one = _numbered(spark, folder, c).select(F.lit(c).alias("level"), F.col("w").alias("name"), F.col("no").cast("long").alias("no"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _vectors(spark: SparkSession, folder: str, token: str, size: int = 16) -> DataFrame:
     rows = sales(spark, folder).withColumn("month", F.date_trunc("month", "ts"))
     return represent.word_vectors(represent.sentences(rows, "custid", "month", ["ts", "line_id"], token), size)
@@ -183,7 +282,7 @@ def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
     docs = walks.select(F.transform("x", lambda s: s["node"]).alias("tokens"))
     from pyspark.ml.functions import vector_to_array
 
-    return represent.word_vectors(docs, 16, least=1).select("word", vector_to_array("vector").alias("vector"))
+    return represent.word_vectors(docs, 64, least=1).select("word", vector_to_array("vector").alias("vector"))
 
 
 def community_share(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,12 +314,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         dim_weighted_mean, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
-        gauss_rank, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca,
+        gauss_rank, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca, sequence_channels, goods_svd, corner_svd, token_svd, goods_als, subword_pool, token_map,
     )
 }
 
-#: Queries that take the name of a table.
+def _spread(df: DataFrame, column: str, k: int) -> DataFrame:
+    return df.select("custid", *[F.coalesce(F.try_element_at(column, F.lit(i + 1)), F.lit(0.0)).alias(f"f{i}") for i in range(k)])
+
+
+#: Queries that take the name of a table, and those that hold the customers of both.
 OVER = {"dim_weighted_mean": dim_weighted_mean}
+WHOLE = {
+    "svd_counts": lambda spark, folder: _spread(represent.count_svd(_both_counts(spark, folder, "brand"), "custid", "brand", 16), "factors", 16),
+    "lda_topics": lambda spark, folder: _spread(represent.lda_topics(_both_counts(spark, folder, "pc_nm"), "custid", "pc_nm", 8), "topics", 8),
+}
 
 _S = f"WITH {sales_sql()}"
 
@@ -237,7 +344,17 @@ SELECT custid, {token}, {_q(f"x / sqrt(sum(x * x) OVER (PARTITION BY custid))",
 
 _BASE = BLOCKS["base_agg"].sql()
 _COLS = ("n_lines", "net_sum", "net_max", "visit_days")
+_W = {
+    c: f"w_{c} AS (SELECT w, row_number() OVER (ORDER BY md5('42-' || w), w) AS no FROM (SELECT {c} AS w FROM s WHERE {c} IS NOT NULL UNION SELECT {c} FROM st WHERE {c} IS NOT NULL))" for c in ("pc_nm", "corner_nm", "str_nm", "buyer_nm")
+}
+_TWO = f"{_S}, {sales_sql('test_transactions', 'st')}, {', '.join(_W.values())}"
+_BITS = "length(ltrim(bin({0}::BIGINT), '0'))"
+_CHANNELS = {**{c: f"coalesce(w_{c}.no, 0)" for c in _W}, "amount": f"CASE WHEN net_amt < 0 THEN -{_BITS.format('-net_amt')} WHEN net_amt > 0 THEN {_BITS.format('net_amt')} ELSE 0 END", "hour": "h + 1", "gap": f"CASE WHEN gap IS NULL THEN 0 ELSE {_BITS.format('gap + 1')} END"}
 SQL = {
+    "token_map": f"{_TWO} " + " UNION ALL ".join(f"SELECT '{c}' AS level, w AS name, no FROM w_{c}" for c in _W),
+    "sequence_channels": f"""{_TWO}, x AS (SELECT *, row_number() OVER (PARTITION BY custid ORDER BY ts DESC, line_id DESC) AS k, date_diff('day', lag(d) OVER (PARTITION BY custid ORDER BY ts, line_id), d) AS gap FROM (SELECT * FROM s UNION ALL SELECT * FROM st)),
+y AS (SELECT custid, k, {", ".join(f"({e})::INTEGER AS c_{n}" for n, e in _CHANNELS.items())} FROM x {" ".join(f"LEFT JOIN w_{c} ON w_{c}.w = x.{c}" for c in _W)} WHERE k <= 60)
+SELECT custid, {", ".join(f"repeat('0 ', CAST(60 - count(*) AS INTEGER)) || string_agg(CAST(c_{n} AS VARCHAR), ' ' ORDER BY k DESC) AS {n}" for n in _CHANNELS)} FROM y GROUP BY custid""",
     "store_counts": f"""{_S}, {sales_sql("test_transactions", "st")}, b AS (SELECT custid, str_nm FROM s UNION ALL SELECT custid, str_nm FROM st), v AS (SELECT DISTINCT str_nm FROM b WHERE str_nm IS NOT NULL), c AS (SELECT DISTINCT custid FROM b)
 SELECT c.custid, v.str_nm, count(b.custid) AS n FROM c CROSS JOIN v LEFT JOIN b ON b.custid = c.custid AND b.str_nm = v.str_nm GROUP BY ALL""",
     "category_top": f"{_S} SELECT part_nm, count(*) AS n_lines, {_q('avg(net_amt)', 'net_mean', 4)} FROM s WHERE part_nm IS NOT NULL GROUP BY part_nm ORDER BY n_lines DESC, part_nm LIMIT 20",
@@ -256,7 +373,7 @@ p AS (SELECT a.brand AS brand_a, b.brand AS brand_b, count(*) AS n_ab FROM x a J
 SELECT brand_a, brand_b, n_ab, {_q("ln(n_ab * n.n / (ca.c::DOUBLE * cb.c))", "ppmi", 5)} FROM p JOIN c ca ON ca.brand = brand_a JOIN c cb ON cb.brand = brand_b, n WHERE ln(n_ab * n.n / (ca.c::DOUBLE * cb.c)) > 0""",
     "tfidf_tokens": _tfidf("SELECT custid, brand, count(*) AS n FROM s WHERE brand IS NOT NULL GROUP BY ALL", "brand", "c.n", 1),
     "tfidf_sublinear": _tfidf(
-        "SELECT custid, tok, count(*) AS n FROM (SELECT custid, unnest(['part=' || regexp_replace(part_nm, '\\s+', '', 'g'), 'pc=' || pc_nm, 'h=' || h]) AS tok FROM s) WHERE tok IS NOT NULL GROUP BY ALL", "tok", "(1 + ln(c.n))", 5
+        "SELECT custid, tok, count(*) AS n FROM (SELECT custid, unnest(['part=' || regexp_replace(part_nm, '\\s+', '', 'g'), 'pc=' || pc_nm, 'h=' || h, 'amt=' || CASE WHEN net_amt < 0 THEN '-' ELSE '' END || CASE WHEN net_amt = 0 THEN 1 ELSE length(ltrim(bin(abs(net_amt)), '0')) END, 'g4=' || left(code, 4), 'g6=' || left(code, 6), 'g8=' || left(code, 8), 'step=' || lag(corner_nm) OVER (PARTITION BY custid ORDER BY ts, line_id) || '>' || corner_nm]) AS tok FROM s) WHERE tok IS NOT NULL GROUP BY ALL", "tok", "(1 + ln(c.n))", 5
     ),
     "category_sentence": f"""{_S}, p AS (SELECT custid, corner_nm, count(*) AS n, sum(a) AS amt FROM s WHERE corner_nm IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY custid ORDER BY amt DESC, n DESC, corner_nm) AS k FROM p)
@@ -264,6 +381,6 @@ SELECT custid, string_agg(corner_nm || ' ' || n || 'x ' || CAST(round(amt / 1000
     "token_sequence": f"""{_S}, v AS (SELECT pc_nm, row_number() OVER (ORDER BY pc_nm) AS no FROM (SELECT DISTINCT pc_nm FROM s WHERE pc_nm IS NOT NULL)),
 x AS (SELECT custid, ts, line_id, coalesce(no, 0) AS t, round(coalesce(sign(net_amt) * ln(1 + abs(net_amt)), 0) + 1e-10, 6) AS sl, row_number() OVER (PARTITION BY custid ORDER BY ts DESC, line_id DESC) AS k FROM s LEFT JOIN v USING (pc_nm))
 SELECT custid, CAST(count(*) AS INTEGER) AS length, repeat('0 ', CAST(60 - count(*) AS INTEGER)) || string_agg(CAST(t AS VARCHAR), ' ' ORDER BY k DESC) AS tokens, {_q("sum(sl)", "amount_sum", 4)} FROM x WHERE k <= 60 GROUP BY custid""",
-    "stage_clean_columns": f"WITH b AS ({_BASE}), c AS (SELECT custid, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COLS)} FROM b), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}' for c in _COLS)} FROM c) "
+    "stage_clean_columns": f"WITH b AS (SELECT * FROM ({_BASE}) UNION ALL SELECT * FROM ({_BASE.replace('train_transactions', 'test_transactions')})), c AS (SELECT custid, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COLS)} FROM b), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}' for c in _COLS)} FROM c) "
     f"SELECT custid, {', '.join(_q(f'ln(1 + greatest(greatest(least({c}, hi_{c}), lo_{c}), 0))', c) for c in _COLS)} FROM c, q",
 }
