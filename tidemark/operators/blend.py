@@ -55,14 +55,20 @@ def rank_correlations(table: DataFrame, models: Sequence[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def blend_aucs(table: DataFrame, models: Sequence[str], label: str, weights: Sequence[Sequence[float]], bins: int = 4096) -> list[float]:
+def blend_aucs(table: DataFrame, models: Sequence[str], label: str, weights: Sequence[Sequence[float]], bins: int = 4096, keep: Sequence[Column] = (), of: Sequence[int] = ()) -> list[float]:
     """AUC of each weighted sum of a wide table's columns, all in one pass: sums fall into ``bins`` equal
     parts of their range and only the bins' counts are gathered. Values within a bin count as tied, which
-    moves an AUC by less than the share of pairs in one bin."""
-    span = [sum(abs(w) for w in ws) or 1.0 for ws in weights]
-    sums = [F.aggregate(F.array(*[F.col(m) * F.lit(float(w)) for m, w in zip(models, ws, strict=True)]), F.lit(0.0), lambda a, x: a + x) for ws in weights]
-    cells = [F.struct(F.lit(i).alias("i"), F.floor((s / F.lit(t) + 1) / 2 * (bins - 1)).cast("int").alias("b")) for i, (s, t) in enumerate(zip(sums, span, strict=True))]
-    rows = table.select(F.col(label).alias("y"), F.explode(F.array(*cells)).alias("x"))
+    moves an AUC by less than the share of pairs in one bin. With ``keep``, conditions on rows, the i-th
+    sum is measured over the rows of the condition number ``of[i]``."""
+    span = F.lit([sum(abs(w) for w in ws) or 1.0 for ws in weights])
+    values = F.array(*[F.col(m).cast("double") for m in models])
+    # weights are data and not code: every step runs the same plan
+    sums = F.transform(F.lit([[float(w) for w in ws] for ws in weights]), lambda w: F.aggregate(F.zip_with(values, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    cells = F.transform(sums, lambda s, i: F.struct(i.alias("i"), F.floor((s / F.element_at(span, i + 1) + 1) / 2 * (bins - 1)).cast("int").alias("b")))
+    if keep:
+        chosen = F.array(*keep)
+        cells = F.filter(cells, lambda x: F.element_at(chosen, F.element_at(F.lit([k + 1 for k in of]), x["i"] + 1)))
+    rows = table.select(F.col(label).alias("y"), F.explode(cells).alias("x"))
     counts = rows.groupBy("x.i", "x.b").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("n"))
     by: dict[int, list] = {}
     for r in counts.collect():
@@ -97,15 +103,36 @@ def hill_climb(table: DataFrame, models: Sequence[str], label: str, steps: int =
     return {m: c / sum(kept) for m, c in zip(models, kept, strict=True)}
 
 
-def stable_members(table: DataFrame, models: Sequence[str], label: str, entity: str, bags: int = 5, share: float = 0.8, steps: int = 8, least: float = 0.5, seed: int = 42) -> dict[str, float]:
+def stable_members(table: DataFrame, models: Sequence[str], label: str, entity: str, bags: int = 25, share: float = 0.8, steps: int = 25, least: float = 0.5, start: int = 3, seed: int = 42) -> dict[str, float]:
     """How often each model is chosen by ``hill_climb`` over hashed samples of the entities without
-    replacement; those below ``least`` of the bags are left out."""
-    chosen = dict.fromkeys(models, 0)
-    for b in range(bags):
-        part = table.where(F.pmod(F.xxhash64(F.lit(seed + b), entity), F.lit(1000)) < share * 1000)
-        for m, w in hill_climb(part, models, label, steps).items():
-            chosen[m] += w > 0
-    return {m: c / bags for m, c in chosen.items() if c / bags >= least}
+    replacement; those below ``least`` of the bags are left out. All bags take a step in one pass."""
+    table, n = cut(table), len(models)
+    keep = [F.pmod(F.xxhash64(F.lit(seed + b), entity), F.lit(1000)) < share * 1000 for b in range(bags)]
+
+    def aucs(tries: list[list[list[float]]]) -> list[list[float]]:
+        flat = blend_aucs(table, models, label, [w for ts in tries for w in ts], keep=keep, of=[b for b, ts in enumerate(tries) for _ in ts])
+        flat = [-1.0 if x != x else x for x in flat]
+        out, at = [], 0
+        for ts in tries:
+            out.append(flat[at : at + len(ts)])
+            at += len(ts)
+        return out
+
+    counts = []
+    for single in aucs([[[float(i == j) for j in range(n)] for i in range(n)] for _ in range(bags)]):
+        first = sorted(range(n), key=lambda i: -single[i])[:start]
+        counts.append([float(i in first) for i in range(n)])
+    best = [x[0] for x in aucs([[c] for c in counts])]
+    kept = [list(c) for c in counts]
+    for _ in range(steps):
+        tries = [[[c + (i == j) for j, c in enumerate(cs)] for i in range(n)] for cs in counts]
+        for b, scores in enumerate(aucs(tries)):
+            at = max(range(n), key=lambda i: scores[i])
+            counts[b] = tries[b][at]
+            if scores[at] > best[b] + 1e-9:
+                best[b], kept[b] = scores[at], list(counts[b])
+    chosen = {m: sum(k[i] > 0 for k in kept) / bags for i, m in enumerate(models)}
+    return {m: c for m, c in chosen.items() if c >= least}
 
 
 def search_weights(table: DataFrame, models: Sequence[str], label: str, low: float = -0.3, rounds: int = 8, size: int = 12, seed: int = 42) -> dict[str, float]:

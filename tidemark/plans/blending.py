@@ -103,17 +103,17 @@ def psi(spark: SparkSession, folder: str) -> DataFrame:
 
 def hill_climb(spark: SparkSession, folder: str) -> DataFrame:
     w = blend.wide(ranks(spark, folder).where("split = 'train'"), MODELS, ["custid", "label"])
-    return spark.createDataFrame(list(blend.hill_climb(w, MODELS, "label", 8).items()), "model string, weight double")
+    return spark.createDataFrame(list(blend.hill_climb(w, MODELS, "label", 100).items()), "model string, weight double")
 
 
 def stability_selection(spark: SparkSession, folder: str) -> DataFrame:
     w = blend.wide(ranks(spark, folder).where("split = 'train'"), MODELS, ["custid", "label"])
-    return spark.createDataFrame(list(blend.stable_members(w, MODELS, "label", "custid", bags=3, steps=3).items()), "model string, frequency double")
+    return spark.createDataFrame(list(blend.stable_members(w, MODELS, "label", "custid").items()), "model string, frequency double")
 
 
 def weight_search(spark: SparkSession, folder: str) -> DataFrame:
     w = blend.wide(ranks(spark, folder).where("split = 'train'"), MODELS, ["custid", "label"])
-    return spark.createDataFrame(list(blend.search_weights(w, MODELS, "label", rounds=4).items()), "model string, weight double")
+    return spark.createDataFrame(list(blend.search_weights(w, MODELS, "label", rounds=80).items()), "model string, weight double")
 
 
 def logloss_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,7 +121,46 @@ def logloss_weights(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(blend.logloss_weights(w, MODELS, "label").items()), "model string, weight double")
 
 
+def recipe_aucs(spark: SparkSession, folder: str) -> DataFrame:
+    """The recipes' AUC over the train rows; a member without scores has a proxy, a recipe with neither none."""
+    rows = ranks(spark, folder).where("split = 'train'")
+    recipes = RECIPES | {"proxy": {"outside": 0.5, "m4": 0.5}, "lacking": {"nowhere": 0.5, "m4": 0.5}}
+    found = [(n, blend.recipe_auc(rows, w, proxies={"outside": "m6"})) for n, w in recipes.items()]
+    return spark.createDataFrame(found, "recipe string, auc double").withColumn("auc", F.round("auc", 6))
+
+
+def error_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers by how many of three models are right, with mean balance and orders against all."""
+    p = predictions(spark, folder).where("split = 'train'").withColumn("r", F.col("score"))
+    side = table(spark, folder, "customer").select(F.col("c_custkey").alias("custid"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    wide = blend.wide(p, MODELS[3:], ["custid", "label"]).join(side, "custid")
+    out = diagnose.error_groups(wide, MODELS[3:], "label", ["balance", "nation"])
+    return out.select("error_group", "n", *[_r(c, 4) for c in ("share", "positive_rate", "balance", "nation", "balance_ratio", "nation_ratio")])
+
+
+def teacher_gate(spark: SparkSession, folder: str) -> DataFrame:
+    w = blend.wide(ranks(spark, folder).where("split = 'train'"), MODELS, ["custid"])
+    return diagnose.teacher_gate(w, "m1", MODELS[1:], 0.1).select("model", _r("corr"), "passes")
+
+
+def shrunk_blend(spark: SparkSession, folder: str) -> DataFrame:
+    """A recipe drawn towards equal weights."""
+    rows = ranks(spark, folder).where("split = 'test'")
+    return blend.weighted_blend(rows, blend.shrink(RECIPES["base"], 0.75), ["custid"]).select("custid", _r("blend"))
+
+
+def gap_corr(spark: SparkSession, folder: str) -> DataFrame:
+    """How the gap of two models' ranks goes along with the label, by split."""
+    w = blend.wide(ranks(spark, folder), MODELS, ["custid", "split", "label"])
+    return diagnose.gap_correlation(w, ["split"], "m6", "m2", "label").select("split", "n", _r("corr"))
+
+
 QUERIES = {
+    "recipe_aucs": recipe_aucs,
+    "error_groups": error_groups,
+    "teacher_gate": teacher_gate,
+    "shrunk_blend": shrunk_blend,
+    "gap_corr": gap_corr,
     "rank_norm": rank_norm,
     "auc": auc,
     "weighted_recipe": weighted_recipe,
@@ -155,7 +194,16 @@ _BLENDS = " UNION ALL ".join(
 _TEACH = "t AS (SELECT custid, round(avg(r), 9) AS p, min(r) AS lo, max(r) AS hi FROM r WHERE split = 'test' AND model IN ('m2', 'm4', 'm6') GROUP BY custid)"
 _SEL = f"SELECT '{{}}' AS mode, custid, {_q('CASE WHEN p >= 0.5 THEN 1 ELSE 0 END', 'target')}, {_q('2 * abs(p - 0.5)', 'weight')} FROM {{}} WHERE {{}}"
 
+_MIX = {**RECIPES, "proxy": {"m6": 0.5, "m4": 0.5}}
+_MIXED = " UNION ALL ".join(f"SELECT '{n}' AS recipe, custid, label, round(sum(CASE model {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {w!r}' for m, w in ws.items())} END * r), 9) AS s FROM r WHERE split = 'train' AND model IN ({', '.join(repr(m) for m in ws)}) GROUP BY custid, label" for n, ws in _MIX.items())
 SQL = {
+    "recipe_aucs": f"WITH {PRED}, b AS ({_MIXED}) SELECT recipe, round(auc, 6) AS auc FROM ({_auc('b', 's', 'recipe')}) UNION ALL SELECT 'lacking', NULL",
+    "error_groups": f"""WITH {PRED}, x AS (SELECT custid, label, list(model) FILTER ((score >= 0.5) = (label = 1)) AS good FROM p WHERE split = 'train' AND model IN ('m4', 'm5', 'm6') GROUP BY custid, label),
+y AS (SELECT CASE coalesce(len(good), 0) WHEN 3 THEN 'all right' WHEN 0 THEN 'all wrong' WHEN 1 THEN 'only ' || good[1] ELSE '2 right' END AS error_group, label, c_acctbal AS b, c_nationkey::DOUBLE AS k FROM x JOIN customer ON c_custkey = custid), z AS (SELECT count(*) AS n, avg(b) AS b, avg(k) AS k FROM y)
+SELECT error_group, count(*) AS n, {", ".join(f"round(CAST({e} AS DOUBLE) + 1e-10, 4) AS {n}" for n, e in {"share": "count(*) / any_value(z.n)", "positive_rate": "avg(label)", "balance": "avg(y.b)", "nation": "avg(y.k)", "balance_ratio": "avg(y.b) / (any_value(z.b) + 1e-9)", "nation_ratio": "avg(y.k) / (any_value(z.k) + 1e-9)"}.items())} FROM y, z GROUP BY error_group""",
+    "teacher_gate": f"WITH {PRED} SELECT b.model, {_q('corr(a.r, b.r)', 'corr')}, corr(a.r, b.r) < 0.1 AS passes FROM r a JOIN r b ON a.custid = b.custid AND a.model = 'm1' AND b.model <> 'm1' WHERE a.split = 'train' GROUP BY b.model",
+    "shrunk_blend": f"WITH {PRED} SELECT custid, {_q('sum(r * CASE model WHEN ' + chr(39) + 'm1' + chr(39) + ' THEN 0.75 * 0.2 + 0.25 / 3 WHEN ' + chr(39) + 'm2' + chr(39) + ' THEN 0.75 * 0.3 + 0.25 / 3 ELSE 0.75 * 0.5 + 0.25 / 3 END)', 'blend')} FROM r WHERE split = 'test' AND model IN ('m1', 'm2', 'm3') GROUP BY custid",
+    "gap_corr": f"WITH {PRED} SELECT a.split, count(*) AS n, {_q('corr(a.r - b.r, a.label)', 'corr')} FROM r a JOIN r b USING (custid) WHERE a.model = 'm6' AND b.model = 'm2' GROUP BY a.split",
     "rank_norm": f"WITH {PRED} SELECT model, custid, split, {_q('r', 'r')} FROM r",
     "auc": f"WITH {PRED}, t AS (SELECT * FROM p WHERE split = 'train') SELECT model, {_q('auc', 'auc')}, n_pos, n_neg FROM ({_auc('t', 'score')}) JOIN (SELECT model, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM t GROUP BY model) USING (model)",
     "weighted_recipe": f"WITH {PRED}, b AS ({_BLENDS}) SELECT recipe, custid, {_q('(rank() OVER (PARTITION BY recipe ORDER BY b) + (count(*) OVER (PARTITION BY recipe, b) - 1) / 2.0) / count(*) OVER (PARTITION BY recipe)', 'r')} FROM b",
