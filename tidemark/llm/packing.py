@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,13 @@ def encoding(ranks: str, pattern: str = PATTERN):
 
 
 def token_counts(df: DataFrame, key: str, text: str, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """``key, n_tokens`` of every row, whole texts; null and empty texts have 0."""
+    """``key, n_tokens`` of every row, whole texts; null and empty texts have 0. The rank file, a few MB at
+    ``ranks`` where the driver runs, is handed to the executors by the session."""
+    df.sparkSession.sparkContext.addFile(ranks)
+    name = ranks.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(ranks, pattern)
+        own = encoding(SparkFiles.get(name), pattern)
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "n_tokens": [len(own.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf["t"]]})
 

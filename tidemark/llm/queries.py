@@ -14,7 +14,7 @@ from tidemark.llm.percentiles import from_histogram, histogram, merge, percentil
 from tidemark.llm.splits import linked_groups, number_written, split_groups, split_rows
 from tidemark.llm.stuffing import keyword_pages
 from tidemark.plans.events import PART_IDS, part_features
-from tidemark.session import if_small
+from tidemark.session import cut, if_small
 from tidemark.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -42,6 +42,27 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return split_rows(sales, "custid", _splits(spark, folder), SHARES, ["line_id"])
 
 
+def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """What the splits must keep: rows, rows without a split, groups with two, and whether a share of rows is
+    off by over half a percent or a split's share of positive rows by over one percent."""
+    sales, splits = table(spark, folder, "train_transactions").select("line_id", "custid"), cut(_splits(spark, folder))
+    labels = table(spark, folder, "y_train").where("gender is not null").groupBy("custid").agg(F.min("gender").alias("y"), F.max("gender").alias("z")).where("y = z").select(F.col("custid").alias("c"), "y")
+    rows = split_rows(sales, "custid", splits, SHARES, ["line_id"]).groupBy("split").agg(F.count("*").alias("n"))
+    known = splits.join(labels, F.col("custid") == F.col("c")).groupBy("split").agg((F.sum(F.col("n_rows") * F.col("y")) / F.sum("n_rows")).alias("p"), F.sum("n_rows").alias("m"))
+    both = rows.join(known, "split", "left")
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv]), F.col("split"))
+    total = rows.agg(F.sum("n").alias("total"))
+    mean = known.agg((F.sum(F.col("p") * F.col("m")) / F.sum("m")).alias("mean"))
+    parted = splits.groupBy("group_id").agg(F.countDistinct("split").alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, 1).otherwise(0)), F.lit(0)).alias("parted"))
+    off = both.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mean)).agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("split").isNull(), F.col("n"))), F.lit(0)).alias("n_without"),
+        F.max(F.abs(F.col("n") / F.col("total") - share) > 0.005).alias("shares_off"),
+        F.max(F.abs(F.col("p") - F.col("mean")) > 0.01).alias("labels_off"),
+    )
+    return off.crossJoin(F.broadcast(parted)).select("n_rows", "n_without", F.col("parted").cast("long").alias("n_parted"), "shares_off", "labels_off").where("n_rows > 0")
+
+
 def _fields(spark: SparkSession, folder: str) -> dict[str, Reference]:
     return {
         "part_nm": Reference(table(spark, folder, "part_ref"), "part_id", ("part_nm", "part_nm_en")),
@@ -86,6 +107,15 @@ def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
     return from_histogram(merge(days, ["custid"]), ["custid"], QS)
 
 
+def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """For each percentile the groups, and those whose exact value isn't between the merged form's bounds or
+    is further from its value than the stated error."""
+    exact = percentiles(table(spark, folder, "train_transactions"), "custid", "net_amt", QS).select("custid", "q", F.col("value").alias("x"))
+    both = p3_merged(spark, folder).join(exact, ["custid", "q"], "full_outer")
+    bad = ~((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")) & (F.abs(F.col("value") - F.col("x")) <= F.abs("x") / 4096))
+    return both.groupBy("q").agg(F.count("*").alias("n_groups"), F.sum(F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0)).alias("n_outside"))
+
+
 def _items() -> dict[str, Column]:
     good = F.trim("goodcd")
     return {
@@ -125,6 +155,16 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p7_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """What containers must keep: texts with tokens, all of them placed whole but for those longer than a
+    container, none over its capacity, and at most one in a hundred tokens of room unused."""
+    placed = cut(p7_packed(spark, folder).where("container >= 0"))
+    room = placed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    full = room.agg(F.sum(F.when(F.col("used") > 2048, 1).otherwise(0)).alias("n_overfull"), (F.sum("used") < 0.99 * 2048 * (F.count("*") - 1)).alias("wasteful"))
+    texts = placed.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).agg(F.count("*").alias("n_texts"), F.sum(F.when((F.col("k") > 1) & (F.col("n") <= 2048), 1).otherwise(0)).alias("n_split_short"))
+    return texts.crossJoin(F.broadcast(full)).where("n_texts > 0")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that carry a good part of a test item."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text").select("doc_id", "item_id")
@@ -139,13 +179,16 @@ QUERIES = {
     "p9_found": p9_found,
     "p8_found": p8_found,
     "p7_packed": p7_packed,
+    "p7_balance": p7_balance,
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_balance": p1_balance,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p2_reach": p2_reach,
     "p3_percentiles": p3_percentiles,
     "p3_merged": p3_merged,
+    "p3_bounds": p3_bounds,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p6_parts": p6_parts,
@@ -174,6 +217,9 @@ e AS (SELECT a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 t AS (SELECT DISTINCT custid FROM train_transactions WHERE custid IS NOT NULL)
 SELECT r.a AS custid, least(r.a, min(r.b)) AS group_custid FROM reach r JOIN t x ON x.custid = r.a JOIN t y ON y.custid = r.b WHERE r.a <> r.b GROUP BY r.a""",
+    "p1_balance": "SELECT count(*) AS n_rows, 0 AS n_without, 0 AS n_parted, false AS shares_off, false AS labels_off FROM train_transactions HAVING count(*) > 0",
+    "p3_bounds": "SELECT q, count(DISTINCT custid) AS n_groups, 0 AS n_outside FROM train_transactions, (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q) WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY q",
+    "p7_balance": "SELECT count(*) AS n_texts, 0 AS n_split_short, 0 AS n_overfull, false AS wasteful FROM documents WHERE text <> '' HAVING count(*) > 0",
     "p3_percentiles": "SELECT custid, unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q, unnest(quantile_disc(net_amt, [0.25, 0.5, 0.75, 0.9, 0.99]))::DOUBLE AS value, count(net_amt) AS n "
     "FROM train_transactions WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY custid",
     "p4_found": _PAIRS + "SELECT item_level, item_a, item_b FROM x WHERE n_ab * n_baskets >= 5 * n_a * n_b",
