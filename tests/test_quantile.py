@@ -54,3 +54,16 @@ def test_whole_columns(spark, held):
     near = spark.createDataFrame([(x,) for x in (1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), 1.0)], "v double")
     assert quantiles(near, "v", [0.5], held) == [1.0]
     assert quantiles(df.select(F.lit(None).cast("double").alias("v")), "v", [0.5], held) == [None]
+
+
+def test_bits_of_whole_numbers(spark):
+    import numpy as np
+
+    from tidemark.functions.bits import ordered_whole
+
+    rng = random.Random(8)
+    xs = [0, 1, 2, 3, 2**53 - 1, 2**53, 2**53 + 1, 2**62 + 12345, 2**63 - 1, *[2**k for k in range(63)], *[2**k - 1 for k in range(1, 63)], *[rng.randrange(2 ** rng.randrange(1, 63)) for _ in range(500)]]
+    xs += [-x for x in xs]
+    got = [r.k for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x long").select("i", ordered_whole(F.col("x")).alias("k")).orderBy("i").collect()]
+    bits = np.abs(np.array(xs, dtype=float)).view(np.int64)
+    assert got == [-int(b) if x < 0 else int(b) for x, b in zip(xs, bits, strict=True)]

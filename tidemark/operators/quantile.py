@@ -72,13 +72,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     (``running_counts``, which says what ``near`` is); the value at a rank is the least with so many rows up to it."""
     keys, out = list(keys), None
     for column in dict.fromkeys(c for c, _ in wanted.values()):
-        ranked = running_counts(df.withColumn("__v", F.col(column).cast("double")), keys, "__v", near)
+        ranked = running_counts(df.withColumn("__v", F.col(column)), keys, "__v", near)
         aggs = []
         for name, (c, q) in wanted.items():
             if c == column:
                 at = F.lit(float(q)) * (F.col("total") - 1)
-                low = F.min(F.when(F.col("upto") > F.floor(at), F.col("__v")))
-                high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("__v")))
+                low = F.min(F.when(F.col("upto") > F.floor(at), F.col("__v"))).cast("double")
+                high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("__v"))).cast("double")
                 part = F.first(at - F.floor(at))
                 aggs.append((low + (high - low) * part).alias(name))
         one = ranked.groupBy(*keys).agg(*aggs)

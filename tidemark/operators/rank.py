@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.bits import ordered
+from tidemark.functions.bits import order_bits
 
 
 def spread_rank(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, name: str = "rank", salts: int = 64) -> DataFrame:
@@ -91,7 +91,7 @@ def running_counts(rows: DataFrame, keys: list[str], value: str, near: Sequence[
     a range; rows are summed within (key, range), and the ranges' totals give where each starts. A key has
     at most 4,096 ranges for each power of two that its values reach."""
     # NaN, the greatest value, has no bits
-    piece = F.coalesce(F.shiftright(ordered(F.col(value)), 40), F.lit(1 << 40))
+    piece = F.coalesce(F.shiftright(order_bits(rows, value), 40), F.lit(1 << 40))
     by = [*keys, value, "__p"]
     own = list(dict.fromkeys([*near, *by]))
     counts = rows.where(" and ".join(f"{c} is not null" for c in (*keys, value))).withColumn("__p", piece).groupBy(*own).agg(F.count("*").alias("n"))

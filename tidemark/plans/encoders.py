@@ -16,7 +16,8 @@ from tidemark.sources.tables import table
 ENCODED = {"brand": "coalesce(brand, 'nan')", "corner": "coalesce(corner_nm, 'nan')", "part": "coalesce(part_nm, 'nan')", "pc": "coalesce(pc_nm, 'nan')", "good": "code", "buyer": "coalesce(buyer_nm, 'nan')", "store": "coalesce(str_nm, 'nan')"}
 #: Cross tokens: two categories in one, encoded as the others.
 _ZONE = "case when h <= 11 then 'a' when h <= 14 then 'b' when h <= 17 then 'c' else 'd' end"
-CROSSED = {"pc_zone": f"coalesce(pc_nm, 'nan') || '|' || {_ZONE}", "store_month": "coalesce(str_nm, 'nan') || '|' || cast(mon as string)", "corner_brand": f"{ENCODED['corner']} || '|' || {ENCODED['brand']}", "store_part": f"{ENCODED['store']} || '_' || {ENCODED['part']}"}
+_SEASON = "case when mon between 3 and 5 then 'spring' when mon between 6 and 8 then 'summer' when mon between 9 and 11 then 'fall' else 'winter' end"
+CROSSED = {"pc_zone": f"coalesce(pc_nm, 'nan') || '|' || {_ZONE}", "store_month": "coalesce(str_nm, 'nan') || '|' || cast(mon as string)", "part_zone": f"{ENCODED['part']} || '|' || {_ZONE}", "part_season": f"{ENCODED['part']} || '|' || {_SEASON}", "corner_brand": f"{ENCODED['corner']} || '|' || {ENCODED['brand']}", "store_part": f"{ENCODED['store']} || '_' || {ENCODED['part']}"}
 #: Children and parents of the hierarchical encoders.
 PAIRS = {"brand_pc": ("brand", "pc"), "good_brand": ("good", "brand"), "corner_part": ("corner", "part"), "good_pc": ("good", "pc"), "brand_part": ("brand", "part")}
 TRAIN, TEST = "train_transactions", "test_transactions"
@@ -63,6 +64,11 @@ def label_fold(spark: SparkSession, folder: str) -> DataFrame:
     return folds_of(spark, folder)
 
 
+def label_fold_10(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten folds of another seed."""
+    return entity_folds(table(spark, folder, "y_train"), "custid", "gender", 10, 7)
+
+
 def oof_te(column: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         counts, test = _counts(spark, folder, token=column)
@@ -271,6 +277,7 @@ def category_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "label_fold": label_fold,
+    "label_fold_10": label_fold_10,
     **{f"oof_te_{n}": oof_te(c) for n, c in ENCODED.items()},
     **{f"oof_te_{n}": oof_te(e) for n, e in CROSSED.items()},
     "oof_te_transition": oof_transition,
@@ -309,6 +316,8 @@ _CODE = "coalesce(good, '0000000000nan')"
 _CATEGORY = {"brand": "coalesce(brand, 'nan')", "corner": "coalesce(corner_nm, 'nan')", "part": "coalesce(part_nm, 'nan')", "pc": "coalesce(pc_nm, 'nan')", "good": _CODE, "buyer": "coalesce(buyer_nm, 'nan')", "store": "coalesce(str_nm, 'nan')"}
 _CROSS = {
     "pc_zone": "concat(coalesce(pc_nm, 'nan'), '|', CASE WHEN hour(ts) > 17 THEN 'd' WHEN hour(ts) > 14 THEN 'c' WHEN hour(ts) > 11 THEN 'b' ELSE 'a' END)",
+    "part_zone": "concat(coalesce(part_nm, 'nan'), '|', CASE WHEN hour(ts) > 17 THEN 'd' WHEN hour(ts) > 14 THEN 'c' WHEN hour(ts) > 11 THEN 'b' ELSE 'a' END)",
+    "part_season": "concat(coalesce(part_nm, 'nan'), '|', CASE (month(ts) % 12) // 3 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'fall' END)",
     "store_month": "concat(coalesce(str_nm, 'nan'), '|', month(ts))",
     "corner_brand": "concat(coalesce(corner_nm, 'nan'), '|', coalesce(brand, 'nan'))",
     "store_part": "concat(coalesce(str_nm, 'nan'), '_', coalesce(part_nm, 'nan'))",
@@ -375,6 +384,7 @@ def _score_sql(column: str) -> str:
 
 SQL = {
     "label_fold": f"WITH {FOLDS} SELECT custid, label, fold FROM e",
+    "label_fold_10": "SELECT custid, min(gender) AS label, CAST((row_number() OVER (PARTITION BY min(gender) ORDER BY md5('7-' || custid), custid) - 1) % 10 AS INTEGER) AS fold FROM y_train WHERE custid IS NOT NULL AND gender IS NOT NULL GROUP BY custid HAVING min(gender) = max(gender)",
     **{f"oof_te_{n}": _oof_sql(c) for n, c in (_CATEGORY | _CROSS).items()},
     "oof_te_transition": _oof_sql(_STEP),
     **{f"hier_te_{n}": _hier_sql(*p) for n, p in PAIRS.items()},

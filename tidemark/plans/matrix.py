@@ -7,9 +7,10 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean
+from tidemark.operators import clean, learn
 from tidemark.plans import blocks, encoders, representing
 from tidemark.plans.blocks import BLOCKS
+from tidemark.session import cut
 from tidemark.sources import predictions as store
 from tidemark.sources.sales import sales, sales_sql
 from tidemark.sources.tables import table
@@ -46,7 +47,7 @@ GENERAL = Config(
     ("base_agg", "composition_ratio", "diversity_brand", "diversity_corner", "diversity_store", "diversity_part", "diversity_zone", "amount_stats", "temporal_dynamics", "social_share", "social_dwell", "part_score", "interest_score", "buyer_variety", "recent_3", "recent_5",
      "freq_brand", "freq_good", "freq_corner", "freq_buyer", "freq_pc", "trajectory_delta", "amount_slope", "calendar_windows", "relative_price", "interarrival", "switch_rate", "dim_weighted_mean"),
     groups=("semantic_share",),
-    encodings=(*(f"oof_te_{n}" for n in ("brand", "corner", "part", "pc", "good", "buyer", "pc_zone", "corner_brand", "transition")), *(f"hier_te_{n}" for n in encoders.PAIRS)),
+    encodings=(*(f"oof_te_{n}" for n in ("brand", "corner", "part", "pc", "good", "buyer", "store", "part_zone", "part_season", "transition")), *(f"hier_te_{n}" for n in encoders.PAIRS)),
     factors=("svd_counts", "lda_topics"),
     products=(
         ("oof_te_corner_wmean", "oof_te_brand_wmean", "mul"), ("part_score_score", "interest_score_score", "mul"), ("oof_te_corner_wmean", "base_agg_net_mean", "mul"), ("temporal_dynamics_recency_days", "temporal_dynamics_lines_per_month", "mul"),
@@ -118,7 +119,16 @@ def feature_matrix_codes(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(matrix(spark, folder, CODES))
 
 
-QUERIES = {"feature_matrix": feature_matrix, "feature_matrix_codes": feature_matrix_codes}
+def matrix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees over the whole general matrix: labelled customers out of fold, those of
+    test_transactions by the mean over the folds."""
+    rows = cut(matrix(spark, folder, GENERAL))
+    columns = [c for c in rows.columns if c not in ("custid", "split")]
+    train = learn.assemble(rows.where("split = 'train'").join(encoders.folds_of(spark, folder), "custid"), columns, ["custid", "label", "fold"])
+    return learn.oof_predict(lambda: learn.learner("gbt", maxIter=5, maxDepth=3), train, cut(learn.assemble(rows.where("split = 'test'"), columns, ["custid"])))
+
+
+QUERIES = {"feature_matrix": feature_matrix, "feature_matrix_codes": feature_matrix_codes, "matrix_trees": matrix_trees}
 
 
 def _sql(config: Config) -> str:

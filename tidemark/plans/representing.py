@@ -351,6 +351,7 @@ _TWO = f"{_S}, {sales_sql('test_transactions', 'st')}, {', '.join(_W.values())}"
 _BITS = "length(ltrim(bin({0}::BIGINT), '0'))"
 _CHANNELS = {**{c: f"coalesce(w_{c}.no, 0)" for c in _W}, "amount": f"CASE WHEN net_amt < 0 THEN -{_BITS.format('-net_amt')} WHEN net_amt > 0 THEN {_BITS.format('net_amt')} ELSE 0 END", "hour": "h + 1", "gap": f"CASE WHEN gap IS NULL THEN 0 ELSE {_BITS.format('gap + 1')} END"}
 SQL = {
+    "informative_columns": f"WITH b AS ({BLOCKS['semantic_share'].sql()}) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name FROM b HAVING var_samp({c}) >= 1e-6 AND avg(CASE WHEN {c} <> 0 THEN 1.0 ELSE 0 END) >= 0.003::DOUBLE" for c in BLOCKS["semantic_share"].steps[-1][1] if c != "custid"),
     "token_map": f"{_TWO} " + " UNION ALL ".join(f"SELECT '{c}' AS level, w AS name, no FROM w_{c}" for c in _W),
     "sequence_channels": f"""{_TWO}, x AS (SELECT *, row_number() OVER (PARTITION BY custid ORDER BY ts DESC, line_id DESC) AS k, date_diff('day', lag(d) OVER (PARTITION BY custid ORDER BY ts, line_id), d) AS gap FROM (SELECT * FROM s UNION ALL SELECT * FROM st)),
 y AS (SELECT custid, k, {", ".join(f"({e})::INTEGER AS c_{n}" for n, e in _CHANNELS.items())} FROM x {" ".join(f"LEFT JOIN w_{c} ON w_{c}.w = x.{c}" for c in _W)} WHERE k <= 60)
