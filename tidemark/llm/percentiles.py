@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.bits import ordered, value_of
+from tidemark.functions.bits import WHOLE, order_bits, ordered, value_of
 from tidemark.session import cut, if_small
 
 #: The bits below the digits read so far, level by level: 16 bits are read at each.
 SHIFTS = (48, 32, 16, 0)
 
-#: Types that are whole numbers already.
-WHOLE = ("tinyint", "smallint", "int", "bigint")
-
 #: Up to so many followed digits, of about 200 bytes each, are broadcast; beyond, the digits are shuffled.
 FOLLOWED = 20_000
 
@@ -25,7 +22,9 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, shift: int = 40) -
     """The form that can be merged: for each combination of ``keys`` and bin, ``n`` values between ``lo``
     and ``hi``. A bin holds the values that share all but the last ``shift`` bits, so with 40 their
     relative difference is below 2**-12. Null and NaN values are left out."""
-    rows = df.select(*keys, ordered(F.col(value)).alias("k")).where("k is not null")
+    x = F.col(value)
+    # the filter reads the column itself, for it would else make the bits a second time
+    rows = df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).select(*keys, order_bits(df, value).alias("k"))
     return rows.groupBy(*keys, F.shiftright("k", shift).alias("bin")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
 
 
@@ -81,7 +80,7 @@ def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], leve
         levels = [x for x in levels if x < bits] or [0]
         back: Callable[[Column], Column] = lambda k: k.cast("double")
     else:
-        rows, back = plain.withColumn("k", ordered(F.col("k"))).where("k is not null"), value_of
+        rows, back = plain.where(~F.isnan(F.col("k").cast("double"))).withColumn("k", ordered(F.col("k"))), value_of
 
     def counted(shift: int, keys: list[Column]) -> DataFrame:
         return rows.groupBy("g", *keys, F.shiftright("k", shift).alias("bin")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
