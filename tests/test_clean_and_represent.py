@@ -113,3 +113,13 @@ def test_communities_that_swing_settle(spark):
     e = spark.createDataFrame([("a", "b", 1), ("c", "d", 1)], "u string, v string, w int")
     got = {r.node: r.community for r in represent.label_propagation(e, "u", "v", "w").collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_ppmi_vectors_by_either_way(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(int(e), f"t{j:02d}") for e in range(80) for j in range(30) if rng.random() < (0.5 if j % 3 == e % 3 else 0.1)]
+    df = spark.createDataFrame(rows, "custid long, tok string")
+    a, b = ({r.word: np.array(r.vector) for r in represent.ppmi_vectors(df, "custid", "tok", 2, 1, held=h).collect()} for h in (4000, 3))
+    assert a.keys() == b.keys() and max(np.abs(a[w] - b[w]).max() for w in a) < 0.05

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,29 +71,10 @@ def sparse_rows(counts: DataFrame, entity: str, token: str, words: DataFrame, va
     return pairs.select(entity, vector("x").alias("features"))
 
 
-def _leading(cells: DataFrame, size: int, k: int, held: int, seed: int = 42, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` leading eigenvalues (by size) and eigenvectors of a symmetric matrix given by its cells (a,
-    b, g), both triangles. Up to ``held`` rows it is decomposed on the driver; beyond, by subspace
-    iteration: only a basis of k + 10 columns is held and sent, and each product is a join and a sum."""
-    if size <= held:
-        m = np.zeros((size, size))
-        part = cells.toArrow()
-        m[part["a"].to_numpy(), part["b"].to_numpy()] = part["g"].to_numpy()
-        values, vectors = np.linalg.eigh(m)
-        lead = np.argsort(-np.abs(values), kind="stable")[:k]
-        return values[lead], vectors[:, lead]
-    spark, cells = cells.sparkSession, cut(cells)
+def _leading(times: Callable[[np.ndarray], np.ndarray], size: int, k: int, seed: int = 42, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` leading eigenvalues (by size) and eigenvectors of a symmetric matrix of which only the
+    product with a thin basis is known, by subspace iteration with k + 10 columns."""
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + 10))))[0]
-
-    def times(q: np.ndarray) -> np.ndarray:
-        side = spark.createDataFrame(pa.table({"b": pa.array(range(size), pa.int64()), "q": pa.array(list(q))}))
-        rows = cells.join(F.broadcast(side), "b").select("a", array_to_vector(F.transform("q", lambda x: x * F.col("g"))).alias("x"))
-        part = rows.groupBy("a").agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("y")).toArrow()
-        out = np.zeros_like(q)
-        if part.num_rows:
-            out[part["a"].to_numpy()] = np.array(part["y"].to_pylist())
-        return out
-
     for _ in range(rounds):
         basis = np.linalg.qr(times(basis))[0]
     small = basis.T @ times(basis)
@@ -102,46 +83,88 @@ def _leading(cells: DataFrame, size: int, k: int, held: int, seed: int = 42, rou
     return values[lead], (basis @ inner)[:, lead]
 
 
-def _outer(size: int, most: int = 2_000_000):
-    """Sums the outer products of rows (numbers i, values v) and hands them on as (a, b, g)."""
+def _whole(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(m)
+    lead = np.argsort(-np.abs(values), kind="stable")[:k]
+    return values[lead], vectors[:, lead]
+
+
+def _summed(rows: DataFrame, basis: np.ndarray, parts: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A product with ``basis``, which is sent to all tasks: ``parts`` gives (row numbers, vectors) of a batch;
+    they are summed by row in the batch, and once more over the batches."""
+    sent = rows.sparkSession.sparkContext.broadcast(basis)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, sums, n = [], [], 0
+        for pdf in batches:
+            at, y = parts(pdf, sent.value)
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                at, y = at[order], y[order]
+                first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
+                yield pd.DataFrame({"a": at[first], "y": list(np.add.reduceat(y, first))})
+
+    got = rows.mapInPandas(run, "a long, y array<double>").groupBy("a").agg(vector_to_array(Summarizer.sum(array_to_vector("y"))).alias("y")).toArrow()
+    out = np.zeros_like(basis)
+    if got.num_rows:
+        out[got["a"].to_numpy()] = np.array(got["y"].to_pylist())
+    sent.destroy()
+    return out
+
 
-        def given() -> pd.DataFrame:
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return pd.DataFrame({"a": key // size, "b": key % size, "g": np.bincount(at, weights=np.concatenate(sums), minlength=len(key))})
+def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (numbers i, values v) of a batch as flat arrays, with each entry's row."""
+    n = pdf["i"].map(len).to_numpy()
+    return np.concatenate(pdf["i"].tolist()).astype(np.int64), np.concatenate(pdf["v"].tolist()).astype(float), np.repeat(np.arange(len(n)), n)
 
+
+def _gram_times(pdf: pd.DataFrame, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X'(XQ) over a batch of rows."""
+    i, v, row = _flat(pdf)
+    xq = np.add.reduceat(v[:, None] * basis[i], np.searchsorted(row, np.arange(row[-1] + 1)))
+    return i, v[:, None] * xq[row]
+
+
+def _cell_times(pdf: pd.DataFrame, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A symmetric matrix's cells, by those above the diagonal, times Q."""
+    a, b, g = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64), pdf["g"].to_numpy(float)
+    return np.concatenate([a, b]), np.concatenate([g[:, None] * basis[b], g[:, None] * basis[a]])
+
+
+def _outer(size: int):
+    """Sums the outer products of a batch's rows and hands them on as (a, b, g)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, some = np.zeros((size, size)), False
         for pdf in batches:
             for i, v in zip(pdf["i"], pdf["v"], strict=True):
-                i, v = np.asarray(i, dtype=np.int64), np.asarray(v)
-                step = max(1, most // len(i))  # a long row in slices
-                for at in range(0, len(i), step):
-                    keys.append((i[at : at + step, None] * size + i[None, :]).ravel())
-                    sums.append(np.outer(v[at : at + step], v).ravel())
-                    n += len(keys[-1])
-                    if n > most:
-                        yield given()
-                        keys, sums, n = [], [], 0
-        if keys:
-            yield given()
+                m[np.ix_(i, i)] += np.outer(v, v)
+                some = True
+        if some:
+            a, b = np.nonzero(m)
+            yield pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "g": m[a, b]})
 
     return run
 
 
 def count_svd(counts: DataFrame, entity: str, token: str, k: int, least: int = 1, value: str = "n", held: int = 4000) -> DataFrame:
     """``entity, factors``: the first ``k`` left singular vectors times their values of the entity-by-token
-    matrix. X'X is summed from outer products of the rows; its eigenvectors (``_leading``, which says what
-    ``held`` is) make X V by a join and a sum, for any number of tokens."""
+    matrix X. Its right vectors come from X'X, summed from outer products of the rows, up to ``held`` tokens;
+    beyond, X'X is never made: subspace iteration (``_leading``) multiplies rows and a thin basis, of which
+    the driver and every task hold k + 10 numbers a token. X V is a join and a sum."""
     words = dictionary(counts, token, least)
     size = words.count()
     rows = counts.join(if_small(words.select(F.col("token").alias(token), "no")), token).select(entity, "no", F.col(value).cast("double").alias("v"))
-    lists = rows.groupBy(entity).agg(F.collect_list("no").alias("i"), F.collect_list("v").alias("v"))
-    cells = lists.select("i", "v").mapInPandas(_outer(max(1, size)), "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
-    _, basis = _leading(cells, size, min(k, max(1, size - 1)), held)
+    lists = cut(rows.groupBy(entity).agg(F.collect_list("no").alias("i"), F.collect_list("v").alias("v")).select("i", "v"))
+    k = min(k, max(1, size - 1))
+    if size <= held:
+        m, part = np.zeros((size, size)), lists.mapInPandas(_outer(size), "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g")).toArrow()
+        m[part["a"].to_numpy(), part["b"].to_numpy()] = part["g"].to_numpy()
+        _, basis = _whole(m, k)
+    else:
+        _, basis = _leading(lambda q: _summed(lists, q, _gram_times), size, k)
     basis = basis * _signs(basis)
-    side = rows.sparkSession.createDataFrame([(i, [float(x) for x in basis[i]]) for i in range(size)], "no long, basis array<double>")
-    parts = rows.join(F.broadcast(side), "no").select(entity, array_to_vector(F.transform("basis", lambda b: b * F.col("v"))).alias("x"))
+    side = rows.sparkSession.createDataFrame(pa.table({"no": pa.array(range(size), pa.int64()), "basis": pa.array(list(basis), pa.list_(pa.float64()))}))
+    parts = rows.join(if_small(side), "no").select(entity, array_to_vector(F.transform("basis", lambda b: b * F.col("v"))).alias("x"))
     return parts.groupBy(entity).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("factors"))
 
 
@@ -244,18 +267,24 @@ def tfidf(counts: DataFrame, entity: str, token: str, least_df: int = 1, subline
 
 
 def ppmi_vectors(rows: DataFrame, entity: str, token: str, k: int = 24, least: int = 10, held: int = 4000) -> DataFrame:
-    """``word, vector``: leading eigenvectors of the tokens' PPMI matrix times the root of their values, for
-    any number of tokens (``_leading``)."""
+    """``word, vector``: leading eigenvectors of the tokens' PPMI matrix times the root of their values; up to
+    ``held`` tokens from the whole matrix, beyond by subspace iteration over its cells."""
     words = dictionary(rows, token, least)
     size = words.count()
     one = lambda c: if_small(words.select(F.col("token").alias(f"token_{c}"), F.col("no").alias(c)))
-    half = cut(ppmi(rows, entity, token, least).join(one("a"), "token_a").join(one("b"), "token_b").select("a", "b", F.col("ppmi").alias("g")))
-    cells = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "g"))
-    values, vectors = _leading(cells, size, min(k, max(1, size - 1)), held)
+    cells = cut(ppmi(rows, entity, token, least).join(one("a"), "token_a").join(one("b"), "token_b").select("a", "b", F.col("ppmi").alias("g")))
+    k = min(k, max(1, size - 1))
+    if size <= held:
+        m, part = np.zeros((size, size)), cells.toArrow()
+        a, b = part["a"].to_numpy(), part["b"].to_numpy()
+        m[a, b] = m[b, a] = part["g"].to_numpy()
+        values, vectors = _whole(m, k)
+    else:
+        values, vectors = _leading(lambda q: _summed(cells, q, _cell_times), size, k)
     x = vectors * np.sqrt(np.abs(values))
     x = x * _signs(x)
-    side = rows.sparkSession.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(size)], "no long, vector array<double>")
-    return words.join(F.broadcast(side), "no").select(F.col("token").alias("word"), "vector")
+    side = rows.sparkSession.createDataFrame(pa.table({"no": pa.array(range(size), pa.int64()), "vector": pa.array(list(x), pa.list_(pa.float64()))}))
+    return words.join(if_small(side), "no").select(F.col("token").alias("word"), "vector")
 
 
 def weight_svd(weights: DataFrame, entity: str, token: str, k: int, least: int = 1) -> DataFrame:

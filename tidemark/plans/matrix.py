@@ -106,7 +106,9 @@ def matrix(spark: SparkSession, folder: str, config: Config) -> DataFrame:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("custid", "split", *[F.round(F.col(c) + 1e-10, 4).alias(c) for c in df.columns if c not in ("custid", "split")])
+    """To four significant digits: among this many numbers some sums, added up in another order, differ in
+    any last digit that is shown. The factor takes exact halves up in every engine."""
+    return df.select("custid", "split", *[F.format_string("%.3e", F.col(c) * (1 + 1e-9)).cast("double").alias(c) for c in df.columns if c not in ("custid", "split")])
 
 
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +152,7 @@ def _sql(config: Config) -> str:
     value = {n: f"ln(1 + greatest(least({n}, hi_{n}), lo_{n}, 0))" if n in logged else n for n in names}
     for a, b, op in config.products:
         value[f"{a}_{op}_{b}"] = f"{a} * {b}" if op == "mul" else f"{a} / (abs({b}) + 1e-5)"
-    out = ", ".join(f"round({e} + 1e-10, 4) AS {n}" for n, e in value.items())
+    out = ", ".join(f"printf('%.3e', ({e}) * (1 + 1e-9::DOUBLE))::DOUBLE AS {n}" for n, e in value.items())
     return f"WITH {', '.join(parts)}, {spine}, {wide}{edges} SELECT custid, split, {out} FROM wide{', q' if logged else ''}"
 
 

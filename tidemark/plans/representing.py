@@ -49,10 +49,13 @@ def catalog_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Brands with lines, customers, the lowest most frequent part, and the running share of lines."""
     rows = sales(spark, folder).where("brand is not null")
     per = rows.groupBy("brand").agg(F.count("*").alias("n_lines"), F.countDistinct("custid").alias("n_customers"), F.mode("part_nm", deterministic=True).alias("part_nm"))
-    # one row a brand
-    w = W.orderBy(F.desc("n_lines"), "brand").rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = per.agg(F.sum("n_lines").alias("t"))
-    return per.crossJoin(F.broadcast(total)).withColumn("covered", F.sum("n_lines").over(w) / F.col("t")).select("brand", "n_lines", "n_customers", "part_nm", _r("covered"))
+    per = cut(per)
+    # brands with equally many lines share a level; different numbers of lines are few, whatever the brands
+    levels = per.groupBy(F.col("n_lines").alias("level")).agg(F.sum("n_lines").alias("s"))
+    levels = levels.select("level", (F.sum("s").over(W.orderBy(F.desc("level"))) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy()).alias("t"))
+    rows = per.join(if_small(cut(levels)), F.col("n_lines") == F.col("level"))
+    place = F.row_number().over(W.partitionBy("n_lines").orderBy("brand"))
+    return rows.withColumn("covered", (F.col("before") + F.col("n_lines") * place) / F.col("t")).select("brand", "n_lines", "n_customers", "part_nm", _r("covered"))
 
 
 def copurchase_pairs(spark: SparkSession, folder: str) -> DataFrame:
