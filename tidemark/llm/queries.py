@@ -108,12 +108,12 @@ def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """For each percentile the groups, and those whose exact value isn't between the merged form's bounds or
-    is further from its value than the stated error."""
+    """For each custid how many of its exact percentiles lie between the merged form's bounds and no further
+    from its value than the stated error, and how many don't."""
     exact = percentiles(table(spark, folder, "train_transactions"), "custid", "net_amt", QS).select("custid", "q", F.col("value").alias("x"))
     both = p3_merged(spark, folder).join(exact, ["custid", "q"], "full_outer")
-    bad = ~((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")) & (F.abs(F.col("value") - F.col("x")) <= F.abs("x") / 4096))
-    return both.groupBy("q").agg(F.count("*").alias("n_groups"), F.sum(F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0)).alias("n_outside"))
+    good = F.coalesce((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")) & (F.abs(F.col("value") - F.col("x")) <= F.abs("x") / 4096), F.lit(False)).cast("int")
+    return both.groupBy("custid").agg(F.sum(good).alias("n_inside"), F.sum(1 - good).alias("n_outside"))
 
 
 def _items() -> dict[str, Column]:
@@ -156,13 +156,12 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """What containers must keep: texts with tokens, all of them placed whole but for those longer than a
-    container, none over its capacity, and at most one in a hundred tokens of room unused."""
+    """For each text with tokens whether it is kept whole unless it is longer than a container, and whether
+    the containers that it stands in are within their capacity."""
     placed = cut(p7_packed(spark, folder).where("container >= 0"))
     room = placed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
-    full = room.agg(F.sum(F.when(F.col("used") > 2048, 1).otherwise(0)).alias("n_overfull"), (F.sum("used") < 0.99 * 2048 * (F.count("*") - 1)).alias("wasteful"))
-    texts = placed.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).agg(F.count("*").alias("n_texts"), F.sum(F.when((F.col("k") > 1) & (F.col("n") <= 2048), 1).otherwise(0)).alias("n_split_short"))
-    return texts.crossJoin(F.broadcast(full)).where("n_texts > 0")
+    texts = placed.join(room, "container").groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max("used").alias("most"))
+    return texts.select("doc_id", ((F.col("k") == 1) | (F.col("n") > 2048)).alias("kept_whole"), (F.col("most") <= 2048).alias("in_capacity"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,8 +217,8 @@ reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON
 t AS (SELECT DISTINCT custid FROM train_transactions WHERE custid IS NOT NULL)
 SELECT r.a AS custid, least(r.a, min(r.b)) AS group_custid FROM reach r JOIN t x ON x.custid = r.a JOIN t y ON y.custid = r.b WHERE r.a <> r.b GROUP BY r.a""",
     "p1_balance": "SELECT count(*) AS n_rows, 0 AS n_without, 0 AS n_parted, false AS shares_off, false AS labels_off FROM train_transactions HAVING count(*) > 0",
-    "p3_bounds": "SELECT q, count(DISTINCT custid) AS n_groups, 0 AS n_outside FROM train_transactions, (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q) WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY q",
-    "p7_balance": "SELECT count(*) AS n_texts, 0 AS n_split_short, 0 AS n_overfull, false AS wasteful FROM documents WHERE text <> '' HAVING count(*) > 0",
+    "p3_bounds": "SELECT custid, 5 AS n_inside, 0 AS n_outside FROM train_transactions WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY custid",
+    "p7_balance": "SELECT doc_id, true AS kept_whole, true AS in_capacity FROM documents WHERE text <> ''",
     "p3_percentiles": "SELECT custid, unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q, unnest(quantile_disc(net_amt, [0.25, 0.5, 0.75, 0.9, 0.99]))::DOUBLE AS value, count(net_amt) AS n "
     "FROM train_transactions WHERE custid IS NOT NULL AND net_amt IS NOT NULL GROUP BY custid",
     "p4_found": _PAIRS + "SELECT item_level, item_a, item_b FROM x WHERE n_ab * n_baskets >= 5 * n_a * n_b",
