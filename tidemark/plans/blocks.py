@@ -491,5 +491,5 @@ BLOCKS["clip_replace"] = LINES.cols(store="case when str_nm in ('온라인몰')
 ).out(online_share="online", unknown_share="unknown", clipped_mean="m", clipped_ratio="z")
 
 QUERIES = {name: block.spark for name, block in BLOCKS.items()}
-#: Blocks with an oracle written from their definition have that one.
+#: Every block has an oracle written from its definition; a new one without has that of its steps.
 SQL = {name: block.sql() for name, block in BLOCKS.items()} | oracles.SQL

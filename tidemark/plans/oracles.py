@@ -128,3 +128,104 @@ SELECT custid, {r("c / (n3 + 1e-5)", "leaf_per_group")}, {r("n9 / (n4 + 1e-5)",
     "sibling_days": f"""WITH {BOTH}, x AS (SELECT custid, day, count(DISTINCT left({CODE}, 2)) < count(DISTINCT left({CODE}, 4)) AS more FROM l GROUP BY custid, day) SELECT custid, {r("count(*) FILTER (more) / count(*)", "sibling_share")} FROM x GROUP BY custid""",
     "group_switch": f"""WITH {BOTH}, x AS (SELECT custid, left({CODE}, 3) AS g, {_LAST.format(f"left({CODE}, 3)")} AS p FROM l) SELECT custid, {r("count(*) FILTER (g <> p) / count(*)", "switch_share")} FROM x GROUP BY custid""",
 }
+
+_TEXT = "coalesce(part_nm, '') || ' ' || coalesce(pc_nm, '') || ' ' || coalesce(corner_nm, '')"
+# The words of the groups, segments and interests, as the blocks have them.
+_GROUPS = {
+    "cosmetic": ["화장품", "향수", "코스메", "뷰티"],
+    "women_young": ["영캐", "여성캐", "미씨", "어덜트캐", "캐릭터캐", "란제리", "영플라자", "영라이브", "영어덜트", "패션잡화", "악세", "액세", "머플러", "스카프", "영트랜디", "진캐주얼", "진케주얼"],
+    "men": ["남성정장", "남성의류", "신사", "정장"],
+    "sport_golf": ["골프", "스포츠"],
+    "kids": ["아동", "유아", "키즈", "완구", "문구", "레고", "문화용품"],
+    "food": ["식품", "농산", "생식", "청과", "수산", "축산", "델리"],
+    "living": ["가정용품", "공산품", "침구", "수예", "주방", "생활", "가전"],
+}
+_SEGMENTS = {
+    "food": ["식품", "농산", "생식", "청과", "수산", "축산"], "kids": ["아동", "유아", "키즈", "완구", "문구"], "living": ["가정용품", "공산품", "주방", "생활", "침구"],
+    "men": ["남성", "신사"], "women": ["여성", "숙녀"], "cos": ["화장품", "향수"], "golf": ["골프", "스포츠"],
+}
+_INTERESTS = ["남성", "여성", "아동", "학생", "골프", "스포츠", "영", "마담", "캐주얼", "정장", "화장품"]
+_GIFT = ["화장품", "향수", "주얼리", "보석", "시계", "핸드백", "잡화", "상품권"]
+_WINDOWS = {"valentine": "strftime(ts, '%m%d') BETWEEN '0201' AND '0214'", "whiteday": "strftime(ts, '%m%d') BETWEEN '0301' AND '0314'", "xmas": "strftime(ts, '%m%d') BETWEEN '1215' AND '1225'", "mayfamily": "strftime(ts, '%m%d') BETWEEN '0501' AND '0515'", "newyear": "strftime(ts, '%m%d') BETWEEN '0101' AND '0110'"}
+
+
+def _holds(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _part(amount: str, cond: str, plus: str = "1") -> str:
+    """The share of an amount in the rows of a condition."""
+    return f"coalesce(sum({amount}) FILTER ({cond}), 0) / (sum({amount}) + {plus})"
+
+
+def _select(lines: str, **columns: str) -> str:
+    return f"WITH {lines} SELECT custid, {', '.join(r(e, n) for n, e in columns.items())} FROM l GROUP BY custid"
+
+
+_SHARE = "count(*) FILTER ({0}) / count(*)".format
+_MONTH_SEASON = "(month(ts) % 12) // 3"
+_DAYS = "date_diff('day', {0}, {1})".format
+_MEN, _WOMEN = "'가정용품', '공산품', '생식품', '케주얼,구두,아동', '남성정장', '남성캐주얼'", "'여성캐주얼', '영캐릭터', '영플라자', '패션잡화', '여성정장'"
+_DISCOUNT = "CASE WHEN tot_amt > 0 THEN 100.0::DOUBLE * dis_amt / tot_amt ELSE 0 END"
+_PLACE = "row_number() OVER (PARTITION BY custid ORDER BY ts, line_id) - 1"
+_ALL = "count(*) OVER (PARTITION BY custid)"
+_RANKED = "(rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2) / count({1}) OVER (PARTITION BY {0})".format
+_BASKET = "custid, day, hour(ts), minute(ts)"
+
+SQL |= {
+    "composition_ratio": _select(TRAIN, **{f"season_{n}": _SHARE(f"{_MONTH_SEASON} = {k}") for k, n in enumerate(("winter", "spring", "summer", "fall"))}, **{f"zone_{n}": _SHARE(c) for n, c in {"morning": "hour(ts) < 12", "lunch": "hour(ts) BETWEEN 12 AND 14", "afternoon": "hour(ts) BETWEEN 15 AND 17", "evening": "hour(ts) > 17"}.items()}),
+    "semantic_share": _select(TRAIN, **{f"{g}_{x}": e for g, ws in _GROUPS.items() for x, e in (("n", _SHARE(_holds(f"({_TEXT})", ws))), ("amt", _part(PAID, _holds(f"({_TEXT})", ws))))}),
+    "temporal_dynamics": f"""WITH {TRAIN}, x AS (SELECT *, epoch_us(ts)::DOUBLE AS u, min(epoch_us(ts)) OVER w AS a, max(epoch_us(ts)) OVER w AS b FROM l WINDOW w AS (PARTITION BY custid))
+SELECT custid, {r(_DAYS("max(day)", "(SELECT max(day) FROM l)"), "recency_days")}, {r(_DAYS("min(day)", "max(day)"), "tenure_days")}, {r("count(DISTINCT strftime(ts, '%Y%m'))", "active_months")}, {r("count(*) / count(DISTINCT strftime(ts, '%Y%m'))", "lines_per_month")},
+{r(_part(PAID, "a = b OR (u - a) / (b - a) >= 0.5::DOUBLE"), "late_share")} FROM x GROUP BY custid""",
+    "part_score": f"""WITH {TRAIN}, x AS (SELECT custid, count(*) FILTER ({PART} IN ({_MEN})) AS m, count(*) FILTER ({PART} IN ({_WOMEN})) AS f FROM l GROUP BY custid)
+SELECT custid, {r("m", "men_parts")}, {r("f", "women_parts")}, {r("m / (m + f + 1e-5)", "men_share")}, {r("f / (m + f + 1e-5)", "women_share")}, {r("(m - f) / (m + f + 1e-5)", "score")} FROM x""",
+    "buyer_variety": f"WITH {TRAIN}, x AS (SELECT custid, buyer_nm, count(*) AS c FROM l WHERE buyer_nm IS NOT NULL GROUP BY ALL) SELECT custid, {r('count(*)', 'n_buyers')}, {r('max(c) / sum(c)', 'top_buyer_share')} FROM x GROUP BY custid",
+    "trajectory_delta": f"""WITH {TRAIN}, x AS (SELECT *, {_LATE} AS late, ({_TEXT}) AS t FROM l) SELECT custid, {", ".join(r(
+        f"coalesce(sum({PAID}) FILTER (late AND {_holds('t', ws)}), 0) / (coalesce(sum({PAID}) FILTER (late), 0) + 1) - coalesce(sum({PAID}) FILTER (NOT late AND {_holds('t', ws)}), 0) / (coalesce(sum({PAID}) FILTER (NOT late), 0) + 1)", f"{g}_delta") for g, ws in _GROUPS.items())} FROM x GROUP BY custid""",
+    "amount_slope": f"WITH {TRAIN}, x AS (SELECT custid, net_amt::DOUBLE AS y, ({_PLACE})::DOUBLE AS x FROM l), y AS (SELECT custid, count(y) AS n, regr_slope(y, x) AS s FROM x GROUP BY custid) SELECT custid, {r('coalesce(CASE WHEN n > 1 THEN s END, 0)', 'slope')} FROM y WHERE n > 0",
+    "calendar_windows": f"""WITH {TRAIN}, x AS (SELECT *, {_holds(f"({_TEXT})", _GIFT)} AS gift, {" OR ".join(f"({c})" for c in _WINDOWS.values())} AS inside FROM l)
+SELECT custid, {", ".join(r(_part(PAID, c), f"{n}_share") for n, c in _WINDOWS.items())}, {r(_part(PAID, "inside"), "any_share")}, {r(_part(PAID, "inside AND gift"), "gift_in_share")}, {r(_part(PAID, "gift"), "gift_share")} FROM x GROUP BY custid""",
+    "relative_price": f"""WITH {TRAIN}, x AS (SELECT *, nullif(upper(trim(brd_nm)), '') AS b FROM l), y AS (SELECT custid, CASE WHEN b IS NOT NULL AND net_amt IS NOT NULL THEN {_RANKED("b", "net_amt")} END AS rb, CASE WHEN pc_nm IS NOT NULL AND net_amt IS NOT NULL THEN {_RANKED("pc_nm", "net_amt")} END AS rp FROM x)
+SELECT custid, {r("coalesce(avg(rb), 0.5)", "brand_mean")}, {r("coalesce(max(rb), 0.5)", "brand_max")}, {r("coalesce(stddev(rb), 0.5)", "brand_std")}, {r("coalesce(avg(rp), 0.5)", "pc_mean")}, {r("coalesce(max(rp), 0.5)", "pc_max")} FROM y GROUP BY custid""",
+    "visit_multiagg": f"""WITH {TRAIN}, x AS (SELECT custid, day, count(DISTINCT nullif({CODE}, '0000000000nan')) AS g, count(DISTINCT corner_nm) AS c, sum(net_amt) AS s FROM l GROUP BY custid, day)
+SELECT custid, {r("count(*)", "n_visits")}, {r("avg(g)", "goods_mean")}, {r("max(g)", "goods_max")}, {r("stddev(g)", "goods_std")}, {r("avg(s)", "spend_mean")}, {r("max(s)", "spend_max")}, {r("stddev(s)", "spend_std")}, {r(_SHARE("c > 2"), "multi_corner_share")}, {r(_SHARE("g > 4"), "big_basket_share")}, {r("sum(g) / count(*)", "goods_per_visit")} FROM x GROUP BY custid""",
+    "quantile_gap_daily": f"""WITH {TRAIN}, x AS (SELECT custid, day, count(DISTINCT nullif(upper(trim(brd_nm)), '')) AS brand, count(DISTINCT corner_nm) AS corner, count(*) AS n, sum(tot_amt) AS tot FROM l GROUP BY custid, day),
+y AS (SELECT *, {_DAYS("lag(day) OVER (PARTITION BY custid ORDER BY day)", "day")} AS gap FROM x)
+SELECT custid, {r("avg(gap)", "gap_mean")}, {r("quantile_cont(gap, 0.5)", "gap_median")}, {r("stddev(gap)", "gap_std")}, {r("max(gap)", "gap_max")}, {r(_SHARE("gap < 8"), "revisit7")}, {r(_SHARE("gap > 29"), "gap30")}, {", ".join(r(f"{f}({c})", f"daily_{c}_{n}") for c in ("brand", "corner", "n", "tot") for n, f in (("mean", "avg"), ("std", "stddev"), ("max", "max")))} FROM y GROUP BY custid""",
+    "behavior": f"""WITH {TRAIN} SELECT custid, {r(f"count(*) FILTER (({NET}) < 0)", "refund_count")}, {r(_SHARE(f"({NET}) < 0"), "refund_share")}, {r(_SHARE("inst_mon >= 1"), "instalment_share")}, {r("max(inst_mon)", "inst_max")}, {r("count(DISTINCT nullif(upper(trim(brd_nm)), ''))", "n_brands")},
+{r("count(DISTINCT corner_nm)", "n_corners")}, {r("count(DISTINCT part_nm)", "n_parts")}, {r("sum(tot_amt) / count(tot_amt)", "ticket_size")}, {r("count(*) FILTER (tot_amt > 300000)", "high_count")} FROM l GROUP BY custid""",
+    "style": f"""WITH {TRAIN}, x AS (SELECT custid, coalesce(corner_nm, '') AS c, dis_amt / (tot_amt + 1e-5) AS d FROM l) SELECT custid, {r(_SHARE(_holds("c", ["수입", "명품", "부띠끄", "부틱", "디자이너"])), "luxury_share")},
+{r(_SHARE(_holds("c", ["행사", "균일가", "대전", "기획", "특가", "이월"])), "bargain_share")}, {r("coalesce(stddev(d), 0)", "discount_std")}, {r("coalesce(avg(d), 0)", "discount_mean")} FROM x GROUP BY custid""",
+    "base_gross": f"""WITH {BOTH}, n AS (SELECT max(day) AS now FROM l) SELECT custid, {r("sum(tot_amt)", "tot_sum")}, {r("avg(tot_amt)", "tot_mean")}, {r("max(tot_amt)", "tot_max")}, {r("min(tot_amt)", "tot_min")}, {r("stddev(tot_amt)", "tot_std")}, {r("sum(dis_amt)", "dis_sum")}, {r("avg(dis_amt)", "dis_mean")},
+{r("avg(inst_mon)", "inst_mean")}, {r("max(inst_mon)", "inst_max")}, {r("count(*)", "freq")}, {r("avg(hour(ts))", "hour_mean")}, {r("stddev(hour(ts))", "hour_std")}, {r("sum(tot_amt) / count(*)", "ticket")}, {r("sum(dis_amt) / (sum(tot_amt) + 1e-5)", "disc_rate_sum")}, {r(f"avg({_DISCOUNT})", "disc_rate_mean")},
+{r(_DAYS("max(day)", "any_value(now)"), "recency")}, {r(_SHARE("isodow(ts) IN (6, 7)"), "weekend_share")} FROM l, n GROUP BY custid""",
+    "discount_peak": f"""WITH {TRAIN}, x AS (SELECT *, {_DISCOUNT} AS p FROM l) SELECT custid, {r("avg(p)", "disc_mean")}, {r("max(p)", "disc_max")}, {r("count(*) FILTER (p >= 10)", "high_count")}, {r(_SHARE("p >= 10"), "high_share")}, {r(_SHARE("dis_amt > 0"), "disc_share")},
+{r("count(*) FILTER (hour(ts) IN (11, 12, 13))", "lunch_count")}, {r(_SHARE("hour(ts) IN (11, 12, 13)"), "lunch_share")}, {r("count(*) FILTER (hour(ts) IN (17, 18, 19))", "evening_count")}, {r(_SHARE("hour(ts) IN (17, 18, 19)"), "evening_share")}, {r("stddev(hour(ts))", "hour_std")} FROM x GROUP BY custid""",
+    "interest_share": f"WITH {TRAIN}, x AS (SELECT *, coalesce(brd_nm, '') || ' ' || coalesce(corner_nm, '') || ' ' || coalesce(part_nm, '') AS t FROM l) SELECT custid, {', '.join(r(_part('tot_amt', _holds('t', [w]), '1e-5'), f'interest_{k}') for k, w in enumerate(_INTERESTS))} FROM x GROUP BY custid",
+    "household_share": f"""WITH {TRAIN}, x AS (SELECT custid, {", ".join(f"{_part(GROSS, _holds(f'({_TEXT})', ws))} AS {n}" for n, ws in _SEGMENTS.items())} FROM l GROUP BY custid)
+SELECT custid, {", ".join(r(n, n) for n in _SEGMENTS)}, {r("food + kids + living", "homemaker")}, {r("men * food + men * kids", "proxy_men")}, {r(" + ".join(f"({n} > 0.02::DOUBLE)::INTEGER" for n in _SEGMENTS), "breadth")}, {r("cos - men", "cos_vs_men")}, {r("men + golf", "men_signal")}, {r("cos + women", "women_signal")},
+{r("(men + golf) * (cos + women)", "conflict")}, {r("men * (food + kids + living)", "proxy_men_all")} FROM x""",
+    "top_tail_share": f"""WITH {BOTH}, x AS (SELECT custid, left({CODE}, 3) AS g, sum({GROSS}) AS s FROM l GROUP BY ALL), y AS (SELECT custid, s / (sum(s) OVER (PARTITION BY custid) + 1e-5) AS p, rank() OVER (PARTITION BY custid ORDER BY s DESC) + (count(*) OVER (PARTITION BY custid, s) - 1) / 2 AS k FROM x)
+SELECT custid, {r("sum(p ** 2)", "hhi")}, {r("coalesce(sum(p) FILTER (k = 1), 0)", "top_share")}, {r("coalesce(sum(p) FILTER (k >= 4), 0)", "tail_share")}, {r("max(p)", "max_share")} FROM y GROUP BY custid""",
+    "basket_stats": f"""WITH {BOTH}, x AS (SELECT *, {NET} AS v FROM l), y AS (SELECT custid, max(abs(v)) / (sum(abs(v)) + 1e-5) AS d, count(DISTINCT corner_nm) > 1 AS m, count(*) AS n, stddev(v) AS s FROM x GROUP BY {_BASKET})
+SELECT custid, {r("avg(d)", "dominance")}, {r(_SHARE("m"), "multi_corner_share")}, {r("avg(n)", "basket_size")}, {r("avg(s)", "price_std")} FROM y GROUP BY custid""",
+    "sequence_price": f"WITH {BOTH}, x AS (SELECT custid, {NET} AS v, {_LAST.format(NET)} AS p, {_PLACE} AS k FROM l), y AS (SELECT custid, (v - p) / (abs(p) + 1e-5) AS d FROM x WHERE k > 0) SELECT custid, {r('avg(d)', 'step_mean', 3)}, {r('stddev(d)', 'step_std', 3)} FROM y GROUP BY custid",
+    "velocity": f"WITH {BOTH}, x AS (SELECT custid, {GROSS} AS a, {_LATE} AS late FROM l) SELECT custid, {r('CASE WHEN bool_or(late) THEN sum(a) FILTER (late) / (coalesce(sum(a) FILTER (NOT late), 0) + 1e-5) ELSE 1 END', 'velocity')} FROM x GROUP BY custid",
+    "buyer_niche": f"WITH {BOTH}, b AS (SELECT buyer_nm, count(*) AS c FROM l WHERE buyer_nm IS NOT NULL GROUP BY 1) SELECT custid, {r('coalesce(avg(c), 0)', 'buyer_count_mean')} FROM l LEFT JOIN b USING (buyer_nm) GROUP BY custid",
+    "refund_per_discount": _select(BOTH, refund_per_discount=f"count(*) FILTER (({NET}) < 0) / (count(*) FILTER (dis_amt > 0) + 1)"),
+    "food_anchor": f"""WITH {BOTH}, x AS (SELECT *, {_holds("coalesce(part_nm, '')", ["식품", "생식", "푸드"])}::INTEGER AS f FROM l), y AS (SELECT custid, (first(f ORDER BY ts, line_id) + last(f ORDER BY ts, line_id)) / 2 AS a FROM x GROUP BY custid, day) SELECT custid, {r("avg(a)", "food_anchor")} FROM y GROUP BY custid""",
+    "pivot_counts": f"""WITH {BOTH}, x AS (SELECT *, isodow(ts) AS w, month(ts) AS m, hour(ts) AS h FROM l) SELECT custid, {r("count(DISTINCT day)", "visit_days")}, {", ".join(r(f"count(*) FILTER ({c})", n) for n, c in {"wd_mtw": "w <= 3", "wd_tf": "w IN (4, 5)", "wd_we": "w >= 6", "ss_spring": "m IN (2, 3, 4)", "ss_summer": "m IN (5, 6, 7)", "ss_fall": "m IN (8, 9, 10)", "ss_winter": "m IN (11, 12, 1)", "tm_morning": "h < 12", "tm_lunch": "h IN (12, 13)", "tm_noon1": "h IN (14, 15)", "tm_noon2": "h IN (16, 17)", "tm_evening": "h >= 18"}.items())} FROM x GROUP BY custid""",
+    "price_residual": f"""WITH {BOTH}, x AS (SELECT *, nullif(upper(trim(brd_nm)), '') AS b, left({CODE}, 3) AS g, ({NET})::DOUBLE AS v, coalesce(dis_amt, 0) / ({GROSS} + 1e-5) AS d FROM l), q AS (SELECT quantile_cont(v, 0.9) AS q FROM x),
+y AS (SELECT custid, CASE WHEN b IS NOT NULL THEN v / (avg(v) OVER (PARTITION BY b) + 1e-5) END AS rel, CASE WHEN v IS NOT NULL THEN {_RANKED("g", "v")} END AS k, d - avg(d) OVER (PARTITION BY g) AS res, coalesce(dis_amt, 0) = 0 AND v >= q AS prem FROM x, q)
+SELECT custid, {r("avg(rel)", "brand_relative")}, {r("avg(k)", "category_rank")}, {r(_SHARE("k >= 0.8::DOUBLE"), "category_high")}, {r("avg(res)", "discount_residual")}, {r(_SHARE("prem"), "full_price_premium")} FROM y GROUP BY custid""",
+}
+
+SQL |= {
+    "transition_token": f"WITH {TRAIN}, x AS (SELECT custid, coalesce({_LAST.format('corner_nm')}, 'START') AS p, coalesce(corner_nm, '') AS c FROM l) SELECT custid, {r('count(*)', 'n_tokens')}, {r('count(DISTINCT (p, c))', 'n_different')} FROM x GROUP BY custid",
+    "power_mean": _select(TRAIN, **{f"power_{k}": f"(sum(({GROSS} / 1e6) ** {k}) / count({GROSS})) ** (1.0::DOUBLE / {k})" for k in (2, 3, 5)}),
+    "clip_replace": f"""WITH {TRAIN}, x AS (SELECT *, CASE WHEN tot_amt > 500000 THEN 500000 WHEN tot_amt < -500000 THEN -500000 ELSE tot_amt END AS c FROM l)
+SELECT custid, {r(_SHARE("str_nm = '온라인몰'"), "online_share")}, {r(_SHARE("str_nm IS NULL"), "unknown_share")}, {r("avg(c)", "clipped_mean")}, {r("avg(CASE tot_amt WHEN 0 THEN 0 ELSE c::DOUBLE / tot_amt END)", "clipped_ratio")} FROM x GROUP BY custid""",
+    "line_features": f"""WITH {TRAIN} SELECT custid, line_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, month(ts) AS month, (isodow(ts) > 5)::BIGINT AS weekend, {r("CASE WHEN tot_amt <> 0 THEN dis_amt::DOUBLE / tot_amt ELSE 0 END", "dis_ratio")}, {r("CASE WHEN tot_amt <> 0 THEN net_amt::DOUBLE / tot_amt ELSE 1 END", "net_ratio")},
+{r("CASE WHEN net_amt < 0 THEN -ln(1 - net_amt) ELSE ln(1 + net_amt) END", "signed_log")} FROM l""",
+}
