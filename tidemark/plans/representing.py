@@ -21,6 +21,11 @@ def _counts(spark: SparkSession, folder: str, token: str, amount: bool = False)
     return cut(rows.groupBy("custid", token).agg(F.count("*").alias("n"), F.sum("a").alias("a")))
 
 
+def _over_both(spark: SparkSession, folder: str, uses: str) -> DataFrame:
+    one, other = (sales(spark, folder, t, uses) for t in ("train_transactions", "test_transactions"))
+    return one.unionByName(other)
+
+
 def _both_counts(spark: SparkSession, folder: str, token: str, where: str = "true") -> DataFrame:
     out = None
     for t in ("train_transactions", "test_transactions"):
@@ -33,11 +38,25 @@ def _r(c: str, digits: int = 6):
     return F.round(F.col(c).cast("double") + 1e-10, digits).alias(c)
 
 
+def _attributes(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Brands with the means of their numeric attributes, which are whatever the table has, and their names."""
+    meta = table(spark, folder, "brand_meta").withColumn("b", F.upper(F.trim("brd_nm"))).where("b <> ''")
+    attrs = [c for c, t in meta.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    return cut(meta.groupBy("b").agg(*[F.avg(a).alias(a) for a in attrs])), attrs
+
+
+def brand_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """For every brand attribute the mean weighted by gross amount plus 1 over all lines (an unknown brand
+    adds nothing above the line), and deviation, least and greatest over the lines that have it."""
+    meta, attrs = _attributes(spark, folder)
+    rows, w = _over_both(spark, folder, "brand a").join(if_small(meta), F.col("brand") == F.col("b"), "left"), F.col("a") + 1
+    per = rows.groupBy("custid").agg(*[x for c in attrs for x in ((F.coalesce(F.sum(F.col(c) * w), F.lit(0.0)) / (F.sum(w) + 1e-9)).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))])
+    return per.select("custid", *[F.coalesce(_r(c, 4), F.lit(0.0)).alias(c) for c in per.columns if c != "custid"])
+
+
 def dim_weighted_mean(spark: SparkSession, folder: str, name: str = "train_transactions") -> DataFrame:
     """Brand attributes weighted by amount plus 1; brands without one have the attribute's mean."""
-    meta = table(spark, folder, "brand_meta").withColumn("b", F.upper(F.trim("brd_nm"))).where("b <> ''")
-    attrs = ["target_age", "price_tier", "open_year"]
-    meta = cut(meta.groupBy("b").agg(*[F.avg(a).alias(a) for a in attrs]))
+    meta, attrs = _attributes(spark, folder)
     means = meta.agg(*[F.avg(a).alias(f"m_{a}") for a in attrs])
     rows = sales(spark, folder, name, "brand w").join(if_small(meta), F.col("brand") == F.col("b"), "left").crossJoin(F.broadcast(means))
     w = F.col("w") + 1
@@ -316,7 +335,7 @@ def pca(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dim_weighted_mean, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
+        dim_weighted_mean, brand_spread, catalog_coverage, copurchase_pairs, ppmi, tfidf_tokens, tfidf_sublinear, category_sentence, token_sequence, stage_clean_columns, informative_columns,
         gauss_rank, label_propagation, random_walks, w2v_pool, kmeans_exposure, svd_counts, lda_topics, als_factors, nmf_factors, store_counts, category_top, node_vectors, community_share, ppmi_svd, pca, sequence_channels, goods_svd, corner_svd, token_svd, goods_als, subword_pool, token_map,
     )
 }
@@ -366,6 +385,9 @@ SELECT c.custid, v.str_nm, count(b.custid) AS n FROM c CROSS JOIN v LEFT JOIN b
 g AS (SELECT avg(target_age) AS ga, avg(price_tier) AS gp, avg(open_year) AS go FROM m)
 SELECT custid, {_q("sum(coalesce(target_age, ga) * (w + 1)) / sum(w + 1)", "target_age", 4)}, {_q("sum(coalesce(price_tier, gp) * (w + 1)) / sum(w + 1)", "price_tier", 4)}, {_q("sum(coalesce(open_year, go) * (w + 1)) / sum(w + 1)", "open_year", 4)}
 FROM s LEFT JOIN m USING (brand), g GROUP BY custid""",
+    "brand_spread": f"""{_S}, {sales_sql("test_transactions", "st")}, m AS (SELECT upper(trim(brd_nm)) AS brand, avg(target_age) AS target_age, avg(price_tier) AS price_tier, avg(open_year) AS open_year FROM brand_meta WHERE trim(brd_nm) <> '' GROUP BY 1),
+x AS (SELECT custid, a + 1 AS v, target_age, price_tier, open_year FROM (SELECT * FROM s UNION ALL SELECT * FROM st) LEFT JOIN m USING (brand))
+SELECT custid, {", ".join(f"coalesce({_q(e, 'x', 4).removesuffix(' AS x')}, 0) AS {c}_{n}" for c in ("target_age", "price_tier", "open_year") for n, e in {"mean": f"coalesce(sum({c} * v), 0) / (sum(v) + 1e-9)", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})"}.items())} FROM x GROUP BY custid""",
     "catalog_coverage": f"""{_S}, x AS (SELECT brand, count(*) AS n_lines, count(DISTINCT custid) AS n_customers FROM s WHERE brand IS NOT NULL GROUP BY brand),
 p AS (SELECT brand, part_nm FROM (SELECT brand, part_nm, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, part_nm) AS k FROM s WHERE brand IS NOT NULL AND part_nm IS NOT NULL GROUP BY brand, part_nm) WHERE k = 1)
 SELECT brand, n_lines, n_customers, part_nm, {_q("sum(n_lines) OVER (ORDER BY n_lines DESC, brand ROWS UNBOUNDED PRECEDING) / sum(n_lines) OVER ()", "covered")} FROM x LEFT JOIN p USING (brand)""",
