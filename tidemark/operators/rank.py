@@ -87,11 +87,11 @@ def running_counts(rows: DataFrame, keys: list[str], value: str, near: Sequence[
     columns by which the rows lie together already (and by which a key has few groups): they are counted
     there before anything is shuffled.
 
-    No key is sorted as one group: values that share the exponent and the first 12 bits of the mantissa are
+    No key is sorted as one group: values that share the exponent and the first 6 bits of the mantissa are
     a range; rows are summed within (key, range), and the ranges' totals give where each starts. A key has
-    at most 4,096 ranges for each power of two that its values reach."""
+    at most 64 ranges for each power of two that its values reach, so their table is far smaller than the counts."""
     # NaN, the greatest value, has no bits
-    piece = F.coalesce(F.shiftright(order_bits(rows, value), 40), F.lit(1 << 40))
+    piece = F.coalesce(F.shiftright(order_bits(rows, value), 46), F.lit(1 << 40))
     by = [*keys, value, "__p"]
     own = list(dict.fromkeys([*near, *by]))
     counts = rows.where(" and ".join(f"{c} is not null" for c in (*keys, value))).withColumn("__p", piece).groupBy(*own).agg(F.count("*").alias("n"))

@@ -132,7 +132,13 @@ class Block:
     def over(self, df: DataFrame) -> DataFrame:
         """The block over lines as ``sales`` gives them."""
         lines = df
-        for step in self.steps:
+        for i, step in enumerate(self.steps):
+            if step[0] == "relative":
+                # ranks of steps in a row are all counted over the rows before them
+                first = i == 0 or self.steps[i - 1][0] != "relative"
+                source = df if first else source
+                df = _relative(df, *step[1:], source)
+                continue
             df = _spine(df, lines) if step[0] == "spine" else _APPLY[step[0]](df, *step[1:])
         return df
 
@@ -195,9 +201,9 @@ def _totals(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:
     return df.join(side, cond, "left").drop(*[f"__{k}" for k in keys])
 
 
-def _relative(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+def _relative(df: DataFrame, key: str, value: str, name: str, source: DataFrame) -> DataFrame:
     # a key's rows are counted by value first, and the counts summed in ranges of values
-    own = df.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    own = source.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     ranks = running_counts(own, ["__k"], "__v").select("__k", "__v", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("total")).alias(name))
     return df.join(ranks, (F.col(key) == F.col("__k")) & (F.col(value) == F.col("__v")), "left").drop("__k", "__v")
 
@@ -243,7 +249,6 @@ _APPLY: dict[str, Callable] = {
     "position": lambda df: with_position(df, "custid", "d", ["ts", "line_id"]),
     "totals": _totals,
     "overall": _overall,
-    "relative": _relative,
     "gap": _gap,
     "placed": _placed,
     "first_last": _first_last,
