@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean
+from tidemark.operators.quantile import quantiles, quantiles_of
 from tidemark.plans import matrix
 from tidemark.sources import sales as source
 
@@ -45,3 +46,12 @@ def test_customers_of_both_tables(spark, data, tmp_path):
     shown = lambda df: df.select("custid", "split", *[F.round(clean.finite(F.col(c)), 5).alias(c) for c in df.columns if c not in ("custid", "split")])
     assert _rows(shown(got)) == _rows(shown(want))
     assert not source._HELD
+
+
+@pytest.mark.parametrize("held", [2_000_000, 30, 3])
+def test_quantiles_of_columns(spark, held):
+    df = spark.range(200).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 1.5).alias("b"), F.when(F.col("id") > 3, F.col("id") % 11).alias("c"), F.lit(None).cast("double").alias("d"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id")).alias("e"))
+    got = quantiles_of(df, df.columns, [0.01, 0.5, 0.99], held)
+    assert set(got) == set(df.columns) and got["d"] == [None] * 3
+    for c in "abce":
+        assert got[c] == pytest.approx(quantiles(df, c, [0.01, 0.5, 0.99]))
