@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -56,6 +57,27 @@ def test_hill_climb_prefers_the_better_model(spark):
     assert abs(got - pairs_auc(rows, "b")) < 2e-3
 
 
+def test_blend_aucs_of_bags(spark):
+    """Each sum over its own rows, scores beyond [-1, 1] too; rows reach Python once, not once for each sum."""
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 1), rng.randrange(-300, 300) / 100, rng.randrange(101) / 100) for i in range(500)] + [(500, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "e long, y int, a double, b double").repartition(3)
+    weights, of, keeps = [[1, 0], [0, 1], [0.5, 0.25], [0, 1]], [0, 1, 1, 2], [lambda e: True, lambda e: e % 2 == 0, lambda e: e < 0]
+    got = blend.blend_aucs(df, ["a", "b"], "y", weights, keep=[F.lit(True), F.col("e") % 2 == 0, F.col("e") < 0], of=of)
+    for (w, v), k, x in zip(weights[:3], of, got, strict=False):
+        bin_ = lambda r: math.floor(((w * r[2] + v * r[3]) / (w + v) + 1) / 2 * 4095)  # noqa: B023, E731
+        p, n = ([bin_(r) for r in rows if r[1] == y and keeps[k](r[0])] for y in (1, 0))
+        assert abs(x - sum((s > t) + 0.5 * (s == t) for s in p for t in n) / (len(p) * len(n))) < 1e-12
+    assert math.isnan(got[3])
+
+
+def test_steps_explode_no_row(spark, monkeypatch):
+    df, _ = preds(spark)
+    w = blend.wide(blend.rank_normalise(df, ["model"]), ["a", "b", "flat"], ["custid", "label"])
+    monkeypatch.setattr(blend.F, "explode", lambda *_: (_ for _ in ()).throw(AssertionError("a row for every sum")))
+    assert blend.stable_members(w, ["a", "b", "flat"], "label", "custid", bags=3, steps=2)
+
+
 def test_psi_of_itself_is_zero(spark):
     df, _ = preds(spark)
     a = df.where("model = 'a'")

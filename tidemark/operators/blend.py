@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,28 +62,58 @@ def blend_aucs(table: DataFrame, models: Sequence[str], label: str, weights: Seq
     parts of their range and only the bins' counts are gathered. Values within a bin count as tied, which
     moves an AUC by less than the share of pairs in one bin. With ``keep``, conditions on rows, the i-th
     sum is measured over the rows of the condition number ``of[i]``."""
-    span = F.lit([sum(abs(w) for w in ws) or 1.0 for ws in weights])
-    values = F.array(*[F.col(m).cast("double") for m in models])
-    # weights are data and not code: every step runs the same plan
-    sums = F.transform(F.lit([[float(w) for w in ws] for ws in weights]), lambda w: F.aggregate(F.zip_with(values, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    cells = F.transform(sums, lambda s, i: F.struct(i.alias("i"), F.floor((s / F.element_at(span, i + 1) + 1) / 2 * (bins - 1)).cast("int").alias("b")))
-    if keep:
-        chosen = F.array(*keep)
-        cells = F.filter(cells, lambda x: F.element_at(chosen, F.element_at(F.lit([k + 1 for k in of]), x["i"] + 1)))
-    rows = table.select(F.col(label).alias("y"), F.explode(cells).alias("x"))
-    counts = rows.groupBy("x.i", "x.b").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("n"))
-    by: dict[int, list] = {}
-    for r in counts.collect():
-        by.setdefault(r["i"], []).append((r["b"], r["p"], r["n"]))
-    out = []
-    for i in range(len(weights)):
-        below, good, pos, neg = 0, 0.0, 0, 0
-        for _, p, n in sorted(by.get(i, [])):
-            good += p * (below + n / 2)
-            below += n
-            pos, neg = pos + p, neg + n
-        out.append(good / (pos * neg) if pos and neg else float("nan"))
-    return out
+    chosen = np.array(list(of) if keep else [0] * len(weights))
+    ws = np.array([[float(w) for w in one] for one in weights])
+    span = np.array([sum(abs(float(w)) for w in one) or 1.0 for one in weights])
+    k, kept, shape = len(models), len(keep), "i int, low long, c binary"
+
+    def part(i: np.ndarray, low: list[int], c: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(low, pa.int64()), pa.array(c, pa.binary())], names=["i", "low", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of every sum the bins' counts by class: what a task holds and hands on doesn't grow with its rows
+        held = np.zeros((len(ws), bins, 2), dtype=np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = [batch.column(j + 1).to_numpy(zero_copy_only=False).astype(float) for j in range(k)]
+            conditions = [batch.column(k + 1 + j).to_numpy(zero_copy_only=False).astype(bool) for j in range(kept)] or [np.ones(len(y), dtype=bool)]
+            for c, cond in enumerate(conditions):
+                rows = np.flatnonzero(cond & ((y == 0) | (y == 1)))
+                mine, other = [v[rows] for v in x], (y[rows] == 0).astype(np.int64)
+                for i in np.flatnonzero(chosen == c) if len(rows) else ():
+                    total = np.zeros(len(rows))
+                    for v, w in zip(mine, ws[i], strict=True):
+                        total += v * w
+                    if np.isnan(total).any():
+                        raise ValueError("a row lacks a model's score")
+                    at = np.floor((total / span[i] + 1) / 2 * (bins - 1)).astype(np.int64)
+                    inside = (at >= 0) & (at < bins)
+                    held[i] += np.bincount(at[inside] * 2 + other[inside], minlength=2 * bins).reshape(bins, 2)
+                    # scores beyond [-1, 1] have bins of their own
+                    for b in np.unique(at[~inside]):
+                        here = other[at == b]
+                        yield part(np.array([i]), [int(b)], [np.array([[(here == 0).sum(), here.sum()]], dtype=np.int64).tobytes()])
+        some = np.flatnonzero(held.any((1, 2)))
+        yield part(some, [0] * len(some), [held[i].tobytes() for i in some])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
+        for batch in batches:
+            for i, low, c in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                n = np.frombuffer(c, dtype=np.int64).reshape(-1, 2)
+                whole, beyond = found.setdefault(i, (np.zeros((bins, 2), dtype=np.int64), {}))
+                if 0 <= low < bins:
+                    whole += n
+                else:
+                    beyond[low] = beyond.get(low, 0) + n[0]
+        for i, (whole, beyond) in found.items():
+            n = np.concatenate([*[beyond[b][None] for b in sorted(beyond) if b < 0], whole, *[beyond[b][None] for b in sorted(beyond) if b >= 0]]).astype(float)
+            good, pos, neg = float((n[:, 0] * (np.cumsum(n[:, 1]) - n[:, 1] / 2)).sum()), n[:, 0].sum(), n[:, 1].sum()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([good / (pos * neg) if pos and neg else None], pa.float64())], names=["i", "auc"])
+
+    rows = table.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), *[F.col(m).cast("double").alias(f"x{j}") for j, m in enumerate(models)], *[c.alias(f"k{j}") for j, c in enumerate(keep)])
+    got = {r["i"]: r["auc"] for r in rows.mapInArrow(run, shape).repartition("i").mapInArrow(add_up, "i int, auc double").collect()}
+    return [float("nan") if got.get(i) is None else got[i] for i in range(len(weights))]
 
 
 def hill_climb(table: DataFrame, models: Sequence[str], label: str, steps: int = 20, start: int = 3) -> dict[str, float]:
