@@ -123,3 +123,24 @@ def test_ppmi_vectors_by_either_way(spark):
     df = spark.createDataFrame(rows, "custid long, tok string")
     a, b = ({r.word: np.array(r.vector) for r in represent.ppmi_vectors(df, "custid", "tok", 2, 1, held=h).collect()} for h in (4000, 3))
     assert a.keys() == b.keys() and max(np.abs(a[w] - b[w]).max() for w in a) < 0.05
+
+
+def test_products_are_summed_in_a_task(monkeypatch):
+    """A batch's product goes into one sum as large as the basis, whatever the rows, in pieces of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(40, size=n, replace=False).tolist()) for n in rng.integers(0, 9, size=60)]
+    values = [rng.normal(size=len(r)).tolist() for r in rows]
+    x = np.zeros((60, 40))
+    for k, (i, v) in enumerate(zip(rows, values, strict=True)):
+        x[k, i] = v
+    q = rng.normal(size=(40, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["i", "v"])
+    for piece in (100_000, 10, 1):
+        monkeypatch.setattr(represent, "_AT_ONCE", piece)
+        own = np.zeros_like(q)
+        represent._gram_times(batch.slice(0, 25), q, own)
+        represent._gram_times(batch.slice(25), q, own)
+        assert np.allclose(own, x.T @ (x @ q))
