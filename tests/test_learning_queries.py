@@ -25,3 +25,23 @@ def test_all_customers_are_scored_once(name, spark, data, duck):
 def test_rows(name, spark, data):
     rows = learning.QUERIES[name](spark, data).collect()
     assert rows and not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
+
+
+def test_folds_side_by_side_give_the_same_scores(spark):
+    import threading
+
+    from tidemark.operators import learn
+
+    rows = learn.assemble(spark.range(200).selectExpr("id as custid", "cast(id % 3 = 0 as int) as label", "cast(id % 5 as int) as fold", "(id * 37) % 11 as a", "(id * 13) % 7 + id % 3 as b"), ["a", "b"], ["custid", "label", "fold"])
+    both = threading.Barrier(2)
+
+    def make():
+        both.wait(60)  # ends only if another fold is being fitted
+        return learn.learner("gbt", maxIter=2, maxDepth=2)
+
+    def scores(df):
+        return {(r.custid, r.split): r.score for r in df.collect()}
+
+    got = scores(learn.oof_predict(make, rows.where("fold < 4"), rows.where("fold = 4"), folds=4, at_once=2))
+    want = scores(learn.oof_predict(lambda: learn.learner("gbt", maxIter=2, maxDepth=2), rows.where("fold < 4"), rows.where("fold = 4"), folds=4))
+    assert got.keys() == want.keys() and len(got) == 200 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
