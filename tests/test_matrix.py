@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean
 from tidemark.operators.quantile import quantiles, quantiles_of
-from tidemark.plans import matrix
+from tidemark.operators.ordered import with_position, with_previous
+from tidemark.plans import encoders, matrix
+from tidemark.session import cut
 from tidemark.sources import sales as source
 
 FEW = matrix.Config("few", ("base_agg", "freq_brand", "recent_3"), encodings=("oof_te_part",))
@@ -55,3 +57,30 @@ def test_quantiles_of_columns(spark, held):
     assert set(got) == set(df.columns) and got["d"] == [None] * 3
     for c in "abce":
         assert got[c] == pytest.approx(quantiles(df, c, [0.01, 0.5, 0.99]))
+
+
+def test_encoders_together(spark, data):
+    """The encoders of both matrices by one plan: the columns of the single queries, in few jobs."""
+    names = [n for n in (*matrix.GENERAL.names(), *matrix.CODES.names()) if encoders.kinds([n])]
+    assert len(names) == 18
+    lines = {t: source.placed(source.sales(spark, data, t)) for t in matrix.TABLES.values()}
+    spark.sparkContext.setJobGroup("together", "")
+    try:
+        with source.held_lines(spark, data, lines):
+            got = cut(encoders.together(spark, data, names))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("together")) < 100
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for n in ("oof_te_brand", "oof_te_transition", "hier_te_good_pc", "minsupport_te", "bayes_te", "rate_deviation"):
+        want = cut(encoders.QUERIES[n](spark, data))
+        both = want.join(got, "custid")
+        assert both.count() == want.count() > 0
+        assert both.where(" or ".join(f"not coalesce(abs({c} - {n}_{c}) < 2e-6, false)" for c in encoders.COLUMNS[n])).count() == 0
+
+
+def test_places_of_kept_lines(spark, data):
+    lines = source.sales(spark, data)
+    key = ["custid", "d", "ts", "line_id"]
+    got = source.placed(lines).where("line_id is not null")
+    want = with_previous(with_position(lines, *key[:2], key[2:]), *key[:2], key[2:], source.PREVIOUS).where("line_id is not null")
+    assert _rows(got.select(*key, *source.PLACES).fillna("-").fillna(-1)) == _rows(want.select(*key, *source.PLACES).fillna("-").fillna(-1))

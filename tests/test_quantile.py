@@ -67,3 +67,12 @@ def test_bits_of_whole_numbers(spark):
     got = [r.k for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x long").select("i", ordered_whole(F.col("x")).alias("k")).orderBy("i").collect()]
     bits = np.abs(np.array(xs, dtype=float)).view(np.int64)
     assert got == [-int(b) if x < 0 else int(b) for x, b in zip(xs, bits, strict=True)]
+
+
+@pytest.mark.parametrize("group", [0, 40, 200_000])
+def test_groups_of_any_size(spark, group):
+    """Keys that are sorted and keys that are counted in ranges have the same quantiles."""
+    rows, df = world(spark)
+    got = {r.g: r.q for r in group_quantiles(df, ["g"], {"q": ("v", 0.9)}, group=group).collect()}
+    want = {g: [v for k, _, v in rows if k == g and v is not None] for g in (1, 2, 3, 4)}
+    assert got == pytest.approx({g: linear(v, 0.9) for g, v in want.items()})
