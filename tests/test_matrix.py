@@ -7,6 +7,7 @@ from tidemark.operators import clean
 from tidemark.operators.quantile import quantiles, quantiles_of
 from tidemark.operators.ordered import with_position, with_previous
 from tidemark.plans import encoders, matrix
+from tidemark.plans.blocks import BLOCKS
 from tidemark.session import cut
 from tidemark.sources import sales as source
 
@@ -84,3 +85,22 @@ def test_places_of_kept_lines(spark, data):
     got = source.placed(lines).where("line_id is not null")
     want = with_previous(with_position(lines, *key[:2], key[2:]), *key[:2], key[2:], source.PREVIOUS).where("line_id is not null")
     assert _rows(got.select(*key, *source.PLACES).fillna("-").fillna(-1)) == _rows(want.select(*key, *source.PLACES).fillna("-").fillna(-1))
+
+
+def _placed_block(spark, data, name):
+    """A block over lines kept with their places computes none, and has the rows of plain lines."""
+    block = BLOCKS[name]
+    plain, kept = (None, None)
+    for t in block.tables:
+        one = source.sales(spark, data, t)
+        plain = one if plain is None else plain.unionByName(one)
+        one = cut(source.placed(one))
+        kept = one if kept is None else kept.unionByName(one)
+    got = block.over(kept)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert _rows(got) == _rows(block.over(plain))
+
+
+@pytest.mark.parametrize("name", ["group_switch", "velocity"])
+def test_blocks_of_codes_over_kept_places(spark, data, name):
+    _placed_block(spark, data, name)
