@@ -104,3 +104,8 @@ def _placed_block(spark, data, name):
 @pytest.mark.parametrize("name", ["group_switch", "velocity"])
 def test_blocks_of_codes_over_kept_places(spark, data, name):
     _placed_block(spark, data, name)
+
+
+@pytest.mark.parametrize("name", ["recent_3", "amount_slope", "switch_rate"])
+def test_blocks_of_trees_over_kept_places(spark, data, name):
+    _placed_block(spark, data, name)
